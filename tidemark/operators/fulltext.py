@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.fields import clamp_limit
 from tidemark.functions.text import words
 from tidemark.operators.filters import search_filter
+from tidemark.operators.ranking import spread_rows
 
 #: Weight of a word in the title and in the body.
 FIELD_WEIGHT = {"A": 1.0, "B": 0.4}
@@ -32,13 +33,16 @@ def build_index(
     """
     spread = docs.select(
         F.col(id_col).alias("posting_id"), F.col(title).alias("_t"), F.col(body).alias("_b")
-    ).repartition("posting_id")
+    )
+    spread = spread_rows(spread, "posting_id")
     empty = F.array().cast("array<string>")
     in_title = F.coalesce(words(F.col("_t")), empty)
     in_body = F.coalesce(words(F.col("_b")), empty)
-    placed = spread.select(
-        "posting_id", F.size(in_title).alias("_n"), F.posexplode(F.concat(in_title, in_body))
+    # the title length is fixed per document before its words are exploded
+    counted = spread.select(
+        "posting_id", F.size(in_title).alias("_n"), F.concat(in_title, in_body).alias("_w")
     )
+    placed = counted.select("posting_id", "_n", F.posexplode("_w"))
     field = F.when(F.col("pos") < F.col("_n"), F.lit("A")).otherwise(F.lit("B"))
     return (
         placed.groupBy("posting_id", F.col("col").alias("term"), field.alias("field"))
@@ -77,6 +81,10 @@ def split_words(text: str | None) -> list[str]:
     return re.findall(r"\w+", (text or "").lower())
 
 
+def _shifted(positions: Column, shift: int) -> Column:
+    return F.transform(positions, lambda p: p - shift)
+
+
 def text_match(
     index: DataFrame,
     all_of: Sequence[str] = (),
@@ -123,7 +131,7 @@ def text_match(
     for phrase in phrases:
         starts = None
         for shift, word in enumerate(phrase):
-            at = F.transform(F.col(f"_p{in_phrase.index(word)}"), lambda p, s=shift: p - s)
+            at = _shifted(F.col(f"_p{in_phrase.index(word)}"), shift)
             starts = at if starts is None else F.array_intersect(starts, at)
         grouped = grouped.where(F.size(starts) > 0)
     return grouped.select("posting_id")

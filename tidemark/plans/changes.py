@@ -128,7 +128,7 @@ def _queue(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pending_queue(spark: SparkSession, d: str) -> DataFrame:
-    return lc.pending_details(_queue(spark, d), limit=200)
+    return lc.pending_details(_queue(spark, d))
 
 
 def tombstones(spark: SparkSession, d: str) -> DataFrame:
@@ -250,7 +250,7 @@ UNION ALL SELECT posting_id, skill_name FROM fresh""",
         pending_queue,
         """
 SELECT o_orderkey AS posting_id, o_orderdate AS published_at FROM orders
-WHERE o_orderstatus <> 'F' ORDER BY o_orderdate DESC NULLS LAST, o_orderkey LIMIT 200""",
+WHERE o_orderstatus <> 'F'""",
     ),
     "tombstones": (
         tombstones,

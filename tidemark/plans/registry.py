@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from tidemark.plans import changes, market
+from tidemark.plans import changes, market, text
 
-ALL = {**market.QUERIES, **changes.QUERIES}
+ALL = {**market.QUERIES, **changes.QUERIES, **text.QUERIES}
