@@ -124,7 +124,9 @@ def chunk_documents(
     return (
         df.select(id_col, text_col, prefix.alias("_prefix"), budget.alias("_budget"))
         .where(F.col(text_col).isNotNull())
-        .select(id_col, "_prefix", F.posexplode(bodies).alias("chunk_index", "_body"))
+        # outer: the plain form would add a size filter that cuts every text a second time
+        .select(id_col, "_prefix", F.posexplode_outer(bodies).alias("chunk_index", "_body"))
+        .where(F.col("chunk_index").isNotNull())
         .select(id_col, "chunk_index", F.concat("_prefix", "_body").alias("content"))
         .withColumn("char_len", F.length("content"))
     )

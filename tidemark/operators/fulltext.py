@@ -42,7 +42,9 @@ def build_index(
     counted = spread.select(
         "posting_id", F.size(in_title).alias("_n"), F.concat(in_title, in_body).alias("_w")
     )
-    placed = counted.select("posting_id", "_n", F.posexplode("_w"))
+    # outer: the plain form would add a size filter that cuts every text a second time
+    placed = counted.select("posting_id", "_n", F.posexplode_outer("_w"))
+    placed = placed.where(F.col("pos").isNotNull())
     field = F.when(F.col("pos") < F.col("_n"), F.lit("A")).otherwise(F.lit("B"))
     return (
         placed.groupBy("posting_id", F.col("col").alias("term"), field.alias("field"))

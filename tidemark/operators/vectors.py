@@ -17,6 +17,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.fields import clamp_limit
 from tidemark.functions.text import snippet
@@ -29,11 +30,10 @@ DECIMALS = 12
 _NEAREST = (
     "query_id {kind}, posting_id bigint, chunk_index bigint, similarity double"
 )
-#: First come the most similar chunks, then the lower keys.
-NEAREST_FIRST = ("similarity", "posting_id", "chunk_index")
 
 
 def nearest_order() -> list[Column]:
+    """Most similar chunks first, then the lower keys."""
     return [F.desc("similarity"), F.asc("posting_id"), F.asc("chunk_index")]
 
 
@@ -262,7 +262,7 @@ def assign_lists(chunks: DataFrame, centroids: np.ndarray) -> DataFrame:
     Written with `partitionBy("list_id")`, a probe reads only its lists.  A list may hold any
     share of the rows: it is split over files and tasks like any other data.
     """
-    spec = chunks.schema.add("list_id", "int")
+    spec = T.StructType([*chunks.schema.fields, T.StructField("list_id", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,7 +293,8 @@ def approx_semantic_search(
 def rrf(rankings: Sequence[DataFrame], weights: Sequence[float], k: int = 60) -> DataFrame:
     """Reciprocal rank fusion of `(query_id, posting_id, rank)` frames.
 
-    The score of a posting is the sum of weight / (k + rank) over the lists that hold it.
+    The score of a posting is the sum of weight / (k + rank) over the lists that hold it,
+    rounded so that equal sums tie.
     """
     if len(rankings) != len(weights):
         raise ValueError("one weight per ranking is needed")
@@ -304,7 +305,7 @@ def rrf(rankings: Sequence[DataFrame], weights: Sequence[float], k: int = 60) ->
     return (
         reduce(DataFrame.unionByName, parts)
         .groupBy("query_id", "posting_id")
-        .agg(F.sum("part").alias("score"))
+        .agg(F.round(F.sum("part"), DECIMALS).alias("score"))
     )
 
 

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.plans import changes, market, text
+from tidemark.plans import changes, market, quality, text, vectors
 
-ALL = {**market.QUERIES, **changes.QUERIES, **text.QUERIES}
+ALL = {
+    **market.QUERIES,
+    **changes.QUERIES,
+    **text.QUERIES,
+    **vectors.QUERIES,
+    **quality.QUERIES,
+}

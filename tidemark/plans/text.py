@@ -125,7 +125,8 @@ def page_text(spark: SparkSession, d: str) -> DataFrame:
 
 def sentence_split(spark: SparkSession, d: str) -> DataFrame:
     docs = s.table(spark, d, "documents").select("doc_id", "text")
-    return docs.select("doc_id", F.posexplode(sentences(F.col("text"))).alias("place", "sentence"))
+    parts = F.posexplode_outer(sentences(F.col("text"))).alias("place", "sentence")
+    return docs.select("doc_id", parts).where(F.col("place").isNotNull())
 
 
 def document_chunks(spark: SparkSession, d: str) -> DataFrame:

@@ -71,7 +71,7 @@ def expand_records(raw: DataFrame) -> DataFrame:
     line = F.monotonically_increasing_id()
     return (
         raw.withColumn("line", line)
-        .select("file", "block", "line", F.posexplode(listed).alias("place", "record"))
+        .select("file", "block", "line", F.posexplode_outer(listed).alias("place", "record"))
         .where(f.is_object(F.col("record")))
         .select(
             F.struct("file", "block", "line", "place").alias("seq"),
