@@ -137,7 +137,7 @@ def test_employers_skills_links(spark, tmp_path):
     assert employer["employer_name"] == "New" and employer["first_seen_at"].year == 2020
 
     skills = spark.createDataFrame([("go", "GO")], schemas.SKILLS)
-    got = {r["skill_name"]: r["display_name"] for r in lc.upsert_skills(skills, lc.named_skills(batch)).collect()}
+    got = {r["skill_name"]: r["display_name"] for r in lc.upsert_skills(skills, batch).collect()}
     assert got == {"go": "GO", "docker": "- Docker,"}
 
     links = spark.createDataFrame([(1, "old"), (2, "stays"), (7, "other")], schemas.LINKS)

@@ -60,30 +60,48 @@ def ground_truth(
     return reduce(DataFrame.unionByName, found).distinct()
 
 
-def _judged(rankings: DataFrame, truth: DataFrame, max_k: int) -> DataFrame:
-    """Top of the rankings with a `hit` mark, for queries that have a ground truth.
-
-    `ranked` holds at most `max_k` rows per method and query.
-    """
-    top = rankings.where(F.col("rank") <= max_k)
-    hits = truth.select("query_id", "posting_id", F.lit(1).alias("hit"))
-    return top.join(hits, ["query_id", "posting_id"], "left")
-
-
 def _per_query(
     rankings: DataFrame, truth: DataFrame, methods: Sequence[str], ks: Sequence[int]
 ) -> DataFrame:
-    """One row per method and query with a ground truth: hits per k, first hit, truth size."""
-    expected = truth.groupBy("query_id").agg(F.count(F.lit(1)).alias("expected"))
-    names = F.array(*[F.lit(m) for m in methods])
-    base = expected.select(F.explode(names).alias("method"), "query_id", "expected")
-    hit = F.col("hit") == 1
-    found = _judged(rankings, truth, max(ks)).groupBy("method", "query_id").agg(
-        *[F.count_if(hit & (F.col("rank") <= k)).alias(f"hits_{k}") for k in ks],
-        F.min(F.when(hit, F.col("rank"))).alias("first_hit"),
+    """One row per method and query with a ground truth: its size, hits per k, first hit.
+
+    Relevant pairs and ranked pairs are stacked and grouped by (query, posting) once, so the
+    ground truth is read a single time; each pair then holds at most one rank per method.
+    """
+    relevant = truth.select(
+        "query_id",
+        "posting_id",
+        F.lit(True).alias("relevant"),
+        F.lit(None).cast("string").alias("method"),
+        F.lit(None).cast("int").alias("rank"),
+    )
+    top = rankings.where(F.col("rank") <= max(ks)).select(
+        "query_id", "posting_id", F.lit(False).alias("relevant"), "method", "rank"
     )
-    return base.join(found, ["method", "query_id"], "left").fillna(
-        0, subset=[f"hits_{k}" for k in ks]
+    rank_of = [
+        F.min(F.when(F.col("method") == m, F.col("rank"))).alias(f"_r{i}")
+        for i, m in enumerate(methods)
+    ]
+    pairs = (
+        relevant.unionByName(top)
+        .groupBy("query_id", "posting_id")
+        .agg(F.bool_or("relevant").alias("relevant"), *rank_of)
+        .where(F.col("relevant"))
+    )
+    by_method = F.array(
+        *[
+            F.struct(F.lit(m).alias("method"), F.col(f"_r{i}").alias("rank"))
+            for i, m in enumerate(methods)
+        ]
+    )
+    return (
+        pairs.select("query_id", F.inline(by_method))
+        .groupBy("method", "query_id")
+        .agg(
+            F.count(F.lit(1)).alias("expected"),
+            F.min("rank").alias("first_hit"),
+            *[F.count_if(F.col("rank") <= k).alias(f"hits_{k}") for k in ks],
+        )
     )
 
 

@@ -116,20 +116,27 @@ def upsert_employers(target: DataFrame, batch: DataFrame, now=None) -> DataFrame
 
 
 def named_skills(batch: DataFrame) -> DataFrame:
-    """Skill mentions `(posting_id, seq, place, label, skill_name)` of a flattened batch."""
+    """Skills named in a flattened batch with the first spelling seen.
+
+    Mentions are reduced to their distinct spellings before a name is normalised, so the
+    work on names grows with the vocabulary, and a skill named everywhere combines map-side.
+    """
+    mentions = batch.select("seq", F.posexplode("skills").alias("place", "label"))
+    spellings = mentions.groupBy("label").agg(F.min(F.struct("seq", "place")).alias("first"))
+    named = spellings.withColumn("_key", norm_name(F.col("label")))
+    # the name leaves as an aggregate: conditions on a grouping key would be pushed down to
+    # the mentions and normalise every one of them
     return (
-        batch.select("posting_id", "seq", F.posexplode("skills").alias("place", "label"))
-        .withColumn("skill_name", norm_name(F.col("label")))
+        named.groupBy("_key")
+        .agg(F.max("_key").alias("skill_name"), F.min_by("label", "first").alias("display_name"))
         .where(F.col("skill_name") != "")
+        .select("skill_name", "display_name")
     )
 
 
-def upsert_skills(target: DataFrame, mentions: DataFrame) -> DataFrame:
+def upsert_skills(target: DataFrame, batch: DataFrame) -> DataFrame:
     """New skill names join the dimension; the first spelling ever seen is displayed."""
-    fresh = mentions.groupBy("skill_name").agg(
-        F.min_by("label", F.struct("seq", "place")).alias("display_name")
-    )
-    new = fresh.join(target.select("skill_name"), "skill_name", "left_anti")
+    new = named_skills(batch).join(target.select("skill_name"), "skill_name", "left_anti")
     return target.select("skill_name", "display_name").unionByName(new)
 
 

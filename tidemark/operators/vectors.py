@@ -49,22 +49,31 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def _best(parts: list[np.ndarray], k: int) -> np.ndarray:
+def _best(parts: list[np.ndarray], k: int, one_per_posting: bool) -> np.ndarray:
     """First `k` of (similarity, posting, chunk) records in nearest order, ties included."""
     rows = np.concatenate(parts)
-    if len(rows) > k:
+    if len(rows) > k and not one_per_posting:
         bound = np.partition(rows["s"], len(rows) - k)[len(rows) - k]
         rows = rows[rows["s"] >= bound]
-    return rows[np.lexsort((rows["c"], rows["p"], -rows["s"]))][:k]
+    rows = rows[np.lexsort((rows["c"], rows["p"], -rows["s"]))]
+    if one_per_posting:
+        _, first = np.unique(rows["p"], return_index=True)
+        rows = rows[np.sort(first)]
+    return rows[:k]
 
 
 _RECORD = np.dtype([("s", "f8"), ("p", "i8"), ("c", "i8")])
 
 
 def _nearest_in_task(
-    ids: list, queries: np.ndarray, k: int, probes: list[set[int]] | None, schema: pa.Schema
+    ids: list,
+    queries: np.ndarray,
+    k: int,
+    probes: list[set[int]] | None,
+    one_per_posting: bool,
+    schema: pa.Schema,
 ):
-    """Scorer of one task: its `k` best chunks per query."""
+    """Scorer of one task: its `k` best chunks (or postings by their best chunk) per query."""
     dim = queries.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +106,7 @@ def _nearest_in_task(
                     posting[keep][worth],
                     chunk[keep][worth],
                 )
-                best[q] = _best([held, fresh], k)
+                best[q] = _best([held, fresh], k, one_per_posting)
         for q, rows in enumerate(best):
             if len(rows):
                 yield pa.RecordBatch.from_arrays(
@@ -131,9 +140,12 @@ def nearest_chunks(
     centroids: np.ndarray | None = None,
     nprobe: int | None = None,
     block_rows: int = BLOCK_ROWS,
+    one_per_posting: bool = False,
 ) -> DataFrame:
     """The `k` most similar chunks of each query, ranked from 1.
 
+    With `one_per_posting` only the best chunk of a posting counts: the `k` best postings of all
+    are among the `k` best of the task that holds their best chunk, so tasks stay independent.
     `queries` has `query_id` and `embedding`.  With `centroids`, the chunks carry a `list_id`
     (see `assign_lists`) and each query looks only into the `nprobe` lists nearest to it;
     a table partitioned by `list_id` is then read only in part.
@@ -157,11 +169,19 @@ def nearest_chunks(
             probes = [set(map(int, row)) for row in near]
             rows = rows.where(F.col("list_id").isin(*sorted(set().union(*probes))))
         columns = [*keys, "embedding", *(["list_id"] if centroids is not None else [])]
-        scorer = _nearest_in_task(ids, matrix, k, probes, schema)
+        scorer = _nearest_in_task(ids, matrix, k, probes, one_per_posting, schema)
         found.append(rows.select(*columns).mapInArrow(scorer, _NEAREST.format(kind=kind)))
     if not found:
         return chunks.sparkSession.createDataFrame([], _NEAREST.format(kind=kind) + ", rank int")
-    return top_k_within(reduce(DataFrame.unionByName, found), "query_id", nearest_order(), k)
+    rows = reduce(DataFrame.unionByName, found)
+    if one_per_posting:
+        rows = _one_per_posting(rows)
+    return top_k_within(rows, "query_id", nearest_order(), k)
+
+
+def _one_per_posting(rows: DataFrame) -> DataFrame:
+    columns = ["similarity", "chunk_index"]
+    return best_per_parent(rows, ["query_id", "posting_id"], *columns, columns)
 
 
 def semantic_search(
@@ -180,65 +200,34 @@ def semantic_search(
     `exact_collapse` takes the best chunk of every posting before the cut instead.
     """
     if exact_collapse:
-        best = _best_chunk_of_all(chunks, queries)
+        best = nearest_chunks(chunks, queries, limit, one_per_posting=True, **nearest)
     else:
-        fetched = nearest_chunks(chunks, queries, limit * over_fetch, **nearest)
-        best = best_per_parent(
-            fetched.where(F.col("similarity") >= min_similarity),
-            ["query_id", "posting_id"],
-            "similarity",
-            "chunk_index",
-            ["similarity", "chunk_index"],
-        )
-    best = best.where(F.col("similarity") >= min_similarity)
-    return top_k_within(best, "query_id", nearest_order(), limit).select(
+        best = _one_per_posting(nearest_chunks(chunks, queries, limit * over_fetch, **nearest))
+    near = best.where(F.col("similarity") >= min_similarity).drop("rank")
+    return top_k_within(near, "query_id", nearest_order(), limit).select(
         "query_id", "rank", "posting_id", "chunk_index", "similarity"
     )
 
 
-def _best_chunk_of_all(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """Best chunk per (query, posting): every task reduces its own rows before the shuffle."""
-    kind, arrow_kind = _id_type(queries)
-    schema = _NEAREST.format(kind=kind)
-    keys = [F.col(c).cast("bigint").alias(c) for c in ("posting_id", "chunk_index")]
-    usable = chunks.where(F.col("embedding").isNotNull()).select(*keys, "embedding")
-    found = []
-    for ids, matrix in _query_blocks(queries, BLOCK_ROWS):
-
-        def run(batches, ids=ids, matrix=matrix):
-            for batch in batches:
-                if batch.num_rows == 0:
-                    continue
-                vectors = _unit_rows(_matrix(batch.column("embedding"), matrix.shape[1]))
-                scores = np.round(vectors @ matrix.T, DECIMALS)
-                posting = batch.column("posting_id").to_numpy(zero_copy_only=False)
-                chunk = batch.column("chunk_index").to_numpy(zero_copy_only=False)
-                for q, query_id in enumerate(ids):
-                    order = np.lexsort((chunk, -scores[:, q], posting))
-                    first = order[np.r_[True, np.diff(posting[order]) != 0]]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([query_id] * len(first), arrow_kind),
-                            pa.array(posting[first]),
-                            pa.array(chunk[first]),
-                            pa.array(scores[first, q]),
-                        ],
-                        names=["query_id", "posting_id", "chunk_index", "similarity"],
-                    )
-
-        found.append(usable.mapInArrow(run, schema))
-    return best_per_parent(
-        reduce(DataFrame.unionByName, found),
-        ["query_id", "posting_id"],
-        "similarity",
-        "chunk_index",
-        ["similarity", "chunk_index"],
-    )
+#: Hits of two long keys each that are safe to broadcast (some 16 MB).
+BROADCAST_HITS = 1_000_000
+
 
+def with_snippets(
+    hits: DataFrame, chunks: DataFrame, size: int = 400, at_most: int | None = None
+) -> DataFrame:
+    """Hits with the head of their chunk's text; a hit without a chunk has an empty one.
 
-def with_snippets(hits: DataFrame, chunks: DataFrame, size: int = 400) -> DataFrame:
-    """Hits with the head of their chunk's text; a hit without a chunk has an empty one."""
-    texts = chunks.select("posting_id", "chunk_index", snippet(F.col("content"), size).alias("snippet"))
+    `at_most` is the caller's bound on the hits (limit times queries).  A small bound lets the
+    keys be broadcast to the chunks, so texts of other chunks are not shuffled; without one,
+    or with a large one, the planner decides.
+    """
+    keys = hits.select("posting_id", "chunk_index").distinct()
+    small = at_most is not None and at_most <= BROADCAST_HITS
+    named = chunks.select("posting_id", "chunk_index", "content").join(
+        F.broadcast(keys) if small else keys, ["posting_id", "chunk_index"], "left_semi"
+    )
+    texts = named.select("posting_id", "chunk_index", snippet(F.col("content"), size).alias("snippet"))
     return hits.join(texts, ["posting_id", "chunk_index"], "left").withColumn(
         "snippet", F.coalesce("snippet", F.lit(""))
     )

@@ -95,7 +95,7 @@ def skill_dimension(spark: SparkSession, d: str) -> DataFrame:
         F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("seq"),
         F.array(label, F.initcap(label)).alias("skills"),
     )
-    return lc.upsert_skills(known, lc.named_skills(batch))
+    return lc.upsert_skills(known, batch)
 
 
 def link_replace(spark: SparkSession, d: str) -> DataFrame:

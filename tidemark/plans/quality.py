@@ -95,19 +95,16 @@ def rankings(spark: SparkSession, d: str) -> DataFrame:
         F.min_by("term", F.struct(F.length("term"), "term")).alias(METHODS[1]),
     )
     chosen = chosen.unpivot("query_id", list(METHODS), "method", "term")
-    terms = chosen.select(
-        F.concat_ws("/", "method", "query_id").alias("query_id"),
-        "term",
-        F.lit(0).alias("ordinal"),
-        F.lit(1).alias("n_terms"),
+    # queries share words: each distinct word is ranked once, cut to the top, then handed out
+    terms = chosen.select("term").distinct().select(
+        F.col("term").alias("query_id"), "term", F.lit(0).alias("ordinal"), F.lit(1).alias("n_terms")
     )
     ranked = ft.rank_terms(ft.build_index(s.document_texts(spark, d)), terms, most=1)
     top = top_k_within(
         ranked.withColumnRenamed("rank", "score"), "query_id", [F.desc("score"), F.asc("posting_id")], max(KS)
     )
-    parts = F.split("query_id", "/")
-    return top.select(
-        parts[0].alias("method"), parts[1].alias("query_id"), "posting_id", "rank"
+    return chosen.join(top.withColumnRenamed("query_id", "term"), "term").select(
+        "method", "query_id", "posting_id", "rank"
     )
 
 

@@ -64,7 +64,7 @@ def best_parent(spark: SparkSession, d: str) -> DataFrame:
 def knn_batch(spark: SparkSession, d: str) -> DataFrame:
     chunks = s.chunks(spark, d)
     hits = v.semantic_search(chunks, label_means(spark, d), limit=5, min_similarity=0.05)
-    out = v.with_snippets(hits, chunks, 7)
+    out = v.with_snippets(hits, chunks, 7)  # as many queries as labels: no bound is known here
     return out.select(
         "query_id", "rank", "posting_id", "chunk_index", F.round("similarity", 6).alias("similarity"), "snippet"
     )

@@ -83,7 +83,7 @@ def current_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return {
         "postings": _merge_postings(tables["postings"], batch),
         "employers": _merge_employers(tables["employers"], batch),
-        "skills": lc.upsert_skills(tables["skills"], lc.named_skills(batch)),
+        "skills": lc.upsert_skills(tables["skills"], batch),
         "links": lc.replace_links(tables["links"], batch),
     }
 
