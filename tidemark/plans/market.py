@@ -298,7 +298,7 @@ GROUP BY 1, 2 ORDER BY n DESC, l_suppkey, l_returnflag LIMIT 20""",
         search_filtered,
         _sql("""
 WITH {postings}
-SELECT posting_id, c_name AS employer_name, salary AS salary_from_base,
+SELECT posting_id, c_name AS employer_name, CAST(salary AS INTEGER) AS salary_from_base,
        experience_id AS experience_name, is_remote, published_at, CAST(NULL AS DOUBLE) AS rank
 FROM postings LEFT JOIN customer ON c_custkey = employer_id
 WHERE salary >= 200000 AND experience_id IN ('1-URGENT', '2-HIGH') AND is_remote
@@ -309,7 +309,7 @@ ORDER BY published_at DESC NULLS LAST, posting_id LIMIT 50 OFFSET 10"""),
         detail_cards,
         _sql("""
 WITH {postings}, {links}
-SELECT p.posting_id, p.salary AS salary_from_base, p.published_at, c_custkey AS employer_id,
+SELECT p.posting_id, CAST(p.salary AS INTEGER) AS salary_from_base, p.published_at, c_custkey AS employer_id,
        c_name AS employer_name,
        coalesce((SELECT string_agg(l.skill_name, '|' ORDER BY l.skill_name)
                  FROM links l WHERE l.posting_id = p.posting_id), '') AS skills

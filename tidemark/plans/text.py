@@ -284,7 +284,7 @@ WITH cut AS (
     string_split(regexp_replace(text, '([.!?…])\\s+', '\\1' || chr(10), 'g'), chr(10)),
     lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS ss
   FROM documents)
-SELECT doc_id, unnest(ss) AS sentence, generate_subscripts(ss, 1) - 1 AS place FROM cut""",
+SELECT doc_id, unnest(ss) AS sentence, CAST(generate_subscripts(ss, 1) - 1 AS INTEGER) AS place FROM cut""",
     ),
     "chunk_documents": (document_chunks, None),
     "chunk_titled_pages": (titled_chunks, None),
@@ -301,7 +301,7 @@ WHERE word <> '' GROUP BY doc_id""",
         hash_norms,
         """
 SELECT doc_id, CASE WHEN regexp_matches(text, '[\\p{L}\\p{N}_]') THEN 1.0::DOUBLE ELSE 0.0 END AS norm,
-       384 AS dim
+       CAST(384 AS BIGINT) AS dim
 FROM documents""",
     ),
     "word_counts": (

@@ -123,11 +123,15 @@ def hybrid(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _whole_rank(sql: str) -> str:
+    return f"SELECT * REPLACE (CAST(rank AS INTEGER) AS rank) FROM ({sql})"
+
+
 MEANS_SQL = """
   comp AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
   means AS (SELECT label AS query_id, list(x ORDER BY i) AS q
             FROM (SELECT label, i, avg(x) AS x FROM comp GROUP BY ALL) GROUP BY label),
-  sims AS (SELECT query_id, label AS posting_id, vec_id AS chunk_index,
+  sims AS (SELECT query_id, CAST(label AS BIGINT) AS posting_id, vec_id AS chunk_index,
                   round(list_cosine_similarity(embedding::DOUBLE[], q), 12) AS s
            FROM embeddings, means),
   near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, posting_id, chunk_index) AS rank
@@ -149,9 +153,11 @@ _TEXT_SQL = " UNION ALL ".join(rank_sql(str(k), w) for k, w in LABEL_WORDS.items
 QUERIES = {
     "cosine_topk": (
         cosine_topk,
-        f"""
+        _whole_rank(
+            f"""
 WITH {MEANS_SQL}
-SELECT query_id, posting_id, chunk_index, round(s, 6) AS similarity, rank FROM near WHERE rank <= 10""",
+SELECT query_id, posting_id, chunk_index, round(s, 6) AS similarity, rank FROM near WHERE rank <= 10"""
+        ),
     ),
     "cosine_native": (
         native_cosine,
@@ -162,28 +168,28 @@ SELECT chunk_index, round(s, 6) AS similarity FROM sims WHERE query_id = posting
     "best_per_parent": (
         best_parent,
         """
-SELECT label AS posting_id, round(embedding[1]::DOUBLE, 2) AS score, vec_id AS chunk_index
+SELECT CAST(label AS BIGINT) AS posting_id, round(embedding[1]::DOUBLE, 2) AS score, vec_id AS chunk_index
 FROM embeddings
 QUALIFY row_number() OVER (PARTITION BY label ORDER BY round(embedding[1]::DOUBLE, 2) DESC, vec_id) = 1""",
     ),
     "knn_batch": (
         knn_batch,
-        _KNN_SQL.format(
+        _whole_rank(_KNN_SQL).format(
             more=""", CASE WHEN length('chunk ' || chunk_index) <= 7 THEN 'chunk ' || chunk_index
               ELSE substr('chunk ' || chunk_index, 1, 7) || '…' END AS snippet"""
         ),
     ),
     "knn_exact_collapse": (
         exact_collapse,
-        f"""
+        _whole_rank(f"""
 WITH {MEANS_SQL},
 best AS (SELECT query_id, posting_id, max(s) AS s, arg_max(chunk_index, (s, -chunk_index)) AS chunk_index
          FROM sims GROUP BY 1, 2)
 SELECT query_id, posting_id, chunk_index, round(s, 6) AS similarity,
        row_number() OVER (PARTITION BY query_id ORDER BY s DESC, posting_id, chunk_index) AS rank
-FROM best WHERE s >= 0 QUALIFY rank <= 5""",
+FROM best WHERE s >= 0 QUALIFY rank <= 5"""),
     ),
-    "approx_knn_full_probe": (approx_full, _KNN_SQL.format(more="")),
+    "approx_knn_full_probe": (approx_full, _whole_rank(_KNN_SQL).format(more="")),
     "approx_knn": (approx_part, None),
     "rrf": (
         fuse,
@@ -198,7 +204,7 @@ FROM a LEFT JOIN b ON a.doc_id = b.doc_id""",
     ),
     "hybrid": (
         hybrid,
-        f"""
+        _whole_rank(f"""
 WITH {HITS_SQL}, {MEANS_SQL},
 txt AS (SELECT CAST(query_id AS INTEGER) AS query_id, posting_id,
           row_number() OVER (PARTITION BY query_id ORDER BY round(rank, 9) DESC, posting_id) AS r
@@ -209,12 +215,12 @@ vec AS (SELECT query_id, chunk_index AS posting_id, s,
 fused AS (
   SELECT coalesce(v.query_id, t.query_id) AS query_id, coalesce(v.posting_id, t.posting_id) AS posting_id,
          coalesce(0.4::DOUBLE / (60 + v.r), 0) + coalesce(0.6::DOUBLE / (60 + t.r), 0) AS score,
-         coalesce(v.s, 0) AS similarity, CASE WHEN v.r IS NULL THEN -1 ELSE 0 END AS chunk_index, v.r AS near
+         coalesce(v.s, 0) AS similarity, CAST(CASE WHEN v.r IS NULL THEN -1 ELSE 0 END AS BIGINT) AS chunk_index, v.r AS near
   FROM (SELECT * FROM vec WHERE r <= 40) v
   FULL JOIN (SELECT * FROM txt WHERE r <= 40) t
     ON v.query_id = t.query_id AND v.posting_id = t.posting_id)
 SELECT query_id, posting_id, round(score, 9) AS score, round(similarity, 6) AS similarity, chunk_index,
        row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, near NULLS LAST, posting_id) AS rank
-FROM fused QUALIFY rank <= 10""",
+FROM fused QUALIFY rank <= 10"""),
     ),
 }
