@@ -265,51 +265,61 @@ def search_postings(
 ) -> DataFrame:
     """Filtered, ranked search.  Without a text the newest postings come first.
 
-    The best rows are picked before the employer names are looked up: at most
-    `limit` keys are sent to the employer table.
+    Text hits meet only the keys and dates of the filtered postings; the wide columns are read
+    for the best rows alone.  Both lookups that follow the cut, of the wide columns and of the
+    employer names, broadcast at most `limit` keys.
     """
     terms = split_words(text)
     found = search_filter(postings, now=now, **filters)
-    rank = F.lit(None).cast("double")
-    if terms or any_of or phrases:
-        needed = terms + [w for p in phrases for w in p]
-        if needed:
-            ranks = text_rank(index, {"q": needed}).drop("query_id")
-        else:
-            ranks = any_rank(index, any_of)
-        if none_of or any_of or phrases:
-            ranks = ranks.join(
-                text_match(index, terms, none_of, any_of, phrases), "posting_id", "left_semi"
-            )
-        found = found.join(ranks.withColumnRenamed("rank", "_rank"), "posting_id")
-        rank = F.col("_rank")
-    elif none_of:
-        hits = text_match(index, none_of=none_of, universe=found)
-        found = found.join(hits, "posting_id", "left_semi")
-    found = found.withColumn("rank", rank)
-
-    newest = F.desc_nulls_last("published_at")
-    order = [F.desc_nulls_last("rank"), newest, F.asc("posting_id")]
-    absent = [
-        F.lit(None).cast("string").alias(c)
-        for c in columns
-        if c not in found.columns and c != "employer_name"
-    ]
-    keep = [c for c in columns if c in found.columns and c != "employer_name"]
-    carry = [] if employers is None else ["employer_id"]
-    top = (
-        found.select(*keep, *[c for c in carry if c not in keep], *absent)
-        .orderBy(*order)
-        .offset(max(0, offset))
-        .limit(clamp_limit(limit, max_limit))
-    )
-    if employers is None:
-        return top.withColumn("employer_name", F.lit(None).cast("string")).select(*columns)
-    # both broadcasts hold at most `limit` rows
-    keys = top.select("employer_id").where(F.col("employer_id").isNotNull()).distinct()
-    names = employers.select("employer_id", "employer_name").join(
-        F.broadcast(keys), "employer_id", "left_semi"
-    )
-    return (
-        top.join(F.broadcast(names), "employer_id", "left").select(*columns).orderBy(*order)
-    )
+    hits = _ranked_hits(index, terms, none_of, any_of, phrases, found)
+    limit = clamp_limit(limit, max_limit)
+    order = [F.desc_nulls_last("rank"), F.desc_nulls_last("published_at"), F.asc("posting_id")]
+    wide = [c for c in columns if c in postings.columns]
+    wide += [c for c in ("employer_id", "published_at", "posting_id") if c not in wide and c in postings.columns]
+
+    def cut(rows: DataFrame) -> DataFrame:
+        return rows.orderBy(*order).offset(max(0, offset)).limit(limit)
+
+    if hits is None:
+        top = cut(found.select(*wide, F.lit(None).cast("double").alias("rank")))
+    else:
+        best = cut(found.select("posting_id", "published_at").join(hits, "posting_id"))
+        best = best.select("posting_id", "rank")
+        top = postings.select(*wide).join(F.broadcast(best), "posting_id")  # at most `limit` rows
+    if employers is None or "employer_id" not in wide:
+        named = top.withColumn("employer_name", F.lit(None).cast("string"))
+    else:
+        keys = top.select("employer_id").where(F.col("employer_id").isNotNull()).distinct()
+        names = employers.select("employer_id", "employer_name").join(
+            F.broadcast(keys), "employer_id", "left_semi"
+        )
+        named = top.join(F.broadcast(names), "employer_id", "left")
+    absent = [c for c in columns if c not in named.columns]
+    for name in absent:
+        named = named.withColumn(name, F.lit(None).cast("string"))
+    return named.orderBy(*order).select(*columns)
+
+
+def _ranked_hits(
+    index: DataFrame | None,
+    terms: Sequence[str],
+    none_of: Sequence[str],
+    any_of: Sequence[str],
+    phrases: Sequence[Sequence[str]],
+    universe: DataFrame,
+) -> DataFrame | None:
+    """Matching documents with their rank; null ranks where only absent words are asked for."""
+    needed = list(terms) + [w for p in phrases for w in p]
+    if not needed and not any_of:
+        if not none_of:
+            return None
+        absent = text_match(index, none_of=none_of, universe=universe)
+        return absent.withColumn("rank", F.lit(None).cast("double"))
+    if needed:
+        ranks = text_rank(index, {"q": needed}).drop("query_id")
+    else:
+        ranks = any_rank(index, any_of)
+    if none_of or phrases or (any_of and needed):
+        matched = text_match(index, terms, none_of, any_of, phrases)
+        ranks = ranks.join(matched, "posting_id", "left_semi")
+    return ranks

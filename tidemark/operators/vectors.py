@@ -22,7 +22,11 @@ from pyspark.sql import types as T
 from tidemark.functions.fields import clamp_limit
 from tidemark.functions.text import snippet
 from tidemark.operators.ranking import best_per_parent, top_k_within
-from tidemark.sources.parameters import BLOCK_ROWS, blocks
+from tidemark.sources.parameters import blocks
+
+#: Query vectors per pass: an Arrow batch of some thousand rows then has a score block of
+#: a few tens of MB.
+BLOCK_ROWS = 512
 
 #: Similarities are rounded here, so equal vectors tie whatever block they fall in.
 DECIMALS = 12

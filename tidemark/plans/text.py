@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import words
 from tidemark.operators import fulltext as ft
 from tidemark.operators.chunking import chunk_documents, sentences
-from tidemark.operators.embedding import hash_embed
+from tidemark.operators.embedding import hash_embed, mixed_models, refresh_chunks
 from tidemark.operators.html import extract_text
 from tidemark.operators.stem import stem_index, stem_vocabulary
 from tidemark.operators.ranking import spread_rows
 from tidemark.plans import standin as s
+from tidemark.schemas import CHUNKS
 
 
 def index(spark: SparkSession, d: str) -> DataFrame:
@@ -123,6 +124,41 @@ def page_text(spark: SparkSession, d: str) -> DataFrame:
     return extract_text(pages).select("page_id", "text")
 
 
+def page_postings(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as postings with an HTML description."""
+    pages = s.table(spark, d, "pages").select(
+        F.col("page_id").alias("posting_id"), F.col("url").alias("title"), F.col("html").alias("description")
+    )
+    return spread_rows(pages, "posting_id")
+
+
+def _indexed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Second indexing run: English pages are done, German ones by another model."""
+    pages = page_postings(spark, d)
+    now = F.lit("2024-01-01").cast("timestamp")
+    empty = spark.createDataFrame([], CHUNKS)
+    english, german = (pages.where(F.col("title").contains(f"/{lang}/")) for lang in ("en", "de"))
+    done, _ = refresh_chunks(english, empty, model="new", now=now)
+    stale, _ = refresh_chunks(german, empty, model="old", now=now)
+    return refresh_chunks(pages, done.unionByName(stale), model="new", now=now)
+
+
+def indexing_counts(spark: SparkSession, d: str) -> DataFrame:
+    _, counts = _indexed(spark, d)
+    return counts.select("postings_processed", "postings_skipped")
+
+
+def indexed_models(spark: SparkSession, d: str) -> DataFrame:
+    """Postings per model after the run, and how many mix two."""
+    table, _ = _indexed(spark, d)
+    keys = table.select("posting_id", "model_name")
+    return (
+        keys.groupBy("model_name")
+        .agg(F.count_distinct("posting_id").alias("postings"))
+        .withColumn("mixed", mixed_models(keys).agg(F.count(F.lit(1))).scalar())
+    )
+
+
 def sentence_split(spark: SparkSession, d: str) -> DataFrame:
     docs = s.table(spark, d, "documents").select("doc_id", "text")
     parts = F.posexplode_outer(sentences(F.col("text"))).alias("place", "sentence")
@@ -374,6 +410,17 @@ FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, '\\s+', ' ', 'g'),
       FROM documents)
 WHERE word <> '' GROUP BY doc_id""",
     ),
+    "indexing_counts": (
+        indexing_counts,
+        """
+SELECT count(*) FILTER (WHERE NOT contains(url, '/en/')) AS postings_processed,
+       count(*) FILTER (WHERE contains(url, '/en/')) AS postings_skipped
+FROM pages""",
+    ),
+    "indexed_models": (
+        indexed_models,
+        "SELECT 'new' AS model_name, count(*) AS postings, CAST(0 AS BIGINT) AS mixed FROM pages",
+    ),
     "hash_embed": (hash_vectors, None),
     "hash_norms": (
         hash_norms,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.vector import cosine
 from tidemark.operators import fulltext as ft
 from tidemark.operators import vectors as v
-from tidemark.operators.ranking import best_per_parent, rank_within
+from tidemark.operators.ranking import best_per_parent, top_k_within
 from tidemark.plans import standin as s
 from tidemark.plans.text import HITS_SQL, index, rank_sql
 
@@ -100,16 +100,16 @@ def text_ranks(spark: SparkSession, d: str) -> DataFrame:
     """Ranked text hits per label."""
     ranks = ft.text_rank(index(spark, d), {str(k): w for k, w in LABEL_WORDS.items()})
     hits = ranks.select(F.col("query_id").cast("int"), "posting_id", F.col("rank").alias("score"))
-    return rank_within(hits, "query_id", [F.desc("score"), F.asc("posting_id")])
+    return top_k_within(hits, "query_id", [F.desc("score"), F.asc("posting_id")], 50)
 
 
 def fuse(spark: SparkSession, d: str) -> DataFrame:
-    """Fusion of two rankings of documents: by length inside the language and by number."""
+    """Fusion of two top lists per source: the longest documents and the first English ones."""
     docs = s.table(spark, d, "documents").select(
         F.col("source").alias("query_id"), F.col("doc_id").alias("posting_id"), "n_chars", "lang"
     )
-    by_length = rank_within(docs, "query_id", [F.desc("n_chars"), F.asc("posting_id")])
-    english = rank_within(docs.where(F.col("lang") == "en"), "query_id", [F.asc("posting_id")])
+    by_length = top_k_within(docs, "query_id", [F.desc("n_chars"), F.asc("posting_id")], 50)
+    english = top_k_within(docs.where(F.col("lang") == "en"), "query_id", [F.asc("posting_id")], 50)
     return v.rrf([by_length, english], [0.7, 0.3]).withColumn("score", F.round("score", 9))
 
 
@@ -195,12 +195,12 @@ FROM best WHERE s >= 0 QUALIFY rank <= 5"""),
         fuse,
         """
 WITH a AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r
-           FROM documents),
+           FROM documents QUALIFY r <= 50),
 b AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r
-      FROM documents WHERE lang = 'en')
-SELECT a.source AS query_id, a.doc_id AS posting_id,
-       round(0.7::DOUBLE / (60 + a.r) + coalesce(0.3::DOUBLE / (60 + b.r), 0), 9) AS score
-FROM a LEFT JOIN b ON a.doc_id = b.doc_id""",
+      FROM documents WHERE lang = 'en' QUALIFY r <= 50)
+SELECT coalesce(a.source, b.source) AS query_id, coalesce(a.doc_id, b.doc_id) AS posting_id,
+       round(coalesce(0.7::DOUBLE / (60 + a.r), 0) + coalesce(0.3::DOUBLE / (60 + b.r), 0), 9) AS score
+FROM a FULL JOIN b ON a.doc_id = b.doc_id""",
     ),
     "hybrid": (
         hybrid,

@@ -20,6 +20,8 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # texts and vectors are wide: small batches keep a Python worker's memory flat
+        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     )
     if master:
         cores = os.cpu_count() or 4
@@ -34,11 +36,3 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
 
-
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
-    """The shared checkpoint folder the cluster names; `fallback` only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named is None and fallback is not None:
-        spark.sparkContext.setCheckpointDir(fallback)
-        named = fallback
-    return named
