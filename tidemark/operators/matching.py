@@ -6,7 +6,9 @@ matching is a single narrow pass over the postings, without a join or a shuffle.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,10 +66,11 @@ def match_columns(profile: Profile, order: tuple[str, ...] = EXPERIENCE_ORDER) -
 
     skills = F.col("skills")
     held = _strings(list(profile.skills))
-    gaps = _strings(sorted(set(profile.missing)))
-    matched = F.filter(skills, lambda s: F.array_contains(held, s))
-    missing = F.filter(skills, lambda s: ~F.array_contains(held, s))
-    admitted = _flags(F.filter(missing, lambda s: F.array_contains(gaps, s)), "known_gap")
+    admitted_gaps = sorted(set(profile.missing) - set(profile.skills))
+    # the names of a posting are distinct; these keep their order and look up by hash
+    matched = F.array_intersect(skills, held)
+    missing = F.array_except(skills, held)
+    admitted = _flags(F.array_intersect(skills, _strings(admitted_gaps)), "known_gap")
     unnamed = F.size(skills) == 0
     no_skills = F.array_compact(F.array(F.when(unnamed, _finding("no_skills_named"))))
 
@@ -75,17 +78,15 @@ def match_columns(profile: Profile, order: tuple[str, ...] = EXPERIENCE_ORDER) -
         kept = F.array_compact(F.array(*findings)) if findings else F.filter(no_skills, lambda _: F.lit(False))
         return kept
 
-    weights = {s: LEVEL_WEIGHT.get(level, 0.0) for s, level in profile.skills.items()}
-    weight_of = (
-        F.create_map(*[F.lit(x) for pair in weights.items() for x in pair]) if weights else None
-    )
     level = F.lit(0.0)
-    if weight_of is not None:
-        total = F.aggregate(
-            F.col("matched_skills"), F.lit(0.0), lambda a, s: a + F.element_at(weight_of, s)
-        )
+    parts = [
+        F.lit(weight) * F.size(F.array_intersect(F.col("matched_skills"), _strings(names)))
+        for name, weight in LEVEL_WEIGHT.items()
+        if (names := [s for s, level_ in profile.skills.items() if level_ == name])
+    ]
+    if parts:
         count = F.size("matched_skills")
-        level = F.when(count > 0, total / count).otherwise(F.lit(0.0))
+        level = F.when(count > 0, reduce(operator.add, parts) / count).otherwise(F.lit(0.0))
     coverage = F.when(unnamed, F.lit(1.0)).otherwise(F.size("matched_skills") / F.size(skills))
     score = F.least(
         F.lit(1.0), F.greatest(F.lit(0.0), COVERAGE_SHARE * F.col("_coverage") + LEVEL_SHARE * level)
