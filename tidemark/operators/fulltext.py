@@ -18,6 +18,7 @@ from tidemark.functions.fields import clamp_limit
 from tidemark.functions.text import words
 from tidemark.operators.filters import search_filter
 from tidemark.operators.ranking import spread_rows
+from tidemark.operators.stem import STOP_WORDS, stem_index, stem_word
 
 #: Weight of a word in the title and in the body.
 FIELD_WEIGHT = {"A": 1.0, "B": 0.4}
@@ -78,9 +79,10 @@ def document_frequency(index: DataFrame) -> DataFrame:
     )
 
 
-def split_words(text: str | None) -> list[str]:
-    """Words of a plain search text, all of them required."""
-    return re.findall(r"\w+", (text or "").lower())
+def split_words(text: str | None, stop_words: frozenset[str] = STOP_WORDS) -> list[str]:
+    """Words of a plain search text, all of them required; stop words are left out."""
+    found = re.findall(r"\w+", (text or "").lower())
+    return [w for w in found if w.replace("ё", "е") not in stop_words]
 
 
 def _shifted(positions: Column, shift: int) -> Column:
@@ -260,6 +262,8 @@ def search_postings(
     offset: int = 0,
     max_limit: int = 50,
     columns: Sequence[str] = SUMMARY,
+    stop_words: frozenset[str] = STOP_WORDS,
+    vocabulary: DataFrame | None = None,
     now: datetime | Column | None = None,
     **filters,
 ) -> DataFrame:
@@ -267,10 +271,19 @@ def search_postings(
 
     Text hits meet only the keys and dates of the filtered postings; the wide columns are read
     for the best rows alone.  Both lookups that follow the cut, of the wide columns and of the
-    employer names, broadcast at most `limit` keys.
+    employer names, broadcast at most `limit` keys.  With a `vocabulary` (see
+    `stem.stem_vocabulary`) all words are searched by their stems.  A text of stop words alone
+    finds nothing.
     """
-    terms = split_words(text)
+    terms = split_words(text, stop_words)
     found = search_filter(postings, now=now, **filters)
+    if split_words(text, frozenset()) and not (terms or any_of or phrases):
+        found = found.where(F.lit(False))
+    if vocabulary is not None:
+        terms, none_of, any_of = ([stem_word(w) for w in ws] for ws in (terms, none_of, any_of))
+        phrases = [[stem_word(w) for w in p] for p in phrases]
+        mentioned = {*terms, *none_of, *any_of, *(w for p in phrases for w in p)}
+        index = stem_index(index, vocabulary, sorted(mentioned)) if mentioned else index
     hits = _ranked_hits(index, terms, none_of, any_of, phrases, found)
     limit = clamp_limit(limit, max_limit)
     order = [F.desc_nulls_last("rank"), F.desc_nulls_last("published_at"), F.asc("posting_id")]

@@ -1,4 +1,4 @@
-"""Word stems for searches: word forms of one stem find each other.
+"""Word stems and stop words for searches: word forms of one stem find each other.
 
 Stems are computed over the distinct vocabulary of an index, never over its occurrences.
 """
@@ -81,8 +81,7 @@ def _end(pattern: re.Pattern[str], word: str, start: int = 0) -> int:
     return found.end() if found else len(word)
 
 
-def stem_word(word: str) -> str:
-    """Stem of a lower-case Russian word; words without Cyrillic vowels stay as they are."""
+def stem_russian(word: str) -> str:
     word = word.replace("ё", "е")
     rv = _end(_AFTER_VOWEL, word)
     r2 = _end(_AFTER_PAIR, word, _end(_AFTER_PAIR, word))
@@ -109,6 +108,131 @@ def stem_word(word: str) -> str:
     return word
 
 
+# The published Snowball algorithm for English.
+_EN_KEPT = "sky news howe atlas cosmos bias andes".split()
+_EN_FIXED = dict(
+    skis="ski", skies="sky", dying="die", lying="lie", tying="tie", idly="idl", gently="gentl",
+    ugly="ugli", early="earli", only="onli", singly="singl",
+) | {word: word for word in _EN_KEPT}
+_EN_WHOLE_AFTER_PLURAL = set("inning outing canning herring earring proceed exceed succeed".split())
+_EN_STEP_2 = dict(
+    tional="tion", enci="ence", anci="ance", abli="able", entli="ent", izer="ize", ization="ize",
+    ational="ate", ation="ate", ator="ate", alism="al", aliti="al", alli="al", fulness="ful",
+    ousli="ous", ousness="ous", iveness="ive", iviti="ive", biliti="ble", bli="ble", ogi="og",
+    fulli="ful", lessli="less", li="",
+)
+_EN_STEP_3 = dict(
+    tional="tion", ational="ate", alize="al", icate="ic", iciti="ic", ical="ic", ful="", ness="",
+    ative="",
+)
+_EN_STEP_4 = dict.fromkeys(
+    "al ance ence er ic able ible ant ement ment ent ism ate iti ous ive ize ion".split(), ""
+)
+_EN_FIRST_REGION = re.compile("gener|commun|arsen")
+_EN_REGION = re.compile("[^aeiouy]*[aeiouy]+[^aeiouy]")
+_EN_VOWEL = re.compile("[aeiouy]")
+_EN_SHORT = re.compile("(?:(?:^|.*[^aeiouy])[aeiouy][^aeiouywxY]|^[aeiouy][^aeiouy])$", re.DOTALL)
+
+
+def _suffix(word: str, endings: dict[str, str]) -> str | None:
+    """Longest of the endings the word has."""
+    return max((e for e in endings if word.endswith(e)), key=len, default=None)
+
+
+def _swap(word: str, endings: dict[str, str], start: int, allowed) -> str:
+    """The word with its longest listed ending replaced, if that begins at `start` or later."""
+    ending = _suffix(word, endings)
+    if ending is None:
+        return word
+    head = word[: len(word) - len(ending)]
+    return head + endings[ending] if len(head) >= start and allowed(head, ending) else word
+
+
+def _short_end(word: str) -> bool:
+    return _EN_SHORT.match(word) is not None
+
+
+def _without_ing_ed(word: str, r1: int) -> str:
+    ending = _suffix(word, dict.fromkeys(("eed", "eedly", "ed", "edly", "ing", "ingly"), ""))
+    if ending is None:
+        return word
+    head = word[: len(word) - len(ending)]
+    if ending.startswith("eed"):
+        return head + "ee" if len(head) >= r1 else word
+    if not _EN_VOWEL.search(head):
+        return word
+    if head.endswith(("at", "bl", "iz")):
+        return head + "e"
+    if head[-2:] in ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt"):
+        return head[:-1]
+    return head + "e" if len(head) <= r1 and _short_end(head) else head
+
+
+def stem_english(word: str) -> str:
+    if len(word) <= 2:
+        return word
+    if word in _EN_FIXED:
+        return _EN_FIXED[word]
+    word = re.sub("^y|(?<=[aeiouy])y", "Y", word)
+    first = _EN_FIRST_REGION.match(word)
+    r1 = first.end() if first else _end(_EN_REGION, word)
+    r2 = _end(_EN_REGION, word, r1)
+
+    if word.endswith("sses"):
+        word = word[:-2]
+    elif word.endswith(("ied", "ies")):
+        word = word[:-2] if len(word) > 4 else word[:-1]
+    elif word.endswith("s") and not word.endswith(("us", "ss")) and _EN_VOWEL.search(word[:-2]):
+        word = word[:-1]
+    if word in _EN_WHOLE_AFTER_PLURAL:
+        return word
+    word = _without_ing_ed(word, r1)
+    if len(word) > 2 and word[-1] in "yY" and not _EN_VOWEL.match(word[-2]):
+        word = word[:-1] + "i"
+
+    def in_step_2(head: str, ending: str) -> bool:
+        if ending == "li":
+            return head[-1:] in tuple("cdeghkmnrt")
+        return ending != "ogi" or head.endswith("l")
+
+    word = _swap(word, _EN_STEP_2, r1, in_step_2)
+    word = _swap(word, _EN_STEP_3, r1, lambda head, e: e != "ative" or len(head) >= r2)
+    word = _swap(word, _EN_STEP_4, r2, lambda head, e: e != "ion" or head.endswith(("s", "t")))
+    head = word[:-1]
+    if word.endswith("e") and (len(head) >= r2 or (len(head) >= r1 and not _short_end(head))):
+        word = head
+    elif word.endswith("ll") and len(head) >= r2:
+        word = head
+    return word.replace("Y", "y")
+
+
+# Frequent words left out of a search text, by the published Snowball lists.
+STOP_WORDS = frozenset(
+    """
+    и в во не что он на я с со как а то все она так его но да ты к у же вы за бы по только ее мне
+    было вот от меня еще нет о из ему теперь когда даже ну вдруг ли если уже или ни быть был него
+    до вас нибудь опять уж вам ведь там потом себя ничего ей может они тут где есть надо ней для мы
+    тебя их чем была сам чтоб без будто чего раз тоже себе под будет ж тогда кто этот того потому
+    этого какой совсем ним здесь этом один почти мой тем чтобы нее сейчас были куда зачем всех
+    никогда можно при наконец два об другой хоть после над больше тот через эти нас про всего них
+    какая много разве три эту моя впрочем хорошо свою этой перед иногда лучше чуть том нельзя такой
+    им более всегда конечно всю между
+    i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she
+    her hers herself it its itself they them their theirs themselves what which who whom this that
+    these those am is are was were be been being have has had having do does did doing a an the and
+    but if or because as until while of at by for with about against between into through during
+    before after above below to from up down in out on off over under again further then once here
+    there when where why how all any both each few more most other some such no nor not only own same
+    so than too very s t can will just don should now
+    """.split()
+)
+
+
+def stem_word(word: str) -> str:
+    """Stem of a lower-case word: English for plain ASCII words, Russian for all others."""
+    return stem_english(word) if word.isascii() else stem_russian(word)
+
+
 @F.pandas_udf(T.StringType())
 def _stem(words: pd.Series) -> pd.Series:
     return words.map(stem_word, na_action="ignore")

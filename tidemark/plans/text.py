@@ -101,6 +101,7 @@ def search_text(spark: SparkSession, d: str) -> DataFrame:
         ft.build_index(docs),
         "The, of!",
         none_of=["is"],
+        stop_words=frozenset(),
         salary_min=200,
         remote_only=True,
         limit=40,
