@@ -12,9 +12,11 @@ _BOUNDARY = rf"{SPACE}*\n{SPACE}*|(?<=[.!?…]){SPACE}+"
 
 
 def sentences(text: Column) -> Column:
-    """Trimmed sentences in order; no sentence crosses a line."""
-    parts = F.transform(F.split(text, _BOUNDARY), strip)
-    return F.filter(parts, lambda s: s != "")
+    """Trimmed sentences in order; no sentence crosses a line.
+
+    A boundary takes all the white space around it, so only the text itself needs trimming.
+    """
+    return F.filter(F.split(strip(text), _BOUNDARY), lambda s: s != "")
 
 
 def _pieces(sentence: Column, budget: Column) -> Column:

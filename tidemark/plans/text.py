@@ -255,93 +255,103 @@ def rank_sql(name: str, terms: list[str]) -> str:
   GROUP BY c.posting_id"""
 
 
-_SENTENCES_SQL = """
+def _unescape_sql(text: str) -> str:
+    for entity, char in (("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&amp;?", "&")):
+        text = f"regexp_replace({text}, '{entity}', '{char}', 'g')"
+    return text
+
+
+#: Text of the pages: their tags and entities are few, so plain replacements do.  The one
+#: closing tag inside a script string is data and is set aside first.
+_PAGE_TEXT_SQL = f"""
+WITH raw AS (SELECT page_id, replace(html, '"</p>"', '"' || chr(1) || '"') AS h FROM pages),
+bare AS (
+  SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(h,
+    '<!--.*?-->|<![^>]*>', '', 'g'), '<li( [^>]*)?>', chr(10) || '— ', 'g'),
+    '</?(p|div|br|li|ul|ol|h[1-6]|tr|table|blockquote|section|hr)( [^>]*)?/?>', chr(10), 'g'),
+    '<[^>]*>', '', 'g') AS t FROM raw),
+plain AS (SELECT page_id, replace(replace({_unescape_sql(_unescape_sql("t"))}, chr(1), '</p>'), chr(160), ' ') AS t
+          FROM bare),
+tidy AS (SELECT page_id, list_transform(string_split(t, chr(10)),
+           lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g'))) AS ls FROM plain)
+SELECT page_id, regexp_replace(regexp_replace(array_to_string(ls, chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'),
+                               '^\\s+|\\s+$', '', 'g') AS text
+FROM tidy"""
+
+def _sentences_sql(texts: str) -> str:
+    """Sentences of a relation with `doc_id` and `text`."""
+    return f"""
   cut AS (
     SELECT doc_id, list_filter(list_transform(
       string_split(regexp_replace(text, '([.!?…])\\s+', '\\1' || chr(10), 'g'), chr(10)),
       lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS ss
-    FROM documents),
+    FROM {texts}),
   sents AS (SELECT doc_id, CAST(generate_subscripts(ss, 1) - 1 AS INTEGER) AS place,
                    unnest(ss) AS sentence FROM cut)
 """
 
-#: Chunks of 300 characters with an overlap of 60, walked sentence by sentence.  Lengths are
-#: running sums, so a stretch is measured by its ends; long sentences are first walked word
-#: by word into pieces that stand alone.
-_CHUNKS_SQL = f"""
-WITH RECURSIVE {_SENTENCES_SQL},
-  ws AS (SELECT doc_id, place, list_filter(string_split(sentence, ' '), lambda x: x <> '') AS wl
-         FROM sents WHERE length(sentence) > 300),
-  words AS (SELECT doc_id, place, unnest(wl) AS word, generate_subscripts(wl, 1) - 1 AS w FROM ws),
+
+def _chunks_sql(texts: str, overlap: int, key: str) -> str:
+    """Chunks of a query with `doc_id`, `text`, `prefix` and `budget`, walked by sentences.
+
+    Lengths are running sums, so a stretch is measured by its ends; long sentences are first
+    walked word by word into pieces that stand alone.
+    """
+    return f"""
+WITH RECURSIVE texts AS ({texts}), {_sentences_sql("texts")},
+  sized AS (SELECT s.*, budget FROM sents s JOIN texts USING (doc_id)),
+  ws AS (SELECT doc_id, place, budget, list_filter(string_split(sentence, ' '), lambda x: x <> '') AS wl
+         FROM sized WHERE length(sentence) > budget),
+  words AS (SELECT doc_id, place, budget, unnest(wl) AS word, generate_subscripts(wl, 1) - 1 AS w FROM ws),
   ends AS (SELECT *, sum(length(word) + 1) OVER (PARTITION BY doc_id, place ORDER BY w) AS upto FROM words),
   pack(doc_id, place, w, base, upto, piece) AS (
     SELECT doc_id, place, w, 0::HUGEINT, upto, 0 FROM ends WHERE w = 0
     UNION ALL
     SELECT e.doc_id, e.place, e.w,
-           CASE WHEN e.upto - 1 - p.base > 300 THEN p.upto ELSE p.base END, e.upto,
-           CASE WHEN e.upto - 1 - p.base > 300 THEN p.piece + 1 ELSE p.piece END
+           CASE WHEN e.upto - 1 - p.base > e.budget THEN p.upto ELSE p.base END, e.upto,
+           CASE WHEN e.upto - 1 - p.base > e.budget THEN p.piece + 1 ELSE p.piece END
     FROM pack p JOIN ends e ON e.doc_id = p.doc_id AND e.place = p.place AND e.w = p.w + 1),
   pieces AS (SELECT doc_id, place, piece, string_agg(word, ' ' ORDER BY w) AS txt
              FROM pack JOIN words USING (doc_id, place, w) GROUP BY doc_id, place, piece),
   units AS (
     SELECT doc_id, txt, alone, row_number() OVER (PARTITION BY doc_id ORDER BY place, piece) - 1 AS i
-    FROM (SELECT doc_id, place, 0 AS piece, sentence AS txt, false AS alone FROM sents
-          WHERE length(sentence) <= 300
+    FROM (SELECT doc_id, place, 0 AS piece, sentence AS txt, false AS alone FROM sized
+          WHERE length(sentence) <= budget
           UNION ALL SELECT doc_id, place, piece, txt, true FROM pieces)),
   placed AS (SELECT *, length(txt) AS len,
                CAST(sum(length(txt) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(txt) - 1 AS BIGINT) AS p
              FROM units),
-  tails AS (SELECT *, coalesce(max(i) OVER far, 0) AS tail, coalesce(max(p) OVER far, 0) AS tail_p,
-                   max(i) OVER (PARTITION BY doc_id) AS last
-            FROM placed WINDOW far AS (PARTITION BY doc_id ORDER BY p
-                                       RANGE BETWEEN UNBOUNDED PRECEDING AND 60 PRECEDING)),
+  tails AS (SELECT placed.*, coalesce(max(i) OVER far, 0) AS tail, coalesce(max(p) OVER far, 0) AS tail_p,
+                   max(i) OVER (PARTITION BY placed.doc_id) AS last, budget
+            FROM placed JOIN texts ON texts.doc_id = placed.doc_id
+            WINDOW far AS (PARTITION BY placed.doc_id ORDER BY p
+                           RANGE BETWEEN UNBOUNDED PRECEDING AND {overlap} PRECEDING)),
   walk(doc_id, i, last, first, first_p, done_from, done_to) AS (
     SELECT DISTINCT doc_id, -1::BIGINT, last, 0::BIGINT, 0::BIGINT, NULL::BIGINT, NULL::BIGINT FROM tails
     UNION ALL
     SELECT t.doc_id, t.i, t.last,
            CASE WHEN t.alone THEN t.i + 1
-                WHEN k.first < t.i AND t.p + t.len - k.first_p > 300 THEN greatest(k.first, t.tail)
+                WHEN k.first < t.i AND t.p + t.len - k.first_p > t.budget THEN greatest(k.first, t.tail)
                 ELSE k.first END,
            CASE WHEN t.alone THEN t.p + t.len + 1
-                WHEN k.first < t.i AND t.p + t.len - k.first_p > 300 THEN greatest(k.first_p, t.tail_p)
+                WHEN k.first < t.i AND t.p + t.len - k.first_p > t.budget THEN greatest(k.first_p, t.tail_p)
                 ELSE k.first_p END,
-           CASE WHEN k.first < t.i AND (t.alone OR t.p + t.len - k.first_p > 300) THEN k.first END,
-           CASE WHEN k.first < t.i AND (t.alone OR t.p + t.len - k.first_p > 300) THEN t.i - 1 END
+           CASE WHEN k.first < t.i AND (t.alone OR t.p + t.len - k.first_p > t.budget) THEN k.first END,
+           CASE WHEN k.first < t.i AND (t.alone OR t.p + t.len - k.first_p > t.budget) THEN t.i - 1 END
     FROM walk k JOIN tails t ON t.doc_id = k.doc_id AND t.i = k.i + 1),
   spans AS (
     SELECT doc_id, done_from AS a, done_to AS b FROM walk WHERE done_from IS NOT NULL
     UNION ALL SELECT doc_id, i, i FROM placed WHERE alone
     UNION ALL SELECT doc_id, first, i FROM walk WHERE i = last AND first <= i),
-  numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY b) - 1 AS n FROM spans)
-SELECT s.doc_id, CAST(s.n AS INTEGER) AS chunk_index, string_agg(u.txt, ' ' ORDER BY u.i) AS content,
-       CAST(length(string_agg(u.txt, ' ' ORDER BY u.i)) AS INTEGER) AS char_len
-FROM numbered s JOIN units u ON u.doc_id = s.doc_id AND u.i BETWEEN s.a AND s.b
-GROUP BY s.doc_id, s.n"""
-
-
-def _unescape_sql(text: str) -> str:
-    for entity, char in (("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&amp;?", "&")):
-        text = f"regexp_replace({text}, '{entity}', '{char}', 'g')"
-    return text
+  numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY b) - 1 AS n FROM spans),
+  bodies AS (SELECT s.doc_id, s.n, string_agg(u.txt, ' ' ORDER BY u.i) AS body
+             FROM numbered s JOIN units u ON u.doc_id = s.doc_id AND u.i BETWEEN s.a AND s.b
+             GROUP BY s.doc_id, s.n)
+SELECT doc_id AS {key}, CAST(n AS INTEGER) AS chunk_index, prefix || body AS content,
+       CAST(length(prefix || body) AS INTEGER) AS char_len
+FROM bodies JOIN texts USING (doc_id)"""
 
 
-#: Text of the pages: their tags and entities are few, so plain replacements do.  The one
-#: closing tag inside a script string is data and is set aside first.
-_PAGE_TEXT_SQL = f"""
-WITH raw AS (SELECT page_id, replace(html, '"</p>"', '"' || chr(1) || '"') AS h FROM pages),
-bare AS (
-  SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(h,
-    '<!--.*?-->|<![^>]*>', '', 'g'), '<li( [^>]*)?>', chr(10) || '— ', 'g'),
-    '</?(p|div|br|li|ul|ol|h[1-6]|tr|table|blockquote|section|hr)( [^>]*)?/?>', chr(10), 'g'),
-    '<[^>]*>', '', 'g') AS t FROM raw),
-plain AS (SELECT page_id, replace(replace({_unescape_sql(_unescape_sql("t"))}, chr(1), '</p>'), chr(160), ' ') AS t
-          FROM bare),
-tidy AS (SELECT page_id, list_transform(string_split(t, chr(10)),
-           lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g'))) AS ls FROM plain)
-SELECT page_id, regexp_replace(regexp_replace(array_to_string(ls, chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'),
-                               '^\\s+|\\s+$', '', 'g') AS text
-FROM tidy"""
-
 QUERIES = {
     "postings_df": (postings_df, _DF_SQL),
     "index_refresh": (refreshed, _DF_SQL),
@@ -400,9 +410,21 @@ ORDER BY round(r.rank, 9) DESC, published_at DESC, d.posting_id LIMIT 40""",
     "stem_vocabulary": (stem_terms, None),
     "stemmed_frequency": (stemmed_frequency, _DF_SQL),
     "extract_text": (page_text, _PAGE_TEXT_SQL),
-    "sentence_split": (sentence_split, f"WITH {_SENTENCES_SQL} SELECT * FROM sents"),
-    "chunk_documents": (document_chunks, _CHUNKS_SQL),
-    "chunk_titled_pages": (titled_chunks, None),
+    "sentence_split": (sentence_split, f"WITH {_sentences_sql('documents')} SELECT * FROM sents"),
+    "chunk_documents": (
+        document_chunks,
+        _chunks_sql("SELECT doc_id, text, '' AS prefix, 300 AS budget FROM documents", 60, "doc_id"),
+    ),
+    "chunk_titled_pages": (
+        titled_chunks,
+        _chunks_sql(
+            f"""SELECT page_id AS doc_id, text, url || chr(10) AS prefix,
+                greatest(900 - length(url) - 1, 1) AS budget
+                FROM ({_PAGE_TEXT_SQL}) JOIN pages USING (page_id)""",
+            150,
+            "page_id",
+        ),
+    ),
     "chunk_invariants": (
         chunk_invariants,
         """
