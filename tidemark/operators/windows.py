@@ -33,11 +33,14 @@ def bisect_windows(
     wide = "bigint" if width * parts < 2**62 else "decimal(38,0)"
     kind = df.schema[ts].dataType
 
-    offset = F.timestamp_diff("MICROSECOND", F.lit(start), F.col(ts))
+    # in the column's own type, so that a zoneless time never meets the session's zone
+    first, last = (F.lit(t.isoformat(sep=" ")).cast(kind) for t in (start, end))
+    seconds = (F.col(ts) - first).cast("interval second").cast("decimal(20,6)")
+    offset = (seconds * 1_000_000).cast("bigint")
     scaled = (offset + 1).cast(wide) * F.lit(parts).cast(wide) - F.lit(1).cast(wide)
     leaf = F.expr("_scaled div _width")
     counts = (
-        df.where((F.col(ts) >= F.lit(start)) & (F.col(ts) < F.lit(end)))
+        df.where((F.col(ts) >= first) & (F.col(ts) < last))
         .select(scaled.alias("_scaled"), F.lit(width).cast(wide).alias("_width"))
         .groupBy(leaf.cast("bigint").alias("leaf"))
         .agg(F.count(F.lit(1)).alias("n"))
@@ -63,7 +66,7 @@ def bisect_windows(
 
     return (
         whole.unionByName(kept)
-        .withColumn("_start", F.lit(start))
+        .withColumn("_start", first)
         .select(
             "level",
             F.expr(edge("place")).cast(kind).alias("window_start"),
