@@ -11,7 +11,7 @@ from tidemark import schemas
 from tidemark.operators import lifecycle as lc
 from tidemark.sources.postings import OVERWRITTEN, read_postings, split_rejects
 from tidemark.sources.tables import read_table, write_table
-from tidemark.streaming.collect import compact, current_tables, start_collecting
+from tidemark.streaming.collect import compact, current_tables, rejected, start_collecting
 
 
 def card(i, **more):
@@ -78,6 +78,17 @@ def test_json_lines(spark, tmp_path):
     assert read_postings(spark, str(path), json_lines=True).count() == 5
 
 
+def test_broken_text_is_rejected_with_its_place(spark, tmp_path):
+    path = tmp_path / "lines.jsonl"
+    path.write_text(json.dumps(card(1)) + '\n{"id": \n' + json.dumps(card(2)))
+    good, rejects = split_rejects(read_postings(spark, str(path), json_lines=True))
+    assert sorted(r["posting_id"] for r in good.collect()) == [1, 2]
+    assert [r["seq"]["file"].rsplit("/", 1)[1] for r in rejects.collect()] == ["lines.jsonl"]
+    (tmp_path / "half.json").write_text('{"items": [{"id": 1}, ')
+    good, rejects = split_rejects(read_postings(spark, str(tmp_path / "half.json")))
+    assert (good.count(), rejects.count()) == (0, 1)
+
+
 def _batch(spark, tmp_path, name, cards):
     path = tmp_path / name
     path.write_text(json.dumps(cards))
@@ -206,6 +217,7 @@ def test_stream_equals_batch_and_reruns_change_nothing(spark, landed, tmp_path):
     (tmp_path / "landed" / "09-late.json").write_text(json.dumps([card(1, name="renamed"), card(6)]))
     later = collect()
     assert len(later["postings"]) == len(first["postings"]) + 1
+    assert rejected(spark, root).count() == 1
     titles = {r["posting_id"]: r["title"] for r in current_tables(spark, root)["postings"].collect()}
     assert titles[1] == "renamed"
     compact(spark, root)

@@ -59,9 +59,11 @@ def expand_records(raw: DataFrame) -> DataFrame:
     """Rows of `payload` (with `file` and `block`) to one row per JSON object.
 
     `seq` orders the copies of a posting: by file name, then by position in the file.  The
-    position of a line inside its block is the order Spark reads it in.
+    position of a line inside its block is the order Spark reads it in.  Text that is not
+    JSON leaves a row without a record, which `split_rejects` sorts out by its position.
     """
     payload = F.col("payload")
+    broken = payload.isNull()
     listed = F.coalesce(
         F.try_variant_get(payload, "$.items", "array<variant>"),
         F.when(f.at(payload, "$.items").isNull(), f.elements(payload)),
@@ -71,8 +73,9 @@ def expand_records(raw: DataFrame) -> DataFrame:
     line = F.monotonically_increasing_id()
     return (
         raw.withColumn("line", line)
-        .select("file", "block", "line", F.posexplode_outer(listed).alias("place", "record"))
-        .where(f.is_object(F.col("record")))
+        .withColumn("broken", broken)
+        .select("file", "block", "line", "broken", F.posexplode_outer(listed).alias("place", "record"))
+        .where(f.is_object(F.col("record")) | F.col("broken"))
         .select(
             F.struct("file", "block", "line", "place").alias("seq"),
             "record",

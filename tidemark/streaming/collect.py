@@ -14,7 +14,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark import schemas
 from tidemark.operators import lifecycle as lc
-from tidemark.sources.postings import OVERWRITTEN, expand_records, flatten_postings
+from tidemark.sources.postings import (
+    OVERWRITTEN,
+    expand_records,
+    flatten_postings,
+    split_rejects,
+)
 from tidemark.sources.tables import complete_runs, latest_path, write_table
 
 CHANGES = "changes"
@@ -41,7 +46,7 @@ def start_collecting(
     )
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        flat = flatten_postings(expand_records(batch)).where(F.col("posting_id").isNotNull())
+        flat = flatten_postings(expand_records(batch))
         stamped = flat.withColumn("collected_at", F.current_timestamp()).withColumn(
             "batch", F.lit(batch_id)
         )
@@ -55,8 +60,19 @@ def start_collecting(
     )
 
 
+def rejected(spark: SparkSession, root: str) -> DataFrame | None:
+    """Records of all finished batches that have no usable key, with their source position."""
+    found = _stored_changes(spark, root, -1)
+    return None if found is None else split_rejects(found)[1].select("batch", "seq", "collected_at")
+
+
 def changes_after(spark: SparkSession, root: str, batch: int = -1) -> DataFrame | None:
-    """Changes of the finished batches later than `batch`."""
+    """Usable changes of the finished batches later than `batch`."""
+    found = _stored_changes(spark, root, batch)
+    return None if found is None else split_rejects(found)[0]
+
+
+def _stored_changes(spark: SparkSession, root: str, batch: int) -> DataFrame | None:
     folder = f"{root}/{CHANGES}"
     later = [r for r in complete_runs(spark, folder) if int(r.split("=")[1]) > batch]
     if not later:
