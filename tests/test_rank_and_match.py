@@ -108,6 +108,21 @@ def test_lists(spark, space):
     assert recall == sorted(recall) and recall[-1] == len(want)
 
 
+def test_stored_lists_are_pruned(spark, space, tmp_path):
+    chunks, frame, rows, queries = space
+    centroids = v.fit_centroids(chunks, 6)
+    listed = v.assign_lists(chunks, centroids)
+    v.write_lists(listed, str(tmp_path / "lists"), splits=2)
+    stored = spark.read.parquet(str(tmp_path / "lists"))
+    assert stored.count() == chunks.count()
+    one = frame.limit(1)
+    near = v.nearest_chunks(stored, one, 10, centroids=centroids, nprobe=1)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [(list_id" in plan or "list_id IN" in plan or "isnotnull(list_id" in plan
+    direct = v.nearest_chunks(listed, one, 10, centroids=centroids, nprobe=1)
+    assert sorted(map(tuple, near.collect())) == sorted(map(tuple, direct.collect()))
+
+
 def test_hybrid(spark, space):
     chunks, frame, rows, queries = space
     text = spark.createDataFrame([("q0", 777, 1), ("q0", 0, 2)], "query_id string, posting_id bigint, rank int")

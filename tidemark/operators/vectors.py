@@ -273,6 +273,16 @@ def assign_lists(chunks: DataFrame, centroids: np.ndarray) -> DataFrame:
     return chunks.mapInArrow(run, spec)
 
 
+def write_lists(listed: DataFrame, path: str, splits: int = 8) -> None:
+    """Store chunks by list, so that a probe reads only the folders of its lists.
+
+    Each list is salted into `splits` parts: a list with a third of all rows is written by
+    that many tasks, and no list is scattered over as many files as there are tasks.
+    """
+    salt = F.pmod(F.xxhash64("posting_id", "chunk_index"), F.lit(splits))
+    listed.repartition("list_id", salt).write.mode("overwrite").partitionBy("list_id").parquet(path)
+
+
 def approx_semantic_search(
     listed: DataFrame, centroids: np.ndarray, queries: DataFrame, nprobe: int, **search
 ) -> DataFrame:
