@@ -122,8 +122,9 @@ def match_profile(
 ) -> DataFrame:
     """Verdict, score and findings of one profile for every posting (with `skills`).
 
-    Findings are codes with a value.  The score says how near the skills are and ignores
-    blockers; a posting that names no skills is never better than "stretch".
+    Findings are codes with a value.  The score, from 0 to 1 and not rounded, says how near the
+    skills are and ignores blockers; a posting that names no skills is never better than
+    "stretch".
     """
     columns = match_columns(profile, order)
     needed = (
@@ -136,7 +137,7 @@ def match_profile(
     return out.select(
         "posting_id",
         "verdict",
-        F.round("score", 3).alias("score"),
+        "score",
         "matched_skills",
         "missing_skills",
         "blockers",

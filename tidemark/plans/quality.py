@@ -53,7 +53,7 @@ def match_orders(spark: SparkSession, d: str) -> DataFrame:
     return matched.select(
         "posting_id",
         "verdict",
-        "score",
+        F.round("score", 6).alias("score"),
         F.array_join("matched_skills", "|").alias("matched_skills"),
         F.size("missing_skills").cast("long").alias("n_missing"),
         codes("blockers"),
@@ -210,7 +210,7 @@ r AS (SELECT *,
       FROM j)
 SELECT posting_id, CASE WHEN blockers <> '' THEN 'no' WHEN coverage >= 0.6 AND n > 0 THEN 'good'
                    ELSE 'stretch' END AS verdict,
-       round(least(1, 0.7::DOUBLE * coverage + 0.3::DOUBLE * CASE WHEN m > 0 THEN lw / m ELSE 0 END), 3) AS score,
+       round(least(1, 0.7::DOUBLE * coverage + 0.3::DOUBLE * CASE WHEN m > 0 THEN lw / m ELSE 0 END), 6) AS score,
        matched AS matched_skills, n - m AS n_missing, blockers, notes
 FROM r""",
     ),
