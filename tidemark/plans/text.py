@@ -113,10 +113,11 @@ def stem_terms(spark: SparkSession, d: str) -> DataFrame:
     return stem_vocabulary(index(spark, d))
 
 
-def stemmed_frequency(spark: SparkSession, d: str) -> DataFrame:
-    """Document frequency after stemming: words without Cyrillic letters keep their counts."""
+def stemmed_words(spark: SparkSession, d: str) -> DataFrame:
+    """Words per document in the stemmed index: stemming merges terms and loses no place."""
     rows = index(spark, d)
-    return ft.document_frequency(stem_index(rows, stem_vocabulary(rows)))
+    stemmed = stem_index(rows, stem_vocabulary(rows))
+    return stemmed.groupBy("posting_id").agg(F.sum(F.size("positions")).alias("n_words"))
 
 
 def page_text(spark: SparkSession, d: str) -> DataFrame:
@@ -408,7 +409,12 @@ WHERE NOT list_contains(ws, 'is') AND n_chars >= 200 AND lang = 'en'
 ORDER BY round(r.rank, 9) DESC, published_at DESC, d.posting_id LIMIT 40""",
     ),
     "stem_vocabulary": (stem_terms, None),
-    "stemmed_frequency": (stemmed_frequency, _DF_SQL),
+    "stemmed_words": (
+        stemmed_words,
+        f"""
+WITH {HITS_SQL}
+SELECT posting_id, count(*) AS n_words FROM hits GROUP BY posting_id""",
+    ),
     "extract_text": (page_text, _PAGE_TEXT_SQL),
     "sentence_split": (sentence_split, f"WITH {_sentences_sql('documents')} SELECT * FROM sents"),
     "chunk_documents": (
