@@ -105,7 +105,7 @@ class Machine:
         return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
     def learn(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray,
-              epochs: int = 12, batch: int = 64, rate: float = 0.02, decay: float = 1e-5):
+              epochs: int = 30, batch: int = 64, rate: float = 0.02, decay: float = 1e-4):
         """Adam on the logistic loss over small dense batches."""
         rng = np.random.default_rng(11)
         mean = float(np.clip(labels.mean(), 0.01, 0.99)) if len(labels) else 0.5
@@ -143,7 +143,7 @@ def _given(docs: DataFrame):
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, folds: int = 5, rows: int = 4000, epochs: int = 12
+    docs: DataFrame, labels: DataFrame, folds: int = 5, rows: int = 4000, epochs: int = 30
 ) -> Machine:
     """A machine from a bounded sample: the `rows` labelled ids outside fold 0 with the smallest
     hash.  Only text and n_chars are looked at.  Null ids, labels and texts teach nothing; an id
