@@ -182,13 +182,13 @@ def join_hot(
     `how`: inner or left.
     """
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    hot = [
-        r[0]
-        for r in counts.where(F.col("n") > max(1000, total // HOT_ONE_IN)).select(key).collect()
-    ]
-    if not hot:
+    hot = counts.where(F.col("n") > max(1000, total // HOT_ONE_IN)).select(key)
+    found = hot.collect()  # HOT_ONE_IN keys at most
+    if not found:
         return rows.join(keyed, key, how)
-    is_hot = F.col(key).isin(hot)
-    cold = rows.where(~F.coalesce(is_hot, F.lit(False))).join(keyed.where(~is_hot), key, how)
-    warm = rows.where(is_hot).join(F.broadcast(keyed.where(is_hot)), key, how)
+    hot = F.broadcast(rows.sparkSession.createDataFrame(found, hot.schema))
+    cold = rows.join(hot, key, "left_anti").join(keyed.join(hot, key, "left_anti"), key, how)
+    warm = rows.join(hot, key, "left_semi").join(
+        F.broadcast(keyed.join(hot, key, "left_semi")), key, how
+    )
     return cold.unionByName(warm)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, decontaminate, langid, quality
+from tidemark.llm import bpe, decontaminate, langid, linededup, quality, topk, warc
 
 ALL = {
     "op1_decontaminate": (decontaminate.op1, None),
     "op2_quality": (quality.op2, None),
+    "op3_norm_topk": (topk.op3, topk.OP3_SQL),
     "op4_byte_bpe": (bpe.op4, None),
+    "op5_line_templates": (linededup.op5, linededup.OP5_SQL),
+    "op6_warc": (warc.op6, warc.OP6_SQL),
     "op10_language": (langid.op10, None),
 }
