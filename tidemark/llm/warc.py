@@ -219,7 +219,7 @@ def write_archives(
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None:
                     name, records, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
-                    out = target.open_output_stream(f"{path}/{name}")
+                    out = target.open_output_stream(f"{path}/{name}", compression=None)
                 packed = record(row[0], row[1], row[2].encode(), row[3], row[4], date)
                 out.write(packed)
                 records, size = records + 1, size + len(packed)
@@ -242,7 +242,7 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
             for archive in batch.column(0).to_pylist():
                 store, path = fs.FileSystem.from_uri(archive)
                 rows, size = [], 0
-                with store.open_input_stream(path) as stream:
+                with store.open_input_stream(path, compression=None) as stream:
                     for position, data in members(stream):
                         try:
                             row = parse(data)
