@@ -65,7 +65,7 @@ def test_damage_is_found():
     with pytest.raises(ValueError, match="bad gzip"):
         read(good + b"junk")
     plain = gzip.decompress(good)
-    for a, b in ((b"payload", b"pAyload"), (b"Length: 10", b"Length: 99"), (b"WARC/1.1", b"WORC/1.1")):
+    for a, b in ((b"payload", b"pAyload"), (b"Content-Length: ", b"Content-Length: 1"), (b"WARC/1.1", b"WORC/1.1")):
         with pytest.raises(ValueError):
             warc.parse(plain.replace(a, b))
 
