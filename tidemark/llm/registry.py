@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, decontaminate, langid, linededup, neardup, quality, topk, warc
+from tidemark.llm import bpe, decontaminate, langid, licenses, linededup, lm, neardup, quality, topk, warc
 
 ALL = {
     "op1_decontaminate": (decontaminate.op1, None),
@@ -12,5 +12,7 @@ ALL = {
     "op5_line_templates": (linededup.op5, linededup.OP5_SQL),
     "op6_warc": (warc.op6, warc.OP6_SQL),
     "op7_near_copies": (neardup.op7, None),
+    "op8_attention_lm": (lm.op8, None),
+    "op9_licenses": (licenses.op9, None),
     "op10_language": (langid.op10, None),
 }
