@@ -222,3 +222,55 @@ def test_stream_equals_batch_and_reruns_change_nothing(spark, landed, tmp_path):
     assert titles[1] == "renamed"
     compact(spark, root)
     assert collect() == later
+
+
+def test_compacting_twice_or_after_a_break_loses_nothing(spark, landed, tmp_path):
+    root, checkpoint = str(tmp_path / "root"), str(tmp_path / "checkpoint")
+
+    def collect(*names):
+        for name in names:
+            rows = [card(i) for i in range(int(name), int(name) + 2)] + [card("x")]
+            (tmp_path / "landed" / f"{name}.json").write_text(json.dumps(rows))
+        start_collecting(spark, landed, root, checkpoint).awaitTermination()
+
+    def state():
+        tables = {n: sorted(map(str, t.collect())) for n, t in current_tables(spark, root).items()}
+        return tables, rejected(spark, root).count()
+
+    collect("10")
+    want = state()
+    for _ in range(3):
+        compact(spark, root)
+        assert state() == want
+    # a run cut off before its postings: the others are there, yet do not count
+    collect("20")
+    want = state()
+    tables = current_tables(spark, root)
+    for name in ("employers", "skills"):
+        write_table(tables[name], root, name, run=1)
+    assert state() == want
+    compact(spark, root)
+    assert state() == want
+    collect("30")
+    want = state()
+    compact(spark, root)
+    compact(spark, root)
+    assert state() == want and want[1] == 4
+    # batches that two snapshots hold are gone
+    assert len(list((tmp_path / "root" / "changes").glob("run=*"))) == 1
+
+
+def test_a_table_never_replaces_its_own_input(spark, tmp_path):
+    root = str(tmp_path / "a b")
+    write_table(spark.createDataFrame([("a", "A")], schemas.SKILLS), root, "skills", run=3)
+    with pytest.raises(ValueError, match="is read by"):
+        write_table(read_table(spark, root, "skills"), root, "skills", run=3)
+    write_table(spark.createDataFrame([("b", "B")], schemas.SKILLS), root, "skills", run=3)
+    assert read_table(spark, root, "skills").first()["skill_name"] == "b"
+
+
+def test_one_bad_record_does_not_stop_the_load(spark, tmp_path):
+    rows = [card(1), card(2, salary_range={"from": 3_000_000_000, "to": 1}), card("?")]
+    good, rejects = split_rejects(_batch(spark, tmp_path, "a.json", rows))
+    assert [r["posting_id"] for r in good.collect()] == [1]
+    assert sorted(r["problem"] for r in rejects.collect()) == ["no usable id", "salary out of range"]

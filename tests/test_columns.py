@@ -147,7 +147,8 @@ def test_snippet(spark):
 
 
 def test_limit_clamp():
-    assert [f.clamp_limit(n) for n in (-3, 0, 1, 50, 51)] == [1, 1, 1, 50, 50]
+    assert [f.clamp_limit(n) for n in (-3, 0, 1, 50, 51)] == [1, 1, 1, 50, 51]
+    assert [f.clamp_limit(n, 50) for n in (-3, 50, 51)] == [1, 50, 50]
 
 
 def test_cosine(spark):

@@ -82,7 +82,7 @@ def test_nearest_equals_brute_force(spark, space, block):
 def test_semantic_search(spark, space):
     chunks, frame, rows, queries = space
     for exact in (False, True):
-        got = v.semantic_search(chunks, frame, 6, 0.2, exact_collapse=exact).collect()
+        got = v.semantic_search(chunks, frame, 6, 0.2, over_fetch=None if exact else 4).collect()
         for name, vector in queries:
             best = {}
             order = brute_nearest(rows, vector)

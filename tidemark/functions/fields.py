@@ -172,5 +172,6 @@ def experience_label(col: Column, labels: Mapping[str, str] = EXPERIENCE_LABELS)
     return F.coalesce(named, F.nullif(col, F.lit("")), F.lit(EXPERIENCE_UNKNOWN))
 
 
-def clamp_limit(limit: int, max_limit: int = 50) -> int:
-    return max(1, min(limit, max_limit))
+def clamp_limit(limit: int, max_limit: int | None = None) -> int:
+    """At least one row; at most `max_limit` where the caller sets one."""
+    return max(1, limit if max_limit is None else min(limit, max_limit))

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from tidemark.functions.fields import clamp_limit
 from tidemark.functions.text import words
 from tidemark.operators.filters import search_filter
-from tidemark.operators.ranking import spread_rows
 from tidemark.operators.stem import STOP_WORDS, stem_index, stem_word
 
 #: Weight of a word in the title and in the body.
@@ -29,28 +28,49 @@ def build_index(
 ) -> DataFrame:
     """Occurrence rows `(term, posting_id, field, positions)`; body positions follow the title's.
 
-    The text is spread by document first.  Grouping by (document, term, field) then needs no
-    second shuffle: the exploded words never leave the task that read the document.
+    The words of a document are sorted and cut into runs of equal words inside its row, so no
+    text and no word is shuffled.
     """
-    spread = docs.select(
-        F.col(id_col).alias("posting_id"), F.col(title).alias("_t"), F.col(body).alias("_b")
-    )
-    spread = spread_rows(spread, "posting_id")
     empty = F.array().cast("array<string>")
-    in_title = F.coalesce(words(F.col("_t")), empty)
-    in_body = F.coalesce(words(F.col("_b")), empty)
-    # the title length is fixed per document before its words are exploded
-    counted = spread.select(
-        "posting_id", F.size(in_title).alias("_n"), F.concat(in_title, in_body).alias("_w")
+    in_title = F.coalesce(words(F.col(title)), empty)
+    in_body = F.coalesce(words(F.col(body)), empty)
+    counted = docs.select(
+        F.col(id_col).alias("posting_id"),
+        F.size(in_title).alias("_n"),
+        F.concat(in_title, in_body).alias("_w"),
+    )
+    place = F.transform(
+        "_w",
+        lambda w, i: F.struct(
+            w.alias("term"), F.when(i < F.col("_n"), "A").otherwise("B").alias("field"), i.alias("at")
+        ),
+    )
+    sorted_ = counted.select("posting_id", F.array_sort(place).alias("_s"))
+    s, last = F.col("_s"), F.size("_s")
+    heads = F.filter(
+        F.sequence(F.lit(0), last - 1),
+        lambda i: (i == 0)
+        | (s[i]["term"] != s[F.greatest(i - 1, F.lit(0))]["term"])
+        | (s[i]["field"] != s[F.greatest(i - 1, F.lit(0))]["field"]),
+    )
+    # a sequence to -1 would run backwards
+    cut = sorted_.where(last > 0).select("posting_id", "_s", heads.alias("_h"))
+    h = F.col("_h")
+    runs = F.transform(
+        h,
+        lambda begin, k: F.struct(
+            s[begin]["term"].alias("term"),
+            s[begin]["field"].alias("field"),
+            F.slice(
+                s["at"],
+                begin + 1,
+                F.coalesce(F.get(h, k + 1), F.size("_s")) - begin,
+            ).alias("positions"),
+        ),
     )
-    # outer: the plain form would add a size filter that cuts every text a second time
-    placed = counted.select("posting_id", "_n", F.posexplode_outer("_w"))
-    placed = placed.where(F.col("pos").isNotNull())
-    field = F.when(F.col("pos") < F.col("_n"), F.lit("A")).otherwise(F.lit("B"))
     return (
-        placed.groupBy("posting_id", F.col("col").alias("term"), field.alias("field"))
-        .agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-        .select("term", "posting_id", "field", "positions")
+        cut.select("posting_id", F.explode_outer(runs).alias("_r"))
+        .select("_r.term", "posting_id", "_r.field", "_r.positions")
     )
 
 
@@ -260,7 +280,7 @@ def search_postings(
     phrases: Sequence[Sequence[str]] = (),
     limit: int = 20,
     offset: int = 0,
-    max_limit: int = 50,
+    max_limit: int | None = None,
     columns: Sequence[str] = SUMMARY,
     stop_words: frozenset[str] = STOP_WORDS,
     vocabulary: DataFrame | None = None,

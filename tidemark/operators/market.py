@@ -41,12 +41,12 @@ def percentile_of(amount: str, share: float, n: str = "n") -> Column:
 
 
 def skill_stats(
-    postings: DataFrame, links: DataFrame, skills: DataFrame, top_n: int = 30, max_limit: int = 50
+    postings: DataFrame, links: DataFrame, skills: DataFrame, top_n: int = 30, max_limit: int | None = None
 ) -> DataFrame:
     """Most demanded skills of a market slice.
 
     `share` relates to all postings of the slice, also those naming no skill; the median
-    covers postings with a known salary.
+    covers postings with a known salary.  `max_limit`, if given, holds `top_n` down.
     """
     slice_ = postings.select("posting_id", SALARY)
     total = slice_.agg(F.count(F.lit(1)).alias("total"))
@@ -57,10 +57,9 @@ def skill_stats(
         .orderBy(F.desc("posting_count"), "skill_name")
         .limit(clamp_limit(top_n, max_limit))
     )
-    # at most `max_limit` rows: safe to broadcast to the skill dimension
     share = F.col("posting_count") / scalar(total)
     return (
-        skills.join(F.broadcast(top), "skill_name")
+        skills.join(top, "skill_name")
         .select(
             "skill_name",
             "display_name",
@@ -155,18 +154,21 @@ def data_status(
         one.alias("n"), F.count("embedding").alias("embedded")
     )
     # `min_by` over (-n, name): most chunks first, then the name
+    # one struct, so that the chunks are read once
     cut = per_model.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("chunks_total"),
-        F.coalesce(F.sum("embedded"), F.lit(0)).alias("chunks_embedded"),
-        F.min_by("model_name", F.struct(-F.col("n"), F.col("model_name"))).alias("model_name"),
+        F.struct(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("chunks_total"),
+            F.coalesce(F.sum("embedded"), F.lit(0)).alias("chunks_embedded"),
+            F.min_by("model_name", F.struct(-F.col("n"), F.col("model_name"))).alias("model_name"),
+        ).alias("cut")
     )
-    return posted.select(
+    return posted.withColumn("_cut", scalar(cut)).select(
         "postings_total",
         scalar(employers.agg(one)).alias("employers_total"),
         scalar(skills.agg(one)).alias("skills_total"),
-        scalar(cut.select("chunks_total")).alias("chunks_total"),
-        scalar(cut.select("chunks_embedded")).alias("chunks_embedded"),
-        scalar(cut.select("model_name")).alias("model_name"),
+        "_cut.chunks_total",
+        "_cut.chunks_embedded",
+        "_cut.model_name",
         "published_from",
         "published_to",
         "last_fetched_at",

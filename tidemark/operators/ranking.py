@@ -9,12 +9,8 @@ from pyspark.sql import functions as F
 
 
 def spread_rows(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows spread by key for a stage that costs far more time than bytes.
-
-    The number is fixed to the session's shuffle partitions: adaptive coalescing goes by bytes
-    and would put a stage that parses text into a few tasks.
-    """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    """Rows of an unsplittable file spread by key; adaptive execution sets the number of tasks."""
+    return df.repartition(*keys)
 
 
 def rank_within(df: DataFrame, group: str, order: Sequence[Column], name: str = "rank") -> DataFrame:

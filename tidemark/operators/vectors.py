@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.fields import clamp_limit
 from tidemark.functions.text import snippet
 from tidemark.operators.ranking import best_per_parent, top_k_within
 from tidemark.sources.parameters import blocks
@@ -193,17 +192,15 @@ def semantic_search(
     queries: DataFrame,
     limit: int = 10,
     min_similarity: float = 0.0,
-    over_fetch: int = 4,
-    exact_collapse: bool = False,
+    over_fetch: int | None = None,
     **nearest,
 ) -> DataFrame:
     """Best chunk of each of the `limit` nearest postings per query.
 
-    The nearest `limit * over_fetch` chunks are fetched, those below `min_similarity` dropped,
-    and each posting keeps its best, so fewer than `limit` postings may come back.
-    `exact_collapse` takes the best chunk of every posting before the cut instead.
+    Every posting is judged by its best chunk before the cut.  With `over_fetch` only the nearest
+    `limit * over_fetch` chunks are looked at, so fewer than `limit` postings may come back.
     """
-    if exact_collapse:
+    if over_fetch is None:
         best = nearest_chunks(chunks, queries, limit, one_per_posting=True, **nearest)
     else:
         best = _one_per_posting(nearest_chunks(chunks, queries, limit * over_fetch, **nearest))
@@ -213,23 +210,11 @@ def semantic_search(
     )
 
 
-#: Hits of two long keys each that are safe to broadcast (some 16 MB).
-BROADCAST_HITS = 1_000_000
-
-
-def with_snippets(
-    hits: DataFrame, chunks: DataFrame, size: int = 400, at_most: int | None = None
-) -> DataFrame:
-    """Hits with the head of their chunk's text; a hit without a chunk has an empty one.
-
-    `at_most` is the caller's bound on the hits (limit times queries).  A small bound lets the
-    keys be broadcast to the chunks, so texts of other chunks are not shuffled; without one,
-    or with a large one, the planner decides.
-    """
+def with_snippets(hits: DataFrame, chunks: DataFrame, size: int = 400) -> DataFrame:
+    """Hits with the head of their chunk's text; a hit without a chunk has an empty one."""
     keys = hits.select("posting_id", "chunk_index").distinct()
-    small = at_most is not None and at_most <= BROADCAST_HITS
     named = chunks.select("posting_id", "chunk_index", "content").join(
-        F.broadcast(keys) if small else keys, ["posting_id", "chunk_index"], "left_semi"
+        keys, ["posting_id", "chunk_index"], "left_semi"
     )
     texts = named.select("posting_id", "chunk_index", snippet(F.col("content"), size).alias("snippet"))
     return hits.join(texts, ["posting_id", "chunk_index"], "left").withColumn(
@@ -237,6 +222,19 @@ def with_snippets(
     )
 
 
+def with_postings(hits: DataFrame, postings: DataFrame, employers: DataFrame) -> DataFrame:
+    """Hits with the title, link, date and employer of their posting.
+
+    Hits of postings that are gone are dropped; a posting without a known employer stays.
+    """
+    wanted = hits.select("posting_id").distinct()
+    cards = postings.select("posting_id", "title", "url", "published_at", "employer_id").join(
+        wanted, "posting_id", "left_semi"
+    )
+    named = cards.join(employers.select("employer_id", "employer_name"), "employer_id", "left")
+    return hits.join(named, "posting_id")
+
+
 # --------------------------------------------------------------- list-based search --
 
 
@@ -318,19 +316,18 @@ def hybrid_search(
     queries: DataFrame,
     limit: int = 10,
     semantic_weight: float = 0.5,
-    text_cap: int = 50,
-    over_fetch: int = 4,
+    depth: int | None = None,
     k: int = 60,
 ) -> DataFrame:
     """Text and vector search fused by rank, `limit` postings per query.
 
-    `text_ranks` has `(query_id, posting_id, rank)` with 1 for the best; its first
-    `limit * over_fetch`, at most `text_cap`, take part.  A posting found by text alone has
+    `text_ranks` has `(query_id, posting_id, rank)` with 1 for the best.  The first `depth` of
+    both lists are fused, four times `limit` unless given.  A posting found by text alone has
     similarity 0 and chunk -1.  Ties: nearer in the vector list, then the lower id.
     """
-    depth = limit * over_fetch
-    near = semantic_search(chunks, queries, limit=depth, over_fetch=over_fetch)
-    text = text_ranks.where(F.col("rank") <= clamp_limit(depth, text_cap))
+    depth = 4 * limit if depth is None else depth
+    near = semantic_search(chunks, queries, limit=depth)
+    text = text_ranks.where(F.col("rank") <= depth)
     fused = rrf([near, text], [semantic_weight, 1 - semantic_weight], k)
     joined = fused.join(
         near.select("query_id", "posting_id", "similarity", "chunk_index", F.col("rank").alias("_near")),

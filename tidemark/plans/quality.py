@@ -13,7 +13,7 @@ from tidemark.functions.text import words
 from tidemark.operators import evaluation as ev
 from tidemark.operators import fulltext as ft
 from tidemark.operators.matching import match_profile, with_skills
-from tidemark.operators.ranking import top_k_within
+from tidemark.operators.ranking import spread_rows, top_k_within
 from tidemark.plans import standin as s
 from tidemark.plans.market import LINKS_SQL, POSTINGS_SQL, PRIORITIES
 from tidemark.plans.text import HITS_SQL
@@ -77,7 +77,7 @@ def _whole_texts(spark: SparkSession, d: str) -> DataFrame:
     docs = s.table(spark, d, "documents").select(
         F.col("doc_id").alias("posting_id"), F.col("text").alias("title")
     )
-    return ft.spread_rows(docs, "posting_id")
+    return spread_rows(docs, "posting_id")
 
 
 def truth(spark: SparkSession, d: str) -> DataFrame:

@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 from tidemark.functions.vector import cosine
 from tidemark.operators import fulltext as ft
 from tidemark.operators import vectors as v
-from tidemark.operators.ranking import best_per_parent, top_k_within
+from tidemark.operators.ranking import best_per_parent, rank_within, top_k_within
 from tidemark.plans import standin as s
 from tidemark.plans.text import HITS_SQL, index, rank_sql
 
-#: Search words of the first labels, used by the fused searches.
-LABEL_WORDS = {0: ["the", "of"], 1: ["la", "de"], 2: ["und"], 3: ["and", "in"]}
+#: Search words of each label, used by the fused searches.
+LABEL_WORDS = {
+    0: ["the", "of"], 1: ["la", "de"], 2: ["und"], 3: ["and", "in"], 4: ["is"], 5: ["der", "die"],
+    6: ["los", "que"], 7: ["for", "with"], 8: ["a", "to"], 9: ["le", "les"],
+}
 
 
 def label_means(spark: SparkSession, d: str) -> DataFrame:
@@ -63,8 +66,10 @@ def best_parent(spark: SparkSession, d: str) -> DataFrame:
 
 def knn_batch(spark: SparkSession, d: str) -> DataFrame:
     chunks = s.chunks(spark, d)
-    hits = v.semantic_search(chunks, label_means(spark, d), limit=5, min_similarity=0.05)
-    out = v.with_snippets(hits, chunks, 7)  # as many queries as labels: no bound is known here
+    hits = v.semantic_search(
+        chunks, label_means(spark, d), limit=5, min_similarity=0.05, over_fetch=4
+    )
+    out = v.with_snippets(hits, chunks, 7)
     return out.select(
         "query_id", "rank", "posting_id", "chunk_index", F.round("similarity", 6).alias("similarity"), "snippet"
     )
@@ -72,7 +77,7 @@ def knn_batch(spark: SparkSession, d: str) -> DataFrame:
 
 def exact_collapse(spark: SparkSession, d: str) -> DataFrame:
     """Best chunk of every label for every query, cut after the collapse."""
-    hits = v.semantic_search(s.chunks(spark, d), label_means(spark, d), limit=5, exact_collapse=True)
+    hits = v.semantic_search(s.chunks(spark, d), label_means(spark, d), limit=5)
     return hits.withColumn("similarity", F.round("similarity", 6))
 
 
@@ -82,7 +87,7 @@ def approx_full(spark: SparkSession, d: str) -> DataFrame:
     centroids = v.fit_centroids(chunks, k=8)
     hits = v.approx_semantic_search(
         v.assign_lists(chunks, centroids), centroids, label_means(spark, d), nprobe=8,
-        limit=5, min_similarity=0.05,
+        limit=5, min_similarity=0.05, over_fetch=4,
     )
     return hits.withColumn("similarity", F.round("similarity", 6))
 
@@ -100,7 +105,7 @@ def text_ranks(spark: SparkSession, d: str) -> DataFrame:
     """Ranked text hits per label."""
     ranks = ft.text_rank(index(spark, d), {str(k): w for k, w in LABEL_WORDS.items()})
     hits = ranks.select(F.col("query_id").cast("int"), "posting_id", F.col("rank").alias("score"))
-    return top_k_within(hits, "query_id", [F.desc("score"), F.asc("posting_id")], 50)
+    return rank_within(hits, "query_id", [F.desc("score"), F.asc("posting_id")])
 
 
 def fuse(spark: SparkSession, d: str) -> DataFrame:

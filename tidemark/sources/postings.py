@@ -121,7 +121,7 @@ def flatten_postings(records: DataFrame) -> DataFrame:
     """Raw objects to typed rows: one projection, no Python function.
 
     Keeps `seq`, and carries `employer`, `skills` and `is_detailed` (the object has a
-    description, even an empty one) for the upserts.
+    description, even an empty one) for the upserts, and `problem` for `split_rejects`.
     """
     r = F.col("record")
 
@@ -131,10 +131,11 @@ def flatten_postings(records: DataFrame) -> DataFrame:
     typed = records.select("seq", "record", f.pick_salary(r).alias("salary")).select(
         "seq",
         "record",
-        f.as_whole(f.at(F.col("salary"), "$.from")).cast("int").alias("salary_from"),
-        f.as_whole(f.at(F.col("salary"), "$.to")).cast("int").alias("salary_to"),
+        f.as_whole(f.at(F.col("salary"), "$.from"), "int").alias("salary_from"),
+        f.as_whole(f.at(F.col("salary"), "$.to"), "int").alias("salary_to"),
         f.as_text(f.at(F.col("salary"), "$.currency")).alias("salary_currency"),
         f.as_flag(f.at(F.col("salary"), "$.gross")).alias("salary_gross"),
+        "salary",
     )
     currency = F.col("salary_currency")
     roles = _roles(f.at(r, "$.professional_roles"))
@@ -164,12 +165,28 @@ def flatten_postings(records: DataFrame) -> DataFrame:
         f.truthy(f.at(r, "$.archived")).alias("archived"),
         _skill_names(f.at(r, "$.key_skills")).alias("skills"),
         f.is_present(f.at(r, "$.description")).alias("is_detailed"),
+        _problem(r, F.col("salary")).alias("problem"),
     ).withColumn("employer_id", F.col("employer.employer_id"))
 
 
+def _problem(record: Column, salary: Column) -> Column:
+    """Why a record cannot be loaded; null for a good one."""
+
+    def too_large(side: str) -> Column:
+        amount = f.at(salary, side)
+        return f.as_whole(amount, "decimal(38,0)").isNotNull() & f.as_whole(amount, "int").isNull()
+
+    return (
+        F.when(record.isNull(), F.lit("not JSON"))
+        .when(f.as_whole(f.at(record, "$.id")).isNull(), F.lit("no usable id"))
+        .when(too_large("$.from") | too_large("$.to"), F.lit("salary out of range"))
+    )
+
+
 def split_rejects(flat: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows with a usable key, and the rest for inspection."""
-    return flat.where(F.col("posting_id").isNotNull()), flat.where(F.col("posting_id").isNull())
+    """Rows that can be loaded, and the rest with the reason in `problem`."""
+    good = flat.where(F.col("problem").isNull()).drop("problem")
+    return good, flat.where(F.col("problem").isNotNull())
 
 
 def read_postings(spark: SparkSession, path: str, json_lines: bool = False) -> DataFrame:

@@ -7,6 +7,7 @@ be rewritten from itself and a lost driver leaves the last good version readable
 from __future__ import annotations
 
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,6 +51,11 @@ def write_table(
         done = complete_runs(spark, folder)
         run = int(done[-1][len(RUN) :]) + 1 if done else 0
     target = f"{folder}/{RUN}{run:012d}"
+    fs, path = _file_system(spark, target)
+    if fs.exists(path):
+        own = f"{fs.makeQualified(path).toUri().getPath()}/"
+        if any(own in unquote(name) for name in df.inputFiles()):
+            raise ValueError(f"{target} is read by the table that would replace it")
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -57,6 +63,14 @@ def write_table(
     return target
 
 
+def drop_runs(spark: SparkSession, folder: str, runs: list[str]) -> None:
+    """Delete run directories; their `_SUCCESS` goes first, so none is read half deleted."""
+    for name in runs:
+        fs, path = _file_system(spark, f"{folder}/{name}")
+        fs.delete(_file_system(spark, f"{folder}/{name}/_SUCCESS")[1], False)
+        fs.delete(path, True)
+
+
 def latest_path(spark: SparkSession, root: str, name: str) -> str | None:
     done = complete_runs(spark, f"{root}/{name}")
     return f"{root}/{name}/{done[-1]}" if done else None

@@ -8,6 +8,8 @@ merged in, and `compact` makes that the next snapshot.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -20,9 +22,11 @@ from tidemark.sources.postings import (
     flatten_postings,
     split_rejects,
 )
-from tidemark.sources.tables import complete_runs, latest_path, write_table
+from tidemark.sources.tables import complete_runs, drop_runs, latest_path, write_table
 
 CHANGES = "changes"
+REJECTS = "rejects"
+REJECT_COLUMNS = ("batch", "seq", "collected_at", "problem")
 
 
 def start_collecting(
@@ -61,9 +65,17 @@ def start_collecting(
 
 
 def rejected(spark: SparkSession, root: str) -> DataFrame | None:
-    """Records of all finished batches that have no usable key, with their source position."""
-    found = _stored_changes(spark, root, -1)
-    return None if found is None else split_rejects(found)[1].select("batch", "seq", "collected_at")
+    """Records of all finished batches that cannot be loaded, with their source position and the
+    reason."""
+    base = latest_path(spark, root, "postings")
+    upto = _run_number(base) if base else -1
+    folder = f"{root}/{REJECTS}"
+    kept = [r for r in complete_runs(spark, folder) if _run_number(r) <= upto]
+    found = _stored_changes(spark, root, upto)
+    parts = [spark.read.parquet(*[f"{folder}/{r}" for r in kept])] if kept else []
+    if found is not None:
+        parts.append(split_rejects(found)[1].select(*REJECT_COLUMNS))
+    return reduce(DataFrame.unionByName, parts) if parts else None
 
 
 def changes_after(spark: SparkSession, root: str, batch: int = -1) -> DataFrame | None:
@@ -74,7 +86,7 @@ def changes_after(spark: SparkSession, root: str, batch: int = -1) -> DataFrame
 
 def _stored_changes(spark: SparkSession, root: str, batch: int) -> DataFrame | None:
     folder = f"{root}/{CHANGES}"
-    later = [r for r in complete_runs(spark, folder) if int(r.split("=")[1]) > batch]
+    later = [r for r in complete_runs(spark, folder) if _run_number(r) > batch]
     if not later:
         return None
     read = spark.read.parquet(*[f"{folder}/{name}" for name in later])
@@ -85,7 +97,7 @@ def _stored_changes(spark: SparkSession, root: str, batch: int) -> DataFrame | N
 def current_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """Postings, employers, skills and links as of the last finished batch."""
     base = latest_path(spark, root, "postings")
-    upto = int(base.rsplit("=", 1)[1]) if base else -1
+    upto = _run_number(base) if base else -1
 
     def stored(name: str) -> DataFrame:
         if base is None:
@@ -128,12 +140,25 @@ def _merge_employers(target: DataFrame, batch: DataFrame) -> DataFrame:
 def compact(spark: SparkSession, root: str) -> None:
     """Write the current tables as the snapshot of the last finished batch.
 
-    Postings are written last: a snapshot counts once they are there.
+    Postings are written last: a snapshot counts once they are there, and one that counts is never
+    written again.  Batches that the snapshot before already held are dropped then, so that
+    readers of that one are not disturbed; their rejects are kept in a table of their own.
     """
     runs = complete_runs(spark, f"{root}/{CHANGES}")
     if not runs:
         return
-    upto = int(runs[-1].split("=")[1])
+    base = latest_path(spark, root, "postings")
+    before = _run_number(base) if base else -1
+    upto = _run_number(runs[-1])
+    if upto <= before:
+        return
     tables = current_tables(spark, root)
+    rejects = split_rejects(_stored_changes(spark, root, before))[1]
+    write_table(rejects.select(*REJECT_COLUMNS), root, REJECTS, run=upto)
     for name in ("employers", "skills", "links", "postings"):
         write_table(tables[name], root, name, run=upto)
+    drop_runs(spark, f"{root}/{CHANGES}", [r for r in runs if _run_number(r) <= before])
+
+
+def _run_number(path: str) -> int:
+    return int(path.rsplit("=", 1)[1])
