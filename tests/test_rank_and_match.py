@@ -28,12 +28,12 @@ def scores(df):
 
 
 def test_rrf(spark):
-    a, b = rank_frame(spark, {10: 1, 20: 2, 30: 3}), rank_frame(spark, {20: 1, 10: 2})
-    got = scores(v.rrf([a, b], [0.5, 0.5]))
-    assert got[10] == got[20] == pytest.approx(0.5 / 61 + 0.5 / 62)
-    assert got[30] == pytest.approx(0.5 / 63)
-    got = scores(v.rrf([rank_frame(spark, {1: 1}), rank_frame(spark, {2: 1})], [0.9, 0.1]))
-    assert got == pytest.approx({1: 0.9 / 61, 2: 0.1 / 61})
+    a, b = rank_frame(spark, {4: 2, 7: 5, 8: 9}), rank_frame(spark, {7: 2, 4: 5, 6: 1})
+    got = scores(v.rrf([a, b], [1.5, 1.5], k=3))
+    assert got[4] == got[7] == pytest.approx(1.5 / 5 + 1.5 / 8)
+    assert got[8] == pytest.approx(1.5 / 12) and got[6] == pytest.approx(1.5 / 4)
+    got = scores(v.rrf([rank_frame(spark, {5: 4}), rank_frame(spark, {9: 2})], [0.2, 0.8]))
+    assert got == pytest.approx({5: 0.2 / 64, 9: 0.8 / 62})
     empty = a.limit(0)
     assert scores(v.rrf([empty, empty], [0.5, 0.5])) == {}
     with pytest.raises(ValueError):
@@ -186,6 +186,11 @@ def test_match(spark, change, verdict, score, blockers, notes):
     assert row["verdict"] == verdict and row["score"] == pytest.approx(score, abs=5e-4)
     assert [b["code"] for b in row["blockers"]] == blockers
     assert [n["code"] for n in row["notes"]] == notes
+    every = ("good", "stretch", "no")
+    for p in (PROFILE, Profile(title="open")):
+        many = match_profiles(df, [Profile(title="z", skills={"sql": "basic"}), p], verdicts=every)
+        same = many.where(F.col("profile") == p.title).drop("profile").first()
+        assert same == match_profile(df, p).first()
 
 
 def test_matches_have_no_join_and_no_shuffle(spark):

@@ -15,7 +15,7 @@ from tidemark.operators import fulltext as ft
 from tidemark.operators.chunking import chunk_documents, sentences
 from tidemark.operators.embedding import hash_vector, mixed_models, refresh_chunks
 from tidemark.operators.html import extract_text
-from tidemark.operators.stem import stem_index, stem_vocabulary, stem_word
+from tidemark.operators.stem import stem_forms, stem_index
 from tidemark.schemas import CHUNKS
 
 
@@ -301,49 +301,53 @@ def test_search_plan_is_top_k(spark, index, capsys):
     assert "TakeOrderedAndProject" in plan and "CartesianProduct" not in plan
 
 
-STEMS = {
-    # word pairs of the published sample vocabulary
-    "важнейший": "важн",
-    "вагонов": "вагон",
-    "валяющаяся": "валя",
-    "вероятность": "вероятн",
-    "весенняя": "весен",
-    "вдохновенный": "вдохновен",
-    "автоматизации": "автоматизац",
-    "автоматизация": "автоматизац",
-    **dict(
-        caresses="caress", ponies="poni", ties="tie", cats="cat", gas="gas", kiwis="kiwi",
-        agreed="agre", plastered="plaster", motoring="motor", hopping="hop", hoping="hope",
-        consigned="consign", consignment="consign", consistency="consist", relational="relat",
-        conditional="condit", generate="generat", generously="generous", knightly="knight",
-        happy="happi", say="say", by="by", national="nation", traditional="tradit", skies="sky",
-        colonizer="colon", possibly="possibl", developers="develop", bed="bed", falling="fall",
-        controlled="control", rolled="roll", activate="activ", exceeding="exceed", knees="knee",
-    ),
-}
-
-
 def test_stems(spark):
-    assert {w: stem_word(w) for w in STEMS} == STEMS
     docs = spark.createDataFrame(
-        [(1, "Автоматизация", "отчётов"), (2, "x", "для автоматизации отчета")],
+        [(1, "Walking", "tours"), (2, "x", "he walks a tour"), (3, "walker", "of the dog")],
         "posting_id bigint, title string, body string",
     )
     rows = ft.build_index(docs)
-    wanted = [stem_word(w) for w in ("автоматизация", "отчёты")]
-    vocabulary = stem_vocabulary(rows)
-    found = ft.text_match(stem_index(rows, vocabulary, wanted), wanted)
-    assert ids(found) == [1, 2]
+    pairs = [("walking", "walk"), ("walks", "walk"), ("tours", "tour"), ("tour", "tour"), ("he", "he")]
+    vocabulary = spark.createDataFrame(pairs, "term string, stem string")
+    forms = stem_forms(vocabulary, ["walks", "tour", "unheard"])
+    assert forms == {"walking": "walk", "walks": "walk", "tours": "tour", "tour": "tour", "unheard": "unheard"}
+    assert ids(ft.text_match(stem_index(rows, vocabulary, forms), ["walk", "tour"])) == [1, 2]
+    assert ids(ft.text_match(stem_index(rows, vocabulary), ["he", "walk"])) == [2]
+    plan = stem_index(rows, vocabulary, forms)._jdf.queryExecution().toString()
+    assert "Join" not in plan
     postings = docs.select("posting_id", F.lit("2026-01-01").cast("timestamp").alias("published_at"))
 
     def search(text, **more):
         hits = ft.search_postings(postings, None, rows, text, columns=["posting_id"], **more)
         return [r["posting_id"] for r in hits.collect()]
 
-    assert search("автоматизация") == [1]
-    assert search("для автоматизации", vocabulary=vocabulary) == [1, 2]
-    assert search("для автоматизации", vocabulary=vocabulary, stop_words=frozenset()) == [2]
-    assert search("для") == []
+    assert search("walking") == [1]
+    assert search("the walks", vocabulary=vocabulary) == [1, 2]
+    assert search("he walks", vocabulary=vocabulary, stop_words=frozenset()) == [2]
+    assert search("unheard", vocabulary=vocabulary) == [] and search("the") == []
+
+
+def test_index_runs_inside_the_row(spark):
+    docs = spark.createDataFrame(
+        [(1, "B a b", "b A"), (2, None, None), (3, "", "x"), (4, "one", "")],
+        "posting_id bigint, title string, body string",
+    )
+    rows = ft.build_index(docs)
+    got = sorted((r.posting_id, r.term, r.field, list(r.positions)) for r in rows.collect())
+    assert got == [
+        (1, "a", "A", [1]), (1, "a", "B", [4]), (1, "b", "A", [0, 2]), (1, "b", "B", [3]),
+        (3, "x", "B", [0]), (4, "one", "A", [0]),
+    ]
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_deep_search_returns_as_many_rows_as_asked(spark):
+    docs = spark.range(300).select(
+        F.col("id").alias("posting_id"), F.lit("word").alias("title"), F.lit("").alias("body"),
+        F.lit("2026-01-01").cast("timestamp").alias("published_at"),
+    )
+    found = ft.search_postings(docs, None, ft.build_index(docs), "word", limit=200, columns=["posting_id"])
+    assert found.count() == 200
 
 
 def test_stored_index_prunes_by_term(spark, index, tmp_path):

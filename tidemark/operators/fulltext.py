@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.fields import clamp_limit
 from tidemark.functions.text import words
 from tidemark.operators.filters import search_filter
-from tidemark.operators.stem import STOP_WORDS, stem_index, stem_word
+from tidemark.operators.stem import STOP_WORDS, stem_forms, stem_index
 
 #: Weight of a word in the title and in the body.
 FIELD_WEIGHT = {"A": 1.0, "B": 0.4}
@@ -45,32 +45,30 @@ def build_index(
             w.alias("term"), F.when(i < F.col("_n"), "A").otherwise("B").alias("field"), i.alias("at")
         ),
     )
-    sorted_ = counted.select("posting_id", F.array_sort(place).alias("_s"))
-    s, last = F.col("_s"), F.size("_s")
+    # as rows of their own, the arrays are made once, however often they are looked at
+    placed = counted.where(F.size("_w") > 0).select(
+        "posting_id", F.explode_outer(F.array(F.sort_array(place))).alias("_s")
+    )
+    s = F.col("_s")
+    key = F.transform(s, lambda x: F.struct(x["term"], x["field"]))
+    keyed = placed.select(
+        "posting_id", F.explode_outer(F.array(F.struct(key.alias("k"), s["at"].alias("at")))).alias("_s")
+    ).select("posting_id", F.col("_s.k").alias("_k"), F.col("_s.at").alias("_at"))
+    k, n = F.col("_k"), F.size("_k")
     heads = F.filter(
-        F.sequence(F.lit(0), last - 1),
-        lambda i: (i == 0)
-        | (s[i]["term"] != s[F.greatest(i - 1, F.lit(0))]["term"])
-        | (s[i]["field"] != s[F.greatest(i - 1, F.lit(0))]["field"]),
+        F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (k[i] != k[F.greatest(i - 1, F.lit(0))])
     )
-    # a sequence to -1 would run backwards
-    cut = sorted_.where(last > 0).select("posting_id", "_s", heads.alias("_h"))
+    cut = keyed.select("posting_id", "_at", "_k", F.explode_outer(F.array(heads)).alias("_h"))
     h = F.col("_h")
     runs = F.transform(
         h,
-        lambda begin, k: F.struct(
-            s[begin]["term"].alias("term"),
-            s[begin]["field"].alias("field"),
-            F.slice(
-                s["at"],
-                begin + 1,
-                F.coalesce(F.get(h, k + 1), F.size("_s")) - begin,
-            ).alias("positions"),
+        lambda begin, j: F.struct(
+            k[begin].alias("key"),
+            F.slice("_at", begin + 1, F.coalesce(F.get(h, j + 1), n) - begin).alias("positions"),
         ),
     )
-    return (
-        cut.select("posting_id", F.explode_outer(runs).alias("_r"))
-        .select("_r.term", "posting_id", "_r.field", "_r.positions")
+    return cut.select("posting_id", F.explode_outer(runs).alias("_r")).select(
+        "_r.key.term", "posting_id", "_r.key.field", "_r.positions"
     )
 
 
@@ -291,19 +289,20 @@ def search_postings(
 
     Text hits meet only the keys and dates of the filtered postings; the wide columns are read
     for the best rows alone.  Both lookups that follow the cut, of the wide columns and of the
-    employer names, broadcast at most `limit` keys.  With a `vocabulary` (see
-    `stem.stem_vocabulary`) all words are searched by their stems.  A text of stop words alone
-    finds nothing.
+    employer names, broadcast at most `limit` keys.  With a `vocabulary` of `(term, stem)` all
+    words are searched by their stems.  `max_limit`, if given, holds `limit` down.  A text of
+    stop words alone finds nothing.
     """
     terms = split_words(text, stop_words)
     found = search_filter(postings, now=now, **filters)
     if split_words(text, frozenset()) and not (terms or any_of or phrases):
         found = found.where(F.lit(False))
     if vocabulary is not None:
-        terms, none_of, any_of = ([stem_word(w) for w in ws] for ws in (terms, none_of, any_of))
-        phrases = [[stem_word(w) for w in p] for p in phrases]
         mentioned = {*terms, *none_of, *any_of, *(w for p in phrases for w in p)}
-        index = stem_index(index, vocabulary, sorted(mentioned)) if mentioned else index
+        forms = stem_forms(vocabulary, mentioned) if mentioned else {}
+        terms, none_of, any_of = ([forms[w] for w in ws] for ws in (terms, none_of, any_of))
+        phrases = [[forms[w] for w in p] for p in phrases]
+        index = stem_index(index, vocabulary, forms) if mentioned else index
     hits = _ranked_hits(index, terms, none_of, any_of, phrases, found)
     limit = clamp_limit(limit, max_limit)
     order = [F.desc_nulls_last("rank"), F.desc_nulls_last("published_at"), F.asc("posting_id")]

@@ -6,8 +6,10 @@ matching is a single narrow pass over the postings, without a join or a shuffle.
 
 from __future__ import annotations
 
+import json
 import operator
 from collections.abc import Sequence
+from dataclasses import asdict
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.fields import EXPERIENCE_ORDER, experience_rank
 from tidemark.functions.text import contains_any
+from tidemark.operators.ranking import top_k_within
 from tidemark.sources.parameters import Profile
 
 # Weight of a skill level, shares of coverage and level in the score, and the
@@ -145,16 +148,111 @@ def match_profile(
     )
 
 
+#: Profiles matched in one pass over the postings.
+PROFILE_BLOCK = 256
+
+_PROFILE = (
+    "array<struct<title:string,skills:map<string,string>,missing:array<string>,"
+    "salary_min_base:int,remote_only:boolean,employment:array<string>,max_experience:string,"
+    "red_flags:array<string>,green_flags:array<string>>>"
+)
+
+
+def _found_in(text: Column, needles: Column) -> Column:
+    return F.filter(needles, lambda n: F.contains(text, F.lower(F.trim(n))))
+
+
+def _row_columns(p: Column, order: tuple[str, ...]) -> list[dict[str, Column]]:
+    """The columns of `match_columns` for a profile that is a struct column."""
+    low, high, floor = F.col("salary_from_base"), F.col("salary_to_base"), p["salary_min_base"]
+    kind = F.col("employment_id")
+    accepted = experience_rank(p["max_experience"], order)
+    needed = experience_rank(F.col("experience_id"), order)
+    blockers = [
+        F.when(low < floor, _finding("salary_from_low", low)),
+        F.when(low.isNull() & (high < floor), _finding("salary_to_low", high)),
+        F.when(p["remote_only"] & ~F.col("is_remote"), _finding("not_remote")),
+        F.when(
+            (F.size(p["employment"]) > 0) & ~F.array_contains(p["employment"], kind),
+            _finding("employment", kind),
+        ),
+        F.when(
+            needed > accepted, _finding("experience", F.coalesce("experience_name", "experience_id"))
+        ),
+    ]
+    unknown = F.when(
+        floor.isNotNull() & low.isNull() & high.isNull(), _finding("salary_unknown")
+    )
+    text = F.lower(F.concat("title", F.lit("\n"), F.coalesce("description", F.lit(""))))
+    skills, held = F.col("skills"), F.map_keys(p["skills"])
+    unnamed = F.size(skills) == 0
+    gaps = F.array_intersect(skills, F.array_except(p["missing"], held))
+    weights = F.create_map(*[F.lit(x) for pair in LEVEL_WEIGHT.items() for x in pair])
+    level = F.aggregate(
+        "matched_skills",
+        F.lit(0.0),
+        lambda s, name: s + F.coalesce(F.try_element_at(weights, p["skills"][name]), F.lit(0.0)),
+    )
+    mean = F.when(F.size("matched_skills") > 0, level / F.size("matched_skills")).otherwise(0.0)
+    score = COVERAGE_SHARE * F.col("_coverage") + LEVEL_SHARE * mean
+    return [
+        {
+            "matched_skills": F.array_intersect(skills, held),
+            "missing_skills": F.array_except(skills, held),
+            "blockers": F.concat(
+                F.array_compact(F.array(*blockers)),
+                _flags(_found_in(text, p["red_flags"]), "red_flag"),
+            ),
+            "notes": F.concat(
+                F.array_compact(F.array(unknown)),
+                _flags(_found_in(text, p["green_flags"]), "green_flag"),
+                _flags(gaps, "known_gap"),
+                F.array_compact(F.array(F.when(unnamed, _finding("no_skills_named")))),
+            ),
+        },
+        {
+            "_coverage": F.when(unnamed, F.lit(1.0)).otherwise(
+                F.size("matched_skills") / F.size(skills)
+            )
+        },
+        {
+            "score": F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)),
+            "verdict": F.when(F.size("blockers") > 0, F.lit("no"))
+            .when((F.col("_coverage") >= GOOD_COVERAGE) & ~unnamed, F.lit("good"))
+            .otherwise(F.lit("stretch")),
+        },
+    ]
+
+
 def match_profiles(
-    postings: DataFrame, profiles: Sequence[Profile], order: tuple[str, ...] = EXPERIENCE_ORDER
+    postings: DataFrame,
+    profiles: Sequence[Profile],
+    order: tuple[str, ...] = EXPERIENCE_ORDER,
+    verdicts: Sequence[str] = ("good", "stretch"),
+    top_n: int | None = None,
 ) -> DataFrame:
-    """Matches of several profiles, told apart by `profile`; one narrow pass each."""
-    out = None
-    for profile in profiles:
-        part = match_profile(postings, profile, order).select(
-            F.lit(profile.title).alias("profile"), "*"
-        )
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    """Matches of many profiles, told apart by `profile` (the title).
+
+    Each block of PROFILE_BLOCK profiles is one literal list, met by every posting in one narrow
+    pass.  Only matches with one of the `verdicts` leave a task; `top_n` keeps the best of each
+    profile, ties to the lower posting.
+    """
+    if not profiles:
         raise ValueError("no profile to match")
-    return out
+    parts = []
+    for begin in range(0, len(profiles), PROFILE_BLOCK):
+        text = json.dumps([asdict(p) for p in profiles[begin : begin + PROFILE_BLOCK]])
+        out = postings.withColumn("_p", F.explode(F.from_json(F.lit(text), _PROFILE)))
+        for group in _row_columns(F.col("_p"), order):
+            out = out.select("*", *[c.alias(name) for name, c in group.items()])
+        parts.append(
+            out.where(F.col("verdict").isin(*verdicts)).select(
+                F.col("_p.title").alias("profile"), "posting_id", "verdict", "score",
+                "matched_skills", "missing_skills", "blockers", "notes",
+            )
+        )
+    found = reduce(DataFrame.unionByName, parts)
+    if top_n is None:
+        return found
+    best = [F.desc("score"), F.asc("posting_id")]
+    return top_k_within(found, "profile", best, top_n)

@@ -1,210 +1,14 @@
 """Word stems and stop words for searches: word forms of one stem find each other.
 
-Stems are computed over the distinct vocabulary of an index, never over its occurrences.
+Stems come as a table of `(term, stem)`, one row per word form, stored beside the index.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Sequence
+from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-# Vowels and endings of the published Snowball algorithm for Russian.
-_VOWELS = "аеиоуыэюя"
-_GERUND = ("ив ивши ившись ыв ывши ывшись", "в вши вшись")
-_ADJECTIVE = (
-    "ее ие ые ое ими ыми ей ий ый ой ем им ым ом его ого ему ому их ых ую юю ая яя ою ею",
-    "",
-)
-_PARTICIPLE = ("ивш ывш ующ", "ем нн вш ющ щ")
-_REFLEXIVE = ("ся сь", "")
-_VERB = (
-    "ила ыла ена ейте уйте ите или ыли ей уй ил ыл им ым ен ило ыло ено ят ует уют ит ыт ены ить"
-    " ыть ишь ую ю",
-    "ла на ете йте ли й л ем н ло но ет ют ны ть ешь нно",
-)
-_NOUN = (
-    "а ев ов ие ье е иями ями ами еи ии и ией ей ой ий й иям ям ием ем ам ом о у ах иях ях ы ь ию"
-    " ью ю ия ья я",
-    "",
-)
-_DERIVED = ("ост ость", "")
-_SUPERLATIVE = ("ейш ейше", "")
-
-_Ending = re.Pattern[str]
-
-
-def _ending(group: tuple[str, str]) -> tuple[_Ending, frozenset[str]]:
-    """Longest ending of both lists; those of the second stand only after а or я."""
-    free, bound = (set(part.split()) for part in group)
-    either = sorted(free | bound, key=len, reverse=True)
-    return re.compile(f"(?:{'|'.join(either)})$"), frozenset(bound - free)
-
-
-_ENDINGS = {
-    name: _ending(group)
-    for name, group in {
-        "gerund": _GERUND,
-        "adjective": _ADJECTIVE,
-        "participle": _PARTICIPLE,
-        "reflexive": _REFLEXIVE,
-        "verb": _VERB,
-        "noun": _NOUN,
-        "derived": _DERIVED,
-        "superlative": _SUPERLATIVE,
-    }.items()
-}
-
-
-def _without(word: str, region: int, name: str) -> str | None:
-    """The word less its ending of that kind, if it has one inside the region."""
-    pattern, bound = _ENDINGS[name]
-    found = pattern.search(word, region)
-    if found is None:
-        return None
-    at = found.start()
-    if found.group() in bound and (at - 1 < region or word[at - 1] not in "ая"):
-        return None
-    return word[:at]
-
-
-_AFTER_VOWEL = re.compile(f"[^{_VOWELS}]*[{_VOWELS}]")
-_AFTER_PAIR = re.compile(f"[^{_VOWELS}]*[{_VOWELS}]+[^{_VOWELS}]")
-
-
-def _end(pattern: re.Pattern[str], word: str, start: int = 0) -> int:
-    found = pattern.match(word, start)
-    return found.end() if found else len(word)
-
-
-def stem_russian(word: str) -> str:
-    word = word.replace("ё", "е")
-    rv = _end(_AFTER_VOWEL, word)
-    r2 = _end(_AFTER_PAIR, word, _end(_AFTER_PAIR, word))
-
-    cut = _without(word, rv, "gerund")
-    if cut is None:
-        plain = _without(word, rv, "reflexive") or word
-        adjective = _without(plain, rv, "adjective")
-        if adjective is not None:
-            cut = _without(adjective, rv, "participle") or adjective
-        else:
-            cut = _without(plain, rv, "verb") or _without(plain, rv, "noun") or plain
-    word = cut
-    if len(word) > rv and word.endswith("и"):
-        word = word[:-1]
-    word = _without(word, max(r2, rv), "derived") or word
-    word_less = _without(word, rv, "superlative")
-    if word_less is not None:
-        word = word_less
-    if word.endswith("нн") and len(word) - 2 >= rv:
-        return word[:-1]
-    if word_less is None and word.endswith("ь") and len(word) > rv:
-        return word[:-1]
-    return word
-
-
-# The published Snowball algorithm for English.
-_EN_KEPT = "sky news howe atlas cosmos bias andes".split()
-_EN_FIXED = dict(
-    skis="ski", skies="sky", dying="die", lying="lie", tying="tie", idly="idl", gently="gentl",
-    ugly="ugli", early="earli", only="onli", singly="singl",
-) | {word: word for word in _EN_KEPT}
-_EN_WHOLE_AFTER_PLURAL = set("inning outing canning herring earring proceed exceed succeed".split())
-_EN_STEP_2 = dict(
-    tional="tion", enci="ence", anci="ance", abli="able", entli="ent", izer="ize", ization="ize",
-    ational="ate", ation="ate", ator="ate", alism="al", aliti="al", alli="al", fulness="ful",
-    ousli="ous", ousness="ous", iveness="ive", iviti="ive", biliti="ble", bli="ble", ogi="og",
-    fulli="ful", lessli="less", li="",
-)
-_EN_STEP_3 = dict(
-    tional="tion", ational="ate", alize="al", icate="ic", iciti="ic", ical="ic", ful="", ness="",
-    ative="",
-)
-_EN_STEP_4 = dict.fromkeys(
-    "al ance ence er ic able ible ant ement ment ent ism ate iti ous ive ize ion".split(), ""
-)
-_EN_FIRST_REGION = re.compile("gener|commun|arsen")
-_EN_REGION = re.compile("[^aeiouy]*[aeiouy]+[^aeiouy]")
-_EN_VOWEL = re.compile("[aeiouy]")
-_EN_SHORT = re.compile("(?:(?:^|.*[^aeiouy])[aeiouy][^aeiouywxY]|^[aeiouy][^aeiouy])$", re.DOTALL)
-
-
-def _suffix(word: str, endings: dict[str, str]) -> str | None:
-    """Longest of the endings the word has."""
-    return max((e for e in endings if word.endswith(e)), key=len, default=None)
-
-
-def _swap(word: str, endings: dict[str, str], start: int, allowed) -> str:
-    """The word with its longest listed ending replaced, if that begins at `start` or later."""
-    ending = _suffix(word, endings)
-    if ending is None:
-        return word
-    head = word[: len(word) - len(ending)]
-    return head + endings[ending] if len(head) >= start and allowed(head, ending) else word
-
-
-def _short_end(word: str) -> bool:
-    return _EN_SHORT.match(word) is not None
-
-
-def _without_ing_ed(word: str, r1: int) -> str:
-    ending = _suffix(word, dict.fromkeys(("eed", "eedly", "ed", "edly", "ing", "ingly"), ""))
-    if ending is None:
-        return word
-    head = word[: len(word) - len(ending)]
-    if ending.startswith("eed"):
-        return head + "ee" if len(head) >= r1 else word
-    if not _EN_VOWEL.search(head):
-        return word
-    if head.endswith(("at", "bl", "iz")):
-        return head + "e"
-    if head[-2:] in ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt"):
-        return head[:-1]
-    return head + "e" if len(head) <= r1 and _short_end(head) else head
-
-
-def stem_english(word: str) -> str:
-    if len(word) <= 2:
-        return word
-    if word in _EN_FIXED:
-        return _EN_FIXED[word]
-    word = re.sub("^y|(?<=[aeiouy])y", "Y", word)
-    first = _EN_FIRST_REGION.match(word)
-    r1 = first.end() if first else _end(_EN_REGION, word)
-    r2 = _end(_EN_REGION, word, r1)
-
-    if word.endswith("sses"):
-        word = word[:-2]
-    elif word.endswith(("ied", "ies")):
-        word = word[:-2] if len(word) > 4 else word[:-1]
-    elif word.endswith("s") and not word.endswith(("us", "ss")) and _EN_VOWEL.search(word[:-2]):
-        word = word[:-1]
-    if word in _EN_WHOLE_AFTER_PLURAL:
-        return word
-    word = _without_ing_ed(word, r1)
-    if len(word) > 2 and word[-1] in "yY" and not _EN_VOWEL.match(word[-2]):
-        word = word[:-1] + "i"
-
-    def in_step_2(head: str, ending: str) -> bool:
-        if ending == "li":
-            return head[-1:] in tuple("cdeghkmnrt")
-        return ending != "ogi" or head.endswith("l")
-
-    word = _swap(word, _EN_STEP_2, r1, in_step_2)
-    word = _swap(word, _EN_STEP_3, r1, lambda head, e: e != "ative" or len(head) >= r2)
-    word = _swap(word, _EN_STEP_4, r2, lambda head, e: e != "ion" or head.endswith(("s", "t")))
-    head = word[:-1]
-    if word.endswith("e") and (len(head) >= r2 or (len(head) >= r1 and not _short_end(head))):
-        word = head
-    elif word.endswith("ll") and len(head) >= r2:
-        word = head
-    return word.replace("Y", "y")
-
 
 # Frequent words left out of a search text, by the published Snowball lists.
 STOP_WORDS = frozenset(
@@ -228,29 +32,27 @@ STOP_WORDS = frozenset(
 )
 
 
-def stem_word(word: str) -> str:
-    """Stem of a lower-case word: English for plain ASCII words, Russian for all others."""
-    return stem_english(word) if word.isascii() else stem_russian(word)
-
-
-@F.pandas_udf(T.StringType())
-def _stem(words: pd.Series) -> pd.Series:
-    return words.map(stem_word, na_action="ignore")
-
-
-def stem_vocabulary(index: DataFrame) -> DataFrame:
-    """Distinct terms of an index with their stems."""
-    return index.select("term").distinct().withColumn("stem", _stem("term"))
+def stem_forms(vocabulary: DataFrame, words: Iterable[str]) -> dict[str, str]:
+    """All forms of the stems of some words, each with its stem; a word that the vocabulary lacks
+    is its own stem.  As many rows as the stems of a search have forms come to the driver."""
+    asked = sorted(set(words))
+    known = vocabulary.where(F.col("term").isin(*asked)).select("stem").distinct()
+    rows = vocabulary.join(known, "stem", "left_semi").select("term", "stem").collect()
+    return {w: w for w in asked} | {r["term"]: r["stem"] for r in rows}
 
 
-def stem_index(index: DataFrame, vocabulary: DataFrame, stems: Sequence[str] | None = None) -> DataFrame:
+def stem_index(
+    index: DataFrame, vocabulary: DataFrame, forms: dict[str, str] | None = None
+) -> DataFrame:
     """Index with stems in place of terms, for the searches of `fulltext`.
 
-    With `stems` only their word forms are joined: a handful of terms, which the store sorted
-    by term finds by its statistics.  The join is left to the adaptive planner, which splits
-    a hot term.
+    With `forms` (see `stem_forms`) only their rows are read: the store sorted by term finds them
+    by its statistics, and their stems are literals.  Without, the whole vocabulary is joined.
     """
-    forms = vocabulary if stems is None else vocabulary.where(F.col("stem").isin(*stems))
-    return index.join(forms, "term").select(
-        F.col("stem").alias("term"), "posting_id", "field", "positions"
-    )
+    if forms is None:
+        named = index.join(vocabulary, "term")
+    else:
+        pairs = [F.lit(x) for pair in forms.items() for x in pair]
+        stem = F.element_at(F.create_map(*pairs), F.col("term"))
+        named = index.where(F.col("term").isin(*forms)).withColumn("stem", stem)
+    return named.select(F.col("stem").alias("term"), "posting_id", "field", "positions")

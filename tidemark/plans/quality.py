@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import words
 from tidemark.operators import evaluation as ev
 from tidemark.operators import fulltext as ft
-from tidemark.operators.matching import match_profile, with_skills
+from tidemark.operators.matching import match_profile, match_profiles, with_skills
 from tidemark.operators.ranking import spread_rows, top_k_within
 from tidemark.plans import standin as s
 from tidemark.plans.market import LINKS_SQL, POSTINGS_SQL, PRIORITIES
@@ -61,6 +61,31 @@ def match_orders(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def nation_profiles(spark: SparkSession, d: str) -> list[Profile]:
+    """A profile per nation: its key picks skills, salary and place."""
+    rows = s.table(spark, d, "nation").select("n_nationkey", "n_name").collect()
+    return [
+        Profile(
+            title=name,
+            skills={f"red widget brand#{key + 1}": "strong", f"blue bolt brand#{key + 1}": "basic"},
+            salary_min_base=10_000 * key,
+            remote_only=key % 2 == 0,
+            max_experience="2-HIGH",
+        )
+        for key, name in rows
+    ]
+
+
+def match_many(spark: SparkSession, d: str) -> DataFrame:
+    """Orders that suit each nation's profile, all profiles in one pass."""
+    postings = with_skills(s.postings(spark, d), s.links(spark, d))
+    found = match_profiles(postings, nation_profiles(spark, d), PRIORITIES, ("good",))
+    return found.select(
+        "profile", "posting_id", F.round("score", 6).alias("score"),
+        F.array_join("matched_skills", "|").alias("matched_skills"),
+    )
+
+
 def benchmark_queries(spark: SparkSession, d: str) -> DataFrame:
     """Labelled queries: the escaped text is the pattern."""
     escaped = F.regexp_replace("text", r"([\\.^$|?*+()\[\]{}])", r"\\$1")
@@ -175,6 +200,25 @@ def _metric_sql() -> str:
 
 
 QUERIES = {
+    "match_many": (
+        match_many,
+        f"""
+WITH {POSTINGS_SQL}, {LINKS_SQL},
+sizes AS (SELECT posting_id, count(*) AS n FROM links GROUP BY 1),
+hits AS (
+  SELECT n_name AS profile, n_nationkey AS key, posting_id, count(*) AS m,
+         sum(CASE WHEN skill_name LIKE 'red widget %' THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END) AS lw,
+         string_agg(skill_name, '|' ORDER BY skill_name) AS matched_skills
+  FROM nation JOIN links ON skill_name IN ('red widget brand#' || (n_nationkey + 1),
+                                           'blue bolt brand#' || (n_nationkey + 1))
+  GROUP BY ALL)
+SELECT profile, posting_id, matched_skills,
+       round(least(1, 0.7::DOUBLE * m / n + 0.3::DOUBLE * lw / m), 6) AS score
+FROM hits JOIN sizes USING (posting_id) JOIN postings p USING (posting_id)
+WHERE m / n::DOUBLE >= 0.6 AND (salary IS NULL OR salary >= 10000 * key)
+  AND NOT (salary IS NULL AND coalesce(salary_to < 10000 * key, false))
+  AND (key % 2 = 1 OR employment_id = 'O') AND experience_id <> '1-URGENT'""",
+    ),
     "match_profiles": (
         match_orders,
         f"""

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.plans import changes, market, quality, text, vectors
+from tidemark.plans import changes, ingest, market, quality, text, vectors
 
 ALL = {
     **market.QUERIES,
     **changes.QUERIES,
+    **ingest.QUERIES,
     **text.QUERIES,
     **vectors.QUERIES,
     **quality.QUERIES,

@@ -13,14 +13,19 @@ from tidemark.operators import fulltext as ft
 from tidemark.operators.chunking import chunk_documents, sentences
 from tidemark.operators.embedding import hash_embed, mixed_models, refresh_chunks
 from tidemark.operators.html import extract_text
-from tidemark.operators.stem import stem_index, stem_vocabulary
+from tidemark.operators.stem import stem_index
 from tidemark.operators.ranking import spread_rows
 from tidemark.plans import standin as s
 from tidemark.schemas import CHUNKS
 
 
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as titled texts; one small file is one task, so they are spread for the parser."""
+    return spread_rows(s.document_texts(spark, d), "posting_id")
+
+
 def index(spark: SparkSession, d: str) -> DataFrame:
-    return ft.build_index(s.document_texts(spark, d))
+    return ft.build_index(texts(spark, d))
 
 
 #: Words of the documents with place and weight, in SQL.
@@ -52,7 +57,7 @@ def occurrence_positions(spark: SparkSession, d: str) -> DataFrame:
 
 def refreshed(spark: SparkSession, d: str) -> DataFrame:
     """Index over English documents after the others arrive: equal to a full build."""
-    docs = s.document_texts(spark, d)
+    docs = texts(spark, d)
     english = F.col("lang") == "en"
     partial = ft.build_index(docs.where(english))
     out = ft.refresh_index(partial, docs, docs.where(~english))
@@ -72,7 +77,7 @@ def text_match_any(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_match_absent(spark: SparkSession, d: str) -> DataFrame:
-    docs = s.document_texts(spark, d)
+    docs = texts(spark, d)
     return ft.text_match(ft.build_index(docs), none_of=["the", "de"], universe=docs)
 
 
@@ -98,7 +103,7 @@ def search_text(spark: SparkSession, d: str) -> DataFrame:
     return ft.search_postings(
         postings,
         s.employers(spark, d),
-        ft.build_index(docs),
+        index(spark, d),
         "The, of!",
         none_of=["is"],
         stop_words=frozenset(),
@@ -110,14 +115,17 @@ def search_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stem_terms(spark: SparkSession, d: str) -> DataFrame:
-    return stem_vocabulary(index(spark, d))
+    """A vocabulary with stems: here the first five letters of each word."""
+    terms = index(spark, d).select("term").distinct()
+    return terms.withColumn("stem", F.substring("term", 1, 5))
 
 
 def stemmed_words(spark: SparkSession, d: str) -> DataFrame:
-    """Words per document in the stemmed index: stemming merges terms and loses no place."""
-    rows = index(spark, d)
-    stemmed = stem_index(rows, stem_vocabulary(rows))
-    return stemmed.groupBy("posting_id").agg(F.sum(F.size("positions")).alias("n_words"))
+    """Documents and words per stem in the stemmed index."""
+    stemmed = stem_index(index(spark, d), stem_terms(spark, d))
+    return ft.document_frequency(stemmed).select(
+        F.col("term").alias("stem"), "documents", F.col("occurrences").alias("n_words")
+    )
 
 
 def page_text(spark: SparkSession, d: str) -> DataFrame:
@@ -408,12 +416,16 @@ JOIN sets s USING (posting_id) LEFT JOIN customer ON c_custkey = n_chars
 WHERE NOT list_contains(ws, 'is') AND n_chars >= 200 AND lang = 'en'
 ORDER BY round(r.rank, 9) DESC, published_at DESC, d.posting_id LIMIT 40""",
     ),
-    "stem_vocabulary": (stem_terms, None),
+    "stem_vocabulary": (
+        stem_terms,
+        f"WITH {HITS_SQL} SELECT DISTINCT term, substr(term, 1, 5) AS stem FROM hits",
+    ),
     "stemmed_words": (
         stemmed_words,
         f"""
 WITH {HITS_SQL}
-SELECT posting_id, count(*) AS n_words FROM hits GROUP BY posting_id""",
+SELECT substr(term, 1, 5) AS stem, count(DISTINCT posting_id) AS documents, count(*) AS n_words
+FROM hits GROUP BY 1""",
     ),
     "extract_text": (page_text, _PAGE_TEXT_SQL),
     "sentence_split": (sentence_split, f"WITH {_sentences_sql('documents')} SELECT * FROM sents"),

@@ -128,6 +128,51 @@ def hybrid(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _document_postings(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as postings; the customer with the number of the text's length employs."""
+    return s.document_texts(spark, d).select(
+        "posting_id",
+        "title",
+        F.col("lang").alias("url"),
+        F.expr("timestampadd(MINUTE, n_chars, TIMESTAMP_NTZ '2024-01-01 00:00:00')").alias("published_at"),
+        F.col("n_chars").alias("employer_id"),
+    )
+
+
+def _named(spark: SparkSession, d: str, hits: DataFrame) -> DataFrame:
+    """Hits with posting, employer and snippet columns."""
+    cards = v.with_postings(hits, _document_postings(spark, d), s.employers(spark, d))
+    return v.with_snippets(cards, document_chunks(spark, d), 7).select(
+        "query_id", "rank", "posting_id", F.round("similarity", 6).alias("similarity"), "title", "url",
+        "published_at", "employer_name", "snippet",
+    )
+
+
+def semantic_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest documents of each label with their columns."""
+    return _named(
+        spark, d, v.semantic_search(document_chunks(spark, d), label_means(spark, d), limit=20)
+    )
+
+
+def hybrid_hits(spark: SparkSession, d: str) -> DataFrame:
+    """A hundred hybrid hits of each label with their columns."""
+    hits = v.hybrid_search(
+        text_ranks(spark, d), document_chunks(spark, d), label_means(spark, d), limit=100,
+        semantic_weight=0.4,
+    )
+    return _named(spark, d, hits)
+
+
+def semantic_complete(spark: SparkSession, d: str) -> DataFrame:
+    """One posting owns every chunk that is not of label 7, yet all postings asked for are found."""
+    chunks = s.chunks(spark, d).withColumn(
+        "posting_id", F.when(F.col("posting_id") == 7, F.col("chunk_index")).otherwise(-1)
+    )
+    hits = v.semantic_search(chunks, label_means(spark, d), limit=15, min_similarity=-1.0)
+    return hits.withColumn("similarity", F.round("similarity", 6))
+
+
 def _whole_rank(sql: str) -> str:
     return f"SELECT * REPLACE (CAST(rank AS INTEGER) AS rank) FROM ({sql})"
 
@@ -155,6 +200,15 @@ FROM best QUALIFY rank <= 5"""
 
 _TEXT_SQL = " UNION ALL ".join(rank_sql(str(k), w) for k, w in LABEL_WORDS.items())
 
+_CARDS_SQL = """
+SELECT h.query_id, h.rank, h.posting_id, round(h.s, 6) AS similarity,
+       string_split(d.text, chr(10))[1] AS title, d.lang AS url,
+       TIMESTAMP '2024-01-01' + to_minutes(d.n_chars) AS published_at, c_name AS employer_name,
+       CASE WHEN e.vec_id IS NULL THEN '' WHEN length('chunk ' || e.vec_id) <= 7 THEN 'chunk ' || e.vec_id
+            ELSE substr('chunk ' || e.vec_id, 1, 7) || '…' END AS snippet
+FROM found h JOIN documents d ON d.doc_id = h.posting_id LEFT JOIN customer ON c_custkey = d.n_chars
+LEFT JOIN embeddings e ON e.vec_id = h.posting_id AND h.chunk_index >= 0"""
+
 QUERIES = {
     "cosine_topk": (
         cosine_topk,
@@ -206,6 +260,48 @@ b AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc
 SELECT coalesce(a.source, b.source) AS query_id, coalesce(a.doc_id, b.doc_id) AS posting_id,
        round(coalesce(0.7::DOUBLE / (60 + a.r), 0) + coalesce(0.3::DOUBLE / (60 + b.r), 0), 9) AS score
 FROM a FULL JOIN b ON a.doc_id = b.doc_id""",
+    ),
+    "semantic_complete": (
+        semantic_complete,
+        _whole_rank(f"""
+WITH {MEANS_SQL},
+own AS (SELECT query_id, CASE WHEN posting_id = 7 THEN chunk_index ELSE -1 END AS posting_id, chunk_index, s FROM sims),
+best AS (SELECT query_id, posting_id, max(s) AS s, arg_max(chunk_index, (s, -chunk_index)) AS chunk_index
+         FROM own GROUP BY 1, 2)
+SELECT query_id, posting_id, chunk_index, round(s, 6) AS similarity,
+       row_number() OVER (PARTITION BY query_id ORDER BY s DESC, posting_id, chunk_index) AS rank
+FROM best QUALIFY rank <= 15"""),
+    ),
+    "semantic_hits": (
+        semantic_hits,
+        _whole_rank(f"""
+WITH {MEANS_SQL},
+found AS (SELECT query_id, chunk_index AS posting_id, 0 AS chunk_index, s,
+           row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_index) AS rank
+         FROM sims WHERE s >= 0 QUALIFY rank <= 20)
+{_CARDS_SQL}"""),
+    ),
+    "hybrid_hits": (
+        hybrid_hits,
+        _whole_rank(f"""
+WITH {HITS_SQL}, {MEANS_SQL},
+txt AS (SELECT CAST(query_id AS INTEGER) AS query_id, posting_id,
+          row_number() OVER (PARTITION BY query_id ORDER BY round(rank, 9) DESC, posting_id) AS r
+        FROM ({_TEXT_SQL})),
+vec AS (SELECT query_id, chunk_index AS posting_id, s,
+          row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_index) AS r
+        FROM sims WHERE s >= 0),
+fused AS (
+  SELECT coalesce(v.query_id, t.query_id) AS query_id, coalesce(v.posting_id, t.posting_id) AS posting_id,
+         coalesce(0.4::DOUBLE / (60 + v.r), 0) + coalesce(0.6::DOUBLE / (60 + t.r), 0) AS score,
+         coalesce(v.s, 0) AS similarity, CAST(CASE WHEN v.r IS NULL THEN -1 ELSE 0 END AS BIGINT) AS chunk_index, v.r AS near
+  FROM (SELECT * FROM vec WHERE r <= 400) v
+  FULL JOIN (SELECT * FROM txt WHERE r <= 400) t
+    ON v.query_id = t.query_id AND v.posting_id = t.posting_id),
+found AS (SELECT query_id, posting_id, chunk_index, similarity AS s,
+           row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, near NULLS LAST, posting_id) AS rank
+         FROM fused QUALIFY rank <= 100)
+{_CARDS_SQL}"""),
     ),
     "hybrid": (
         hybrid,
