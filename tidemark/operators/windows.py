@@ -51,22 +51,22 @@ def bisect_windows(
         .groupBy("level", F.expr(f"shiftright(leaf, {depth} - level)").alias("place"))
         .agg(F.sum("n").alias("n"))
     )
-    split = nodes.where((F.col("n") > cap) & (F.col("level") < depth)).select(
-        (F.col("level") + 1).alias("level"), F.col("place").alias("parent")
+    # the two halves of a window meet in one group, and add up to it
+    halves = (
+        nodes.groupBy("level", F.expr("shiftright(place, 1)").alias("parent"))
+        .agg(F.sum("n").alias("total"), F.collect_list(F.struct("place", "n")).alias("half"))
+        .where((F.col("level") == 0) | (F.col("total") > cap))
     )
-    ends = nodes.where((F.col("n") <= cap) | (F.col("level") == depth)).withColumn(
-        "parent", F.when(F.col("level") > 0, F.expr("shiftright(place, 1)"))
+    kept = halves.select("level", F.inline("half")).where(
+        (F.col("n") <= cap) | (F.col("level") == depth)
     )
-    kept = ends.join(split, ["level", "parent"]).select("level", "place", "n")
-    whole = ends.where(F.col("level") == 0).select("level", "place", "n")
 
     def edge(place: str) -> str:
         micros = f"cast(cast({width} as decimal(38,0)) * ({place}) div shiftleft(1L, level) as bigint)"
         return f"timestampadd(MICROSECOND, {micros}, _start)"
 
     return (
-        whole.unionByName(kept)
-        .withColumn("_start", first)
+        kept.withColumn("_start", first)
         .select(
             "level",
             F.expr(edge("place")).cast(kind).alias("window_start"),

@@ -6,6 +6,7 @@ table.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,12 +94,14 @@ def approx_full(spark: SparkSession, d: str) -> DataFrame:
 
 
 def approx_part(spark: SparkSession, d: str) -> DataFrame:
-    """The same with two of eight lists."""
-    chunks = s.chunks(spark, d)
-    centroids = v.fit_centroids(chunks, k=8)
-    return v.approx_semantic_search(
-        v.assign_lists(chunks, centroids), centroids, label_means(spark, d), nprobe=2, limit=5
+    """Two of the lists around the label means, which bound the lists by the labels."""
+    means = label_means(spark, d)
+    rows = [r["embedding"] for r in means.orderBy("query_id").collect()]
+    centroids = np.array(rows) / np.linalg.norm(rows, axis=1, keepdims=True)
+    hits = v.approx_semantic_search(
+        v.assign_lists(s.chunks(spark, d), centroids), centroids, means, nprobe=2, limit=5
     )
+    return hits.withColumn("similarity", F.round("similarity", 6))
 
 
 def text_ranks(spark: SparkSession, d: str) -> DataFrame:
@@ -249,7 +252,21 @@ SELECT query_id, posting_id, chunk_index, round(s, 6) AS similarity,
 FROM best WHERE s >= 0 QUALIFY rank <= 5"""),
     ),
     "approx_knn_full_probe": (approx_full, _whole_rank(_KNN_SQL).format(more="")),
-    "approx_knn": (approx_part, None),
+    "approx_knn": (
+        approx_part,
+        _whole_rank(f"""
+WITH {MEANS_SQL},
+lists AS (SELECT vec_id, arg_max(m.query_id, list_cosine_similarity(embedding::DOUBLE[], m.q)) AS list
+          FROM embeddings, means m GROUP BY vec_id),
+probes AS (SELECT a.query_id, b.query_id AS list FROM means a, means b
+           QUALIFY row_number() OVER (PARTITION BY a.query_id
+             ORDER BY list_cosine_similarity(a.q, b.q) DESC, b.query_id) <= 2),
+best AS (SELECT query_id, posting_id, max(s) AS s, arg_max(chunk_index, (s, -chunk_index)) AS chunk_index
+         FROM sims JOIN lists ON lists.vec_id = chunk_index JOIN probes USING (query_id, list) GROUP BY 1, 2)
+SELECT query_id, posting_id, chunk_index, round(s, 6) AS similarity,
+       row_number() OVER (PARTITION BY query_id ORDER BY s DESC, posting_id, chunk_index) AS rank
+FROM best WHERE s >= 0 QUALIFY rank <= 5"""),
+    ),
     "rrf": (
         fuse,
         """
