@@ -15,12 +15,12 @@ COUNTERS = 1 << 18
 #: Samples of a text: BANDS times ROWS.  Texts alike by 0.8 share a band but once in 1,500 pairs.
 BANDS, ROWS = 14, 4
 SAMPLES = BANDS * ROWS
-#: Samples that must agree before a pair's texts are compared: half of them.  At a similarity of
-#: 0.8 fewer agree once in ten million pairs.
-AGREE = SAMPLES // 2
+#: Samples that must agree before a pair's texts are compared: four in seven.  At a similarity of
+#: 0.8 fewer agree once in 30,000 pairs.
+AGREE = SAMPLES * 4 // 7
 #: Rows of the table of random variates, looked up by shingle hash.
 VARIATES = 1 << 14
-#: Features sampled at once; members of a bucket compared at once; texts and bytes verified at once.
+#: Features sampled at once; texts of a bucket compared at once; texts and bytes verified at once.
 CHUNK, BLOCK, PAIRS, PAIR_BYTES = 4096, 256, 400, 6_000_000
 
 _MIX_INT = 0x9E3779B97F4A7C15
@@ -173,38 +173,40 @@ def sketched(docs: DataFrame, doc_id: str, text: str, size: int, weights) -> Dat
     )
 
 
+def _features(texts: pa.Array, size: int, weights: Weights):
+    """(hashes, weights, total weight) of each text, in order."""
+    for piece in slices(texts):
+        owner, hashes, times = shingles(piece, size)
+        w = weights.of(hashes, times)
+        cut = np.searchsorted(owner, np.arange(len(piece) + 1))
+        for i in range(len(piece)):
+            part = slice(cut[i], cut[i + 1])
+            yield hashes[part], w[part], w[part].sum()
+
+
+def _alike(one, other, least: float) -> bool:
+    """Whether the weighted Jaccard similarity of two texts' features is at least `least`."""
+    hashes, w, total = one
+    others, v, other_total = other
+    spot = np.minimum(np.searchsorted(others, hashes), len(others) - 1)
+    same = others[spot] == hashes
+    shared = np.minimum(w[same], v[spot[same]]).sum()
+    return shared >= least * (total + other_total - shared) * (1 - 1e-12)
+
+
 def similarities(left: pa.Table, right: pa.Table, size: int, weights: Weights, least: float):
-    """Pairs of `left` (head, version, text) with the head's text in `right` whose weighted
-    Jaccard similarity is at least `least`."""
-    wanted, heads = [], {}
-    texts = right.column("body").combine_chunks()
-    names = right.column("head").to_pylist()
-    unique = {h: i for i, h in enumerate(names)}
-    texts, names = texts.take(pa.array(list(unique.values()), pa.int64())), list(unique)
-
-    def each(column):
-        at = 0
-        for piece in slices(column):
-            owner, hashes, times = shingles(piece, size)
-            w = weights.of(hashes, times)
-            cut = np.searchsorted(owner, np.arange(len(piece) + 1))
-            for i in range(len(piece)):
-                yield at + i, hashes[cut[i] : cut[i + 1]], w[cut[i] : cut[i + 1]]
-            at += len(piece)
-
-    for i, hashes, w in each(texts):
-        heads[names[i]] = (hashes, w, w.sum())
-    versions, owners = left.column("version").to_pylist(), left.column("head").to_pylist()
-    for i, hashes, w in each(left.column("text").combine_chunks()):
-        other, v, total = heads[owners[i]]
-        spot = np.minimum(np.searchsorted(other, hashes), len(other) - 1)
-        same = other[spot] == hashes
-        shared = np.minimum(w[same], v[spot[same]]).sum()
-        if shared >= least * (w.sum() + total - shared) * (1 - 1e-12):
-            wanted.append((owners[i], versions[i]))
+    """Pairs of `left` (head, version, text) that are alike the head's text in `right`."""
+    unique = {h: i for i, h in enumerate(right.column("head").to_pylist())}
+    texts = right.column("body").combine_chunks().take(pa.array(list(unique.values()), pa.int64()))
+    heads = dict(zip(unique, _features(texts, size, weights)))
+    owners, versions = left.column("head").to_pylist(), left.column("version").to_pylist()
+    found = _features(left.column("text").combine_chunks(), size, weights)
+    links = [
+        (h, v) for h, v, features in zip(owners, versions, found) if _alike(features, heads[h], least)
+    ]
     return pa.table(
-        {"a": pa.array([h for h, _ in wanted], pa.string()),
-         "b": pa.array([v for _, v in wanted], pa.string())}
+        {"a": pa.array([h for h, _ in links], pa.string()),
+         "b": pa.array([v for _, v in links], pa.string())}
     )
 
 
@@ -243,10 +245,13 @@ def verified(pairs: DataFrame, bodies: DataFrame, size: int, weights, least: flo
     )
 
 
-def rivals(members: DataFrame, least: float) -> DataFrame:
-    """Pairs (head, version) of one bucket but different components that may be alike: by samples
-    and by weight.  A bucket is dealt into blocks, each pair of blocks meets in one task, and only
-    such pairs leave it."""
+def rivals(members: DataFrame, size: int, weights, least: float) -> DataFrame:
+    """Edges (a, b) between texts of one bucket but different components.
+
+    A bucket is dealt into blocks and each pair of blocks meets in one task, with the texts.  There
+    a pair is compared if its samples and total weights allow it and it is not yet connected by
+    pairs before it, so a task returns a tree's worth of links and never the pairs.
+    """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = (
         members.withColumn("blocks", blocks)
@@ -255,42 +260,66 @@ def rivals(members: DataFrame, least: float) -> DataFrame:
         .withColumn("low", F.least("own", "other"))
         .withColumn("high", F.greatest("own", "other"))
     )
-    groups = max(1, -(-members.agg(F.sum(blocks)).first()[0] // 10_000)) if not members.isEmpty() else 1
+    size_of = members.agg(
+        F.coalesce(F.sum(blocks), F.lit(0)).alias("n"),
+        F.coalesce(F.sum(blocks * F.octet_length("text")), F.lit(0)).alias("size"),
+    ).first()
+    groups = max(1, -(-size_of["n"] // (4 * BLOCK)), -(-size_of["size"] // PAIR_BYTES))
     part = F.pmod(F.xxhash64("key", "low", "high"), F.lit(groups)).alias("part")
 
     def compare(table: pa.Table) -> pa.Table:
-        lists = table.column("samples").combine_chunks()
-        samples = lists.flatten().to_numpy().reshape(-1, SAMPLES)
-        key, low, high, own, weight = (
-            table.column(c).to_numpy() for c in ("key", "low", "high", "own", "weight")
-        )
-        version = np.array(table.column("version").to_pylist(), dtype=object)
-        label = np.unique(table.column("label").to_numpy(zero_copy_only=False), return_inverse=True)[1]
-        order = np.lexsort((high, low, key))
-        edge = np.ones(len(order) + 1, bool)
-        triple = np.stack([key[order], low[order], high[order]])
-        edge[1:-1] = (triple[:, 1:] != triple[:, :-1]).any(axis=0)
-        cuts = np.flatnonzero(edge)
-        pairs: list[tuple[str, str]] = []
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            rows = order[a:b]
-            mine = rows[own[rows] == low[rows[0]]]
-            theirs = rows[own[rows] == high[rows[0]]]
-            for i in mine:
-                can = theirs[
-                    (label[theirs] != label[i])
-                    & (np.minimum(weight[theirs], weight[i]) >= least * np.maximum(weight[theirs], weight[i]) * (1 - 1e-9))
-                    & ((version[theirs] > version[i]) | (low[rows[0]] != high[rows[0]]))
-                ]
-                agree = (samples[can] == samples[i]).sum(axis=1) >= AGREE
-                pairs += [tuple(sorted((version[i], v))) for v in version[can[agree]]]
+        links = _block_links(table, size, weights.value, least)
         return pa.table(
-            {"head": pa.array([x for x, _ in pairs], pa.string()),
-             "version": pa.array([y for _, y in pairs], pa.string())}
+            {"a": pa.array([x for x, _ in links], pa.string()),
+             "b": pa.array([y for _, y in links], pa.string())}
         )
 
-    wanted = ["key", "low", "high", "own", "version", "label", "weight", "samples"]
-    return dealt.select(*wanted, part).groupBy("part").applyInArrow(compare, "head string, version string")
+    wanted = ["key", "low", "high", "own", "version", "label", "weight", "samples", "text"]
+    return dealt.select(*wanted, part).groupBy("part").applyInArrow(compare, "a string, b string")
+
+
+def _block_links(table: pa.Table, size: int, weights: Weights, least: float):
+    lists = table.column("samples").combine_chunks()
+    samples = lists.flatten().to_numpy().reshape(-1, SAMPLES)
+    key, low, high, own, weight = (
+        table.column(c).to_numpy() for c in ("key", "low", "high", "own", "weight")
+    )
+    version = table.column("version").to_pylist()
+    label = table.column("label").to_pylist()
+    made = {}
+    names = {v: i for i, v in enumerate(version)}
+    texts = table.column("text").combine_chunks().take(pa.array(list(names.values()), pa.int64()))
+    for (name, _), features in zip(names.items(), _features(texts, size, weights)):
+        made[name] = features
+    order = np.lexsort((high, low, key))
+    triple = np.stack([key[order], low[order], high[order]])
+    cuts = np.flatnonzero(
+        np.concatenate([[True], (triple[:, 1:] != triple[:, :-1]).any(axis=0), [True]])
+    )
+    links = []
+    root = {x: x for x in label}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        rows = order[a:b]
+        mine = rows[own[rows] == low[rows[0]]]
+        theirs = rows[own[rows] == high[rows[0]]]
+        one_block = low[rows[0]] == high[rows[0]]
+        for place, i in enumerate(mine):
+            others = theirs[place + 1 :] if one_block else theirs
+            heavy, light = (f(weight[others], weight[i]) for f in (np.maximum, np.minimum))
+            can = others[light >= least * heavy * (1 - 1e-9)]
+            can = can[(samples[can] == samples[i]).sum(axis=1) >= AGREE]
+            for j in can:
+                mine_root, other_root = find(label[i]), find(label[j])
+                if mine_root != other_root and _alike(made[version[i]], made[version[j]], least):
+                    root[mine_root] = other_root
+                    links.append((version[i], version[j]))
+    return links
 
 
 def classes(
@@ -375,9 +404,8 @@ def classes(
     )
     mixed = stored(mixed, "mixed")
     rest = join_hot(known.drop("n"), mixed, "key", mixed).join(sketch, "version")
-    more = rivals(stored(rest, "rest"), least).distinct()
-    more = more.join(close.select("head", "version"), ["head", "version"], "left_anti")
-    edges = edges.unionByName(stored(verified(more, bodies, size, weights, least), "links"))
+    rest = stored(rest.join(bodies, "version"), "rest")
+    edges = edges.unionByName(stored(rivals(rest, size, weights, least), "links"))
     labels = components(edges).withColumnRenamed("node", "version")
     named = nodes.select("version", "first_id", "copies").join(labels, "version", "left")
     named = stored(named.withColumn("label", F.coalesce("label", "version")), "named")
