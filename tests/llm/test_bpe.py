@@ -87,3 +87,15 @@ def test_columns_and_query(spark, make_docs):
     assert rows[1].decoded_sha256 == hashlib.sha256(b"Hello world").hexdigest()
     assert rows[1].ids_sha256 == hashlib.sha256(by[1][0]).hexdigest()
     assert bpe.digests(docs.limit(0)).count() == 0
+
+
+def test_white_space_is_listed_whole():
+    white = re.compile(r"\s")
+    assert {c for c in map(chr, range(sys.maxunicode + 1)) if white.match(c)} == set(bpe._WHITE)
+
+
+@settings(max_examples=300, deadline=None)
+@given(text=st.text(st.sampled_from("ab .\n\t  \x1f　é1"), max_size=30))
+def test_chunks_make_up_the_text(codec, standard, text):
+    assert "".join(bpe._chunks(text)) == text
+    check(codec, standard, [text])

@@ -142,3 +142,9 @@ def test_small_table_equals_brute_force(spark, small):
     docs = [(r.doc_id, r.text) for r in small("documents").collect()]
     got = {r.doc_id: r.class_id for r in neardup.op7(spark, "/root/testdata/sf0.001").collect()}
     assert got == brute(docs)[0]
+
+
+def test_a_batch_of_few_words():
+    for texts in ([], [None], ["", "!"], ["one"], ["one two", "x"]):
+        owner, hashes, times = neardup.shingles(pa.array(texts, pa.string()), 5)
+        assert len(owner) == len(hashes) == sum(bool((t or "").strip("!")) for t in texts)

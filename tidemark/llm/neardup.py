@@ -40,7 +40,7 @@ def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.nda
     factor = _MIX_INT
     for k in range(size):
         shifted = np.zeros(len(hashed), np.uint64)
-        shifted[: len(hashed) - k] = hashed[k:]
+        shifted[: max(0, len(hashed) - k)] = hashed[k:]
         total += np.where(k < width, shifted * np.uint64(factor), np.uint64(0))
         factor = factor * 0xD6E8FEB86659FD93 % (1 << 64)
     total ^= total >> np.uint64(32)
