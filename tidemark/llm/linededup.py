@@ -21,7 +21,9 @@ def parsed(lines: DataFrame, line: str, depth: int, groups: int) -> DataFrame:
         F.col(line)
     )
     tokens = F.array_remove(F.split(masked, GAP), "")
-    out = lines.withColumn("_tokens", tokens).withColumn("n_tokens", F.size("_tokens"))
+    # as a row of its own, an array is made once, however often it is looked at
+    out = lines.select(*lines.columns, F.explode_outer(F.array(tokens)).alias("_tokens"))
+    out = out.withColumn("n_tokens", F.size("_tokens"))
     n, t = F.col("n_tokens"), F.col("_tokens")
 
     def run(g: int) -> Column:
@@ -119,13 +121,17 @@ def mark_lines(
     split = docs.select(
         F.col(doc_id).alias("doc_id"),
         version.alias("version"),
-        F.posexplode(F.split(F.col(text), "\n")).alias("line", "words"),
-    )
+        F.posexplode_outer(F.split(F.col(text), "\n")).alias("line", "words"),
+    ).where(F.col("words").isNotNull())
     tree = parsed(split, "words", depth, groups).drop("words")
-    lines = stored(tree.where(F.col("n_tokens") > 0), "lines")
-    able = lines.where((F.col("n_tokens") >= min_tokens) & (F.col("n_fixed") * 2 >= F.col("n_tokens")))
+    # stored before the filter: under it Spark would cut every line into words several times
+    able = (F.col("n_tokens") >= min_tokens) & (F.col("n_fixed") * 2 >= F.col("n_tokens"))
+    lines = stored(tree, "lines").where(able).drop("n_fixed")
+    # nothing recurs in a leaf of too few lines, and few leaves have enough
+    full = lines.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
+    full = stored(full, "full-leaves")
+    able = stored(join_hot(lines, full.select("leaf"), "leaf", full), "leaf-lines")
     common = stored(recurring(able, min_docs, groups, alike), "recurring")
-    # a template of one document is not in `common`, so its lines need not be grouped at all
     hits = join_hot(
         able.select("doc_id", "version", "line", "n_tokens", "template"),
         common.select("template", "first_doc"),
