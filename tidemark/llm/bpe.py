@@ -18,10 +18,21 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import annotated, text_udf
 
 #: Encoded chunks that a task remembers before it starts anew.
-CACHE = 200_000
+CACHE = 150_000
 
 #: A single space between two visible characters always begins the next pre-token.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_WHITE = [c for c in map(chr, range(0x3001)) if c.isspace()]
+
+
+def _chunks(text: str) -> list[str]:
+    """A text cut where a pre-token begins for certain; the parts make up the text."""
+    joined = any(w in text and (w + " " in text or " " + w in text) for w in _WHITE)
+    if joined or text[:1] == " " or text[-1:] == " ":
+        head, *rest = _CUT.split(text)
+    else:
+        head, *rest = text.split(" ")
+    return [head, *[" " + r for r in rest]]
 
 
 def byte_letters() -> list[str]:
@@ -65,6 +76,18 @@ def model_bytes(tokens: list[bytes], ranks: dict[bytes, int]) -> bytes:
     return b"".join([*out, _message(2, trainer), _message(3, plain)])
 
 
+class Inverse:
+    """Inverse mapping: the bytes of each id; of an id without token, nothing."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
+        for t, r in ranks.items():
+            self.bytes_of[r] = t
+
+    def decode(self, ids: bytes) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
 class Codec:
     """Encodes and decodes with the ranks of a file.  Ids are bytes of unsigned 32-bit
     little-endian integers."""
@@ -79,43 +102,48 @@ class Codec:
             model_proto=model_bytes(self.tokens, ranks)
         )
         self.pattern = regex.compile(pattern)
-        # inverse mapping: the bytes of each id; of an id without token, nothing
-        self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
-        for t, r in ranks.items():
-            self.bytes_of[r] = t
+        self.inverse = Inverse(ranks)
         self.known: dict[str, bytes] = {}
 
-    def _learn(self, chunks: set[str]) -> None:
-        """Encode chunks that are new: each of their pre-tokens by the model."""
-        if len(self.known) > CACHE:
-            self.known.clear()
-        fresh = [c for c in chunks if c not in self.known]
-        parts = [self.pattern.findall(c) for c in fresh]
-        single = {p: p.encode() for row in parts for p in row}
-        found = {p: self.ids[b] for p, b in single.items() if b in self.ids}
-        rest = [p for p in single if p not in found]
-        spelled = [single[p].decode("latin-1").translate(self.letters) for p in rest]
-        for p, pieces in zip(rest, self.model.encode(spelled, num_threads=1)):
-            found[p] = self.rank_of[pieces].tobytes()
+    def _learn(self, fresh: list[str]) -> None:
+        """Encode new chunks: each pre-token by the model, unless it is a token itself."""
+        # ASCII letters after a space are one pre-token, without asking the pattern
+        parts = [
+            [c] if c.isascii() and c[1:].isalpha() and c[0] == " " else self.pattern.findall(c)
+            for c in fresh
+        ]
+        found, rest = {}, []
+        for p in dict.fromkeys(p for row in parts for p in row):
+            spelled = p.encode()
+            known = self.ids.get(spelled)
+            if known is None:
+                rest.append((p, spelled.decode("latin-1").translate(self.letters)))
+            else:
+                found[p] = known
+        pieces = self.model.encode([x for _, x in rest], num_threads=1)
+        sizes = np.cumsum([0, *map(len, pieces)]).tolist()
+        flat = np.fromiter((i for row in pieces for i in row), np.int64, sizes[-1])
+        ids = self.rank_of[flat].tobytes()
+        for (p, _), begin, end in zip(rest, sizes, sizes[1:]):
+            found[p] = ids[4 * begin : 4 * end]
         for c, row in zip(fresh, parts):
-            self.known[c] = b"".join([found[p] for p in row])
+            self.known[c] = found[row[0]] if len(row) == 1 else b"".join([found[p] for p in row])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text."""
-        cut = []
-        for t in texts:
-            head, *rest = _CUT.split(t or "")
-            cut.append([head, *(" " + r for r in rest)])
-        self._learn({c for row in cut for c in row} - self.known.keys())
-        missing = {c for row in cut for c in row if c not in self.known}
-        if missing:  # the memory was emptied
-            self._learn(missing)
+        cut = [_chunks(t or "") for t in texts]
+        wanted = set().union(*cut)
+        fresh = wanted.difference(self.known)
+        if len(self.known) + len(fresh) > CACHE:
+            self.known.clear()
+            fresh = wanted
+        self._learn(sorted(fresh))
         get = self.known.__getitem__
         return [b"".join(map(get, row)) for row in cut]
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes that the ids stand for."""
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return self.inverse.decode(ids)
 
 
 def encode(text, path: str, pattern: str = public_tokenizers.PATTERN):
@@ -135,10 +163,10 @@ def decode(ids, path: str):
     error, an unused one in it gives nothing."""
 
     def decoder(batches):
-        codec = Codec(path, public_tokenizers.PATTERN)
+        inverse = Inverse(read_ranks(path))
         for batch in batches:
             yield pa.array(
-                [None if x is None else codec.decode(x) for x in batch.to_pylist()], pa.binary()
+                [None if x is None else inverse.decode(x) for x in batch.to_pylist()], pa.binary()
             )
 
     decoder.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task works on at once; a longer single text is a slice of its own.
-SLICE_BYTES = 6_000_000
+SLICE_BYTES = 2_000_000
 
 _ASCII = np.arange(128, dtype=np.uint8)
 _LOWER = np.where((_ASCII >= 65) & (_ASCII <= 90), _ASCII + 32, _ASCII).astype(np.uint8)
