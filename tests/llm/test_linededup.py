@@ -66,6 +66,23 @@ def test_equal_rows_are_one_document(make_docs):
     assert all(n == 0 for _, _, n in got.values())
 
 
+def test_every_family_of_a_leaf_is_found(make_docs):
+    rng = random.Random(6)
+    own = [filler(rng) for _ in range(40)]
+    clean = "the server named in this contract will be moved to another city next summer"
+    long = "the server named {} could not be reached from the host at this time"
+    pairs = "the server named {} could not be reached from {} host at this time"
+    dear = "a list of things we never thought could be so very dear"
+    rows = [(0, own[0] + "\n" + clean + "\n" + dear)]  # the smallest id, so it stands for the leaf
+    rows += [(i, own[i] + "\n" + long.format(w)) for i, w in enumerate(("ape", "bee", "cat", "dog"), 1)]
+    one = "\n".join(f"a list of {w} that stands in a single document only today" for w in ("ape", "bee", "cat"))
+    rows += [(8, own[8] + "\n" + one), (9, own[9] + "\n" + one.split("\n")[0].replace("ape", "dog"))]
+    rows += [(10, own[10] + "\n" + pairs.format("eel", "every"))]
+    got, _ = run(make_docs(rows))
+    lost = {r[0]: got[r][2] for r in rows}
+    assert lost == {0: 0, 1: 0, 2: 1, 3: 1, 4: 1, 8: 0, 9: 0, 10: 1}
+
+
 def test_no_python_in_the_plan(spark):
     plan = linededup.op5(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,12 +42,66 @@ def parsed(lines: DataFrame, line: str, depth: int, groups: int) -> DataFrame:
     )
 
 
+def families(groups: int, alike: int) -> Column:
+    """The keys of a template: its leaf with each choice of `groups - alike` runs left out."""
+    masks = [
+        F.xxhash64(F.lit(i), "leaf", *[F.col("parts")[g] for g in range(groups) if g not in out])
+        for i, out in enumerate(combinations(range(groups), groups - alike))
+    ]
+    return F.array(*masks)
+
+
+def varied(
+    lines: DataFrame, seen: DataFrame, leaves: DataFrame, min_docs: int, groups: int, alike: int
+) -> DataFrame:
+    """(template, docs, first): templates of fewer than `min_docs` documents with a key that so
+    many documents share, whatever stands for their leaf.
+
+    Each such template has a handful of rows, so a document with several variants counts once.
+    """
+    key = families(groups, alike)
+    inside = join_hot(seen, leaves.select("leaf"), "leaf", leaves.select("leaf", "n"))
+    inside = stored(inside, "varied")
+    rare = inside.where(F.col("docs") < min_docs)
+    keys = rare.select("template", F.explode(key).alias("key"))
+    rows = join_hot(
+        lines.select("template", "doc_id", "version", "line"),
+        rare.select("template", "leaf", "parts"),
+        "template",
+        seen.select("template", F.col("docs").alias("n")),
+    )
+    few = (
+        rows.select("doc_id", "version", "line", F.explode(key).alias("key"))
+        .groupBy("key")
+        .agg(
+            F.count_distinct(F.struct("doc_id", "version")).alias("docs"),
+            F.min(F.struct("doc_id", "line")).alias("first"),
+        )
+    )
+    many = (
+        inside.where(F.col("docs") >= min_docs)
+        .select("docs", "first", F.explode(key).alias("key"))
+        .groupBy("key")
+        .agg(F.sum("docs").alias("docs"), F.min("first").alias("first"))
+    )
+    shared = (
+        few.unionByName(many)
+        .groupBy("key")
+        .agg(F.sum("docs").alias("docs"), F.min("first").alias("first"))
+        .where(F.col("docs") >= min_docs)
+    )
+    shared = stored(shared, "families")
+    found = join_hot(keys, shared, "key", shared.select("key", F.col("docs").alias("n")))
+    return found.groupBy("template").agg(F.max("docs").alias("docs"), F.min("first").alias("first"))
+
+
 def recurring(lines: DataFrame, min_docs: int, groups: int, alike: int) -> DataFrame:
     """(template, docs, first_doc): templates of at least `min_docs` documents.
 
     A leaf's most frequent template stands for it.  Templates that agree with it in `alike` of
     `groups` runs of tokens are one with it, the rest being variable fields, so their documents
-    count together.
+    count together.  So are those of every other family in the leaf: templates that agree with
+    each other in the same `alike` runs.
     """
     seen = lines.groupBy("leaf", "template").agg(
         F.count_distinct("doc_id", "version").alias("docs"),
@@ -66,6 +122,7 @@ def recurring(lines: DataFrame, min_docs: int, groups: int, alike: int) -> DataF
         .where(F.col("head.parts").isNotNull())
     )
     leaves = stored(leaves, "leaves")
+    variants = varied(lines, seen, leaves, min_docs, groups, alike)
     members = join_hot(
         seen.where(F.col("parts").isNotNull()),
         leaves.select("leaf", "head"),
@@ -89,6 +146,7 @@ def recurring(lines: DataFrame, min_docs: int, groups: int, alike: int) -> DataF
     return (
         merged.select("template", "docs", "first")
         .unionByName(alone)
+        .unionByName(variants)
         .groupBy("template")
         .agg(F.max("docs").alias("docs"), F.min("first.doc_id").alias("first_doc"))
     )
