@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import random
 
 import numpy as np
@@ -97,6 +98,21 @@ def test_repeated_rows_null_ids_and_empty_tables(make_docs):
     assert neardup.drop_near_copies(docs.limit(0)).count() == 0
 
 
+def test_near_copies_without_an_id(make_docs):
+    """The text without an id is the head of its buckets, then the other one is; then neither."""
+    rng = random.Random(10)
+    words = text_of(rng, 200)
+    one, other = sorted(
+        (" ".join(words), " ".join([*words[:-1], "edited"])), key=lambda t: hashlib.md5(t.encode()).hexdigest()
+    )
+    for docs in ([(None, one), (1, other)], [(1, one), (None, other)]):
+        rows = neardup.classes(make_docs(docs)).collect()
+        assert sorted((r.doc_id, r.class_id, r.copies) for r in rows if r.doc_id) == [(1, 1, 1)]
+        assert [(r.class_id, r.copies) for r in rows if r.doc_id is None] == [(1, 1)]
+    rows = neardup.classes(make_docs([(None, one), (None, other)])).collect()
+    assert [(r.doc_id, r.class_id, r.copies) for r in rows] == [(None, None, 1)] * 2
+
+
 def test_links_past_the_head_are_found(make_docs, monkeypatch):
     """A chain: neighbours are alike, the ends are not, so the head alone links too few."""
     monkeypatch.setattr(neardup, "BLOCK", 4)

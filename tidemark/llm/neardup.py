@@ -368,11 +368,16 @@ def classes(
         "buckets",
     )
     members = stored(join_hot(banded, buckets, "key", buckets.select("key", "n")), "members")
-    needed = members.select("version").distinct()
+    needed = members.select(F.col("version").alias("_version")).distinct()
+    needed = nodes.select(F.col("version").alias("_version"), F.col("first_id").alias("_id")).join(
+        needed, "_version"
+    )
+    # null-safe: a text may occur in rows without an id only
+    own = (F.col("version") == F.col("_version")) & F.col("first_id").eqNullSafe(F.col("_id"))
     bodies = stored(
         docs.select(F.col(text).cast("string").alias("text"), F.col(doc_id).alias("first_id"))
         .withColumn("version", F.md5("text"))
-        .join(nodes.select("version", "first_id").join(needed, "version"), ["version", "first_id"])
+        .join(needed, own)
         .select("version", "text")
         .dropDuplicates(["version"]),
         "bodies",
