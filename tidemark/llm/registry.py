@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, decontaminate, langid, licenses, linededup, lm, neardup, quality, topk, warc
+from tidemark.llm import (
+    bpe,
+    decontaminate,
+    divergence,
+    langid,
+    licenses,
+    linededup,
+    lm,
+    maintext,
+    neardup,
+    quality,
+    topk,
+    turnrepair,
+    warc,
+)
 
 ALL = {
     "op1_decontaminate": (decontaminate.op1, None),
@@ -15,4 +29,7 @@ ALL = {
     "op8_attention_lm": (lm.op8, None),
     "op9_licenses": (licenses.op9, None),
     "op10_language": (langid.op10, None),
+    "op11_divergence": (divergence.op11, divergence.OP11_SQL),
+    "op12_turn_repair": (turnrepair.op12, turnrepair.OP12_SQL),
+    "op13_main_text": (maintext.op13, None),
 }
