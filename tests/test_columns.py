@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_EVEN, Decimal
+from itertools import product
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,23 +21,31 @@ def json_value(text: str):
     return F.try_parse_json(F.lit(text))
 
 
-@pytest.mark.parametrize(
-    ("raw", "want"),
-    [
-        (" Welding\t", "welding"),
-        ("Data   entry", "data entry"),
-        ("* Knitting;", "knitting"),
-        ("„Excel“", "excel"),
-        ("F#", "f#"),
-        ("B++", "b++"),
-        ("Самолёт", "самолет"),
-        ("Straße", "strasse"),
-        (" wide gap ", "wide gap"),
-        ("--", ""),
-    ],
-)
-def test_norm_name(spark, raw, want):
-    assert one(spark, t.norm_name(F.lit(raw))) == want
+#: Characters that the rule for skill names takes off at both ends, and some that it leaves.
+TAKEN = list("-–—•·,.;:/\\()[]{}\"'«»") + [" ", "\t", "\n", "\u00a0", "\u2003"]
+LEFT = list("*#+„“!?&%_@")
+
+
+def plain_name(raw: str) -> str:
+    """The rule in plain Python: edges off, white space single, caseless, yo folded."""
+    begin, end = 0, len(raw)
+    while begin < end and raw[begin] in TAKEN:
+        begin += 1
+    while end > begin and raw[end - 1] in TAKEN:
+        end -= 1
+    return " ".join(raw[begin:end].split()).casefold().replace("ё", "е")
+
+
+def test_norm_name_on_generated_names(spark):
+    cores = ["", "go", "Ёлка", "GROSSE STRASSE", "straße", "x.y", "a - b", "c\t\u00a0 d", "1С"]
+    names = [
+        before + core + after
+        for core in cores
+        for before, after in product(["", *TAKEN, *LEFT, "- (", "* "], ["", "+", ".", "»)", " ;", "#,"])
+    ]
+    rows = spark.createDataFrame([(n,) for n in names], "raw string")
+    got = rows.select("raw", t.norm_name(F.col("raw")).alias("name")).collect()
+    assert {r.raw: r.name for r in got} == {n: plain_name(n) for n in names}
 
 
 def test_ordered_dedupe_keeps_first_spelling(spark):
@@ -43,22 +54,24 @@ def test_ordered_dedupe_keeps_first_spelling(spark):
     assert one(spark, t.ordered_dedupe(column)) == ["Python", "n8n", "Учёт", "- Docker,", "Docker"]
 
 
-@pytest.mark.parametrize(
-    ("amount", "currency", "want"),
-    [
-        (777, "RUB", 777),
-        (778, "rur", 778),
-        (3, "USD", 270),
-        (None, "RUB", None),
-        (5, "QQQ", None),
-        (6, None, 6),
-        (50, "KZT", 10),  # 9.5 goes to the even neighbour
-        (150, "KZT", 28),  # 28.5 too
-    ],
-)
-def test_base_currency(spark, amount, currency, want):
-    got = f.to_base_currency(F.lit(amount).cast("int"), F.lit(currency).cast("string"))
-    assert one(spark, got) == want
+def test_base_currency_rounds_half_to_even(spark):
+    """Amounts times rates against decimal arithmetic; an unknown currency has no amount."""
+    currencies = [None, "", "???", *f.RATES, *(c.lower() for c in f.RATES)]
+    cases = list(product([None, 0, 1, 7, 25, 50, 150, 2_500, 99_999], currencies))
+
+    def want(amount, currency):
+        if amount is None:
+            return None
+        if not currency:
+            return amount
+        rate = f.RATES.get(currency.upper())
+        if rate is None:
+            return None
+        return int((Decimal(amount) * Decimal(str(rate))).to_integral_value(ROUND_HALF_EVEN))
+
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, a int, c string")
+    got = rows.select("i", f.to_base_currency(F.col("a"), F.col("c")).alias("x")).collect()
+    assert {cases[r.i]: r.x for r in got} == {c: want(*c) for c in cases}
 
 
 @pytest.mark.parametrize(

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import random
+from collections import defaultdict
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -27,17 +29,20 @@ def scores(df):
     return {r["posting_id"]: r["score"] for r in df.collect()}
 
 
-def test_rrf(spark):
-    a, b = rank_frame(spark, {4: 2, 7: 5, 8: 9}), rank_frame(spark, {7: 2, 4: 5, 6: 1})
-    got = scores(v.rrf([a, b], [1.5, 1.5], k=3))
-    assert got[4] == got[7] == pytest.approx(1.5 / 5 + 1.5 / 8)
-    assert got[8] == pytest.approx(1.5 / 12) and got[6] == pytest.approx(1.5 / 4)
-    got = scores(v.rrf([rank_frame(spark, {5: 4}), rank_frame(spark, {9: 2})], [0.2, 0.8]))
-    assert got == pytest.approx({5: 0.2 / 64, 9: 0.8 / 62})
-    empty = a.limit(0)
-    assert scores(v.rrf([empty, empty], [0.5, 0.5])) == {}
+def test_rrf_equals_direct_sums(spark):
+    """Random rankings of any number and length against the sum of weight / (k + rank)."""
+    rng = random.Random(11)
+    for n, k in ((1, 60), (2, 7), (4, 0)):
+        ranks = [{i: rng.randint(1, 30) for i in rng.sample(range(25), rng.randint(0, 20))} for _ in range(n)]
+        weights = [rng.random() for _ in range(n)]
+        want = defaultdict(float)
+        for weight, rank in zip(weights, ranks):
+            for i, r in rank.items():
+                want[i] += weight / (k + r)
+        got = scores(v.rrf([rank_frame(spark, r) for r in ranks], weights, k=k))
+        assert got == pytest.approx(dict(want))
     with pytest.raises(ValueError):
-        v.rrf([a], [0.5, 0.5])
+        v.rrf([rank_frame(spark, {1: 1})], [1.0, 2.0])
 
 
 def test_best_per_parent(spark):

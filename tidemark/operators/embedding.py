@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from tidemark.operators.chunking import chunk_documents
 from tidemark.operators.html import extract_text
 
+# Fixed value: the model name of stored hash vectors.
 HASH_MODEL = "hash-bow-v1"
 HASH_DIM = 384
 

@@ -8,10 +8,10 @@ the rows of its own words by document, so no group is larger than one document.
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.fields import clamp_limit
@@ -24,28 +24,44 @@ FIELD_WEIGHT = {"A": 1.0, "B": 0.4}
 
 
 def build_index(
-    docs: DataFrame, id_col: str = "posting_id", title: str = "title", body: str = "body"
+    docs: DataFrame,
+    id_col: str = "posting_id",
+    title: str = "title",
+    body: str = "body",
+    terms: Sequence[str] | None = None,
 ) -> DataFrame:
     """Occurrence rows `(term, posting_id, field, positions)`; body positions follow the title's.
 
     The words of a document are sorted and cut into runs of equal words inside its row, so no
-    text and no word is shuffled.
+    text and no word is shuffled.  With `terms`, only their places are kept, before anything is
+    sorted, and grouped by document: what a search over texts without a stored index needs.
     """
     empty = F.array().cast("array<string>")
-    in_title = F.coalesce(words(F.col(title)), empty)
-    in_body = F.coalesce(words(F.col(body)), empty)
-    counted = docs.select(
-        F.col(id_col).alias("posting_id"),
-        F.size(in_title).alias("_n"),
-        F.concat(in_title, in_body).alias("_w"),
+    cut_words = F.struct(
+        F.coalesce(words(F.col(title)), empty).alias("title"),
+        F.coalesce(words(F.col(body)), empty).alias("body"),
     )
+    # as rows of their own, arrays are made once, however often they are looked at
+    texts = docs.select(F.col(id_col).alias("posting_id"), F.explode_outer(F.array(cut_words)).alias("_t"))
+    counted = texts.select(
+        "posting_id", F.size("_t.title").alias("_n"), F.concat("_t.title", "_t.body").alias("_w")
+    )
+    in_field = lambda at: F.when(at < F.col("_n"), "A").otherwise("B")
+    if terms is not None:
+        hits = counted.select("posting_id", "_n", F.posexplode_outer("_w").alias("at", "term"))
+        hits = hits.where(F.col("term").isin(*terms)).select(
+            "term", "posting_id", in_field(F.col("at")).alias("field"), "at"
+        )
+        # by document alone: searches group by document next and need no further exchange
+        return (
+            hits.repartition("posting_id")
+            .groupBy("term", "posting_id", "field")
+            .agg(F.sort_array(F.collect_list("at")).alias("positions"))
+        )
     place = F.transform(
         "_w",
-        lambda w, i: F.struct(
-            w.alias("term"), F.when(i < F.col("_n"), "A").otherwise("B").alias("field"), i.alias("at")
-        ),
+        lambda w, i: F.struct(w.alias("term"), in_field(i).alias("field"), i.alias("at")),
     )
-    # as rows of their own, the arrays are made once, however often they are looked at
     placed = counted.where(F.size("_w") > 0).select(
         "posting_id", F.explode_outer(F.array(F.sort_array(place))).alias("_s")
     )
@@ -103,10 +119,6 @@ def split_words(text: str | None, stop_words: frozenset[str] = STOP_WORDS) -> li
     return [w for w in found if w.replace("ё", "е") not in stop_words]
 
 
-def _shifted(positions: Column, shift: int) -> Column:
-    return F.transform(positions, lambda p: p - shift)
-
-
 def text_match(
     index: DataFrame,
     all_of: Sequence[str] = (),
@@ -120,43 +132,50 @@ def text_match(
     One pass: the rows of all mentioned words are grouped by document once.  With only
     excluded words, `universe` names the documents to choose from.
     """
-    wanted = list(all_of) + list(any_of) + [w for p in phrases for w in p]
-    if not wanted:
+    if not (all_of or any_of or phrases):
         if universe is None:
             raise ValueError("a search for absent words needs the documents to choose from")
         bad = index.where(F.col("term").isin(*none_of)).select("posting_id")
         return universe.select("posting_id").join(bad, "posting_id", "left_anti")
+    return _matches(index, all_of, none_of, any_of, phrases).select("posting_id")
 
-    def has(word: str) -> Column:
-        return F.bool_or(F.col("term") == word)
 
-    in_phrase = list(dict.fromkeys(w for p in phrases for w in p))
-    places = {
-        w: F.flatten(F.collect_list(F.when(F.col("term") == w, F.col("positions"))))
-        for w in in_phrase
-    }
-    flags = [has(w) for w in dict.fromkeys(all_of)]
-    flags += [~has(w) for w in dict.fromkeys(none_of)]
-    if any_of:
-        flags.append(F.bool_or(F.col("term").isin(*any_of)))
-    aggregates = [flag.alias(f"_f{i}") for i, flag in enumerate(flags)]
-    aggregates += [places[w].alias(f"_p{i}") for i, w in enumerate(in_phrase)]
-    if not aggregates:
+def _shifted(positions: Column, shift: int) -> Column:
+    return F.transform(positions, lambda p: p - shift)
+
+
+def _matches(
+    index: DataFrame,
+    all_of: Sequence[str],
+    none_of: Sequence[str],
+    any_of: Sequence[str],
+    phrases: Sequence[Sequence[str]],
+) -> DataFrame:
+    """`(posting_id, _rows)` of the matching documents: their index rows of the mentioned words."""
+    wanted = [*all_of, *any_of, *(w for p in phrases for w in p)]
+    if not wanted:
         raise ValueError("nothing to search for")
-    grouped = (
-        index.where(F.col("term").isin(*wanted, *none_of))
-        .groupBy("posting_id")
-        .agg(*aggregates)
-    )
-    for i in range(len(flags)):
-        grouped = grouped.where(F.col(f"_f{i}"))
+    rows = F.collect_list(F.struct("term", "field", "positions")).alias("_rows")
+    grouped = index.where(F.col("term").isin(*wanted, *none_of)).groupBy("posting_id").agg(rows)
+    found = F.col("_rows")["term"]
+    for word in dict.fromkeys([*all_of, *(w for p in phrases for w in p)]):
+        grouped = grouped.where(F.array_contains(found, F.lit(word)))
+    if none_of:
+        grouped = grouped.where(~F.arrays_overlap(found, F.array(*map(F.lit, none_of))))
+    if any_of:
+        grouped = grouped.where(F.arrays_overlap(found, F.array(*map(F.lit, any_of))))
+
+    def places(word: str) -> Column:
+        return F.flatten(F.filter("_rows", lambda r: r["term"] == word)["positions"])
+
     for phrase in phrases:
         starts = None
         for shift, word in enumerate(phrase):
-            at = _shifted(F.col(f"_p{in_phrase.index(word)}"), shift)
+            at = places(word)
+            at = _shifted(at, shift) if shift else at
             starts = at if starts is None else F.array_intersect(starts, at)
         grouped = grouped.where(F.size(starts) > 0)
-    return grouped.select("posting_id")
+    return grouped
 
 
 def query_terms(spark: SparkSession, queries: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -166,88 +185,139 @@ def query_terms(spark: SparkSession, queries: Mapping[str, Sequence[str]]) -> Da
     return spark.createDataFrame(rows, "query_id string, term string, ordinal int, n_terms int")
 
 
-def minimal_covers(index: DataFrame, terms: DataFrame, most: int) -> DataFrame:
-    """Shortest stretches of a document that hold every word of a query.
+def _weight(field: Column) -> Column:
+    return F.when(field == "A", FIELD_WEIGHT["A"]).otherwise(FIELD_WEIGHT["B"])
+
 
-    `terms` comes from `query_terms` or has its columns; `most` is the largest `n_terms`.
-    Rows `(query_id, posting_id, begin, end, n_terms, mean_weight)`.  At each hit the latest
-    place of every word gives the tightest stretch ending there; of the stretches with one
-    begin the first is the shortest.
+def _hits(rows: Column, ordinal: Callable[[Column], Column]) -> Column:
+    """Hits `(pos, ordinal, weight)` of index rows in text order; `ordinal` gives a row's word."""
+    each = F.transform(
+        rows,
+        lambda r: F.transform(
+            r["positions"],
+            lambda p: F.struct(
+                p.alias("pos"), ordinal(r).alias("ordinal"), _weight(r["field"]).alias("weight")
+            ),
+        ),
+    )
+    return F.sort_array(F.flatten(each))
+
+
+def _covers(hits: Column, n: Column, more: Callable[[Column, Column, Column, Column], Column], start: Column) -> Column:
+    """Fold over the minimal covers of a document: `more(state, begin, end, mean_weight)`.
+
+    One scan with two pointers: `last` holds the latest place of each of the `n` words, its
+    smallest is the begin of the tightest stretch that ends at the current hit.  Of the stretches
+    with one begin the first is the shortest, so a stretch counts when its begin is new.
     """
-    weight = F.when(F.col("field") == "A", FIELD_WEIGHT["A"]).otherwise(FIELD_WEIGHT["B"])
-    hits = (
-        index.join(terms, "term")
-        .select(
-            "query_id",
-            "posting_id",
-            "ordinal",
-            "n_terms",
-            F.explode("positions").alias("pos"),
-            weight.alias("weight"),
+    unseen = F.struct(F.lit(-1).alias("pos"), F.lit(0.0).alias("weight"))
+
+    def step(state: Column, hit: Column) -> Column:
+        here = F.struct(hit["pos"].alias("pos"), hit["weight"].alias("weight"))
+        last = F.transform(
+            state["last"], lambda x, i: F.when(i == hit["ordinal"], here).otherwise(x)
         )
+        return F.struct(
+            last.alias("last"), F.array_min(last["pos"]).alias("low"),
+            state["low"].alias("before"), hit["pos"].alias("at"), state["out"].alias("out"),
+        )
+
+    def judged(state: Column) -> Column:
+        mean = F.aggregate(state["last"], F.lit(0.0), lambda a, x: a + x["weight"]) / n
+        fresh = (state["low"] >= 0) & (state["low"] != state["before"])
+        out = F.when(fresh, more(state["out"], state["low"], state["at"], mean)).otherwise(state["out"])
+        return F.struct(
+            state["last"].alias("last"), state["low"].alias("low"), state["low"].alias("before"),
+            state["at"].alias("at"), out.alias("out"),
+        )
+
+    blank = F.struct(
+        F.array_repeat(unseen, n.cast("int")).alias("last"), F.lit(-1).alias("low"),
+        F.lit(-1).alias("before"), F.lit(-1).alias("at"), start.alias("out"),
+    )
+    # a step and its judgement are two links of the fold, so that `last` is made once a hit
+    return F.aggregate(
+        hits,
+        blank,
+        lambda state, hit: F.element_at(F.transform(F.array(step(state, hit)), judged), 1),
+        lambda state: state["out"],
     )
-    by_doc = Window.partitionBy("query_id", "posting_id").orderBy("pos")
-    so_far = by_doc.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    latest = [
-        F.last(F.when(F.col("ordinal") == i, F.struct("pos", "weight")), ignorenulls=True)
-        .over(so_far)
-        .alias(f"_l{i}")
-        for i in range(most)
-    ]
-    seen = F.array_compact(F.array(*[F.col(f"_l{i}") for i in range(most)]))
-    covers = (
-        hits.select("*", *latest)
-        .withColumn("_seen", seen)
-        .where(F.size("_seen") == F.col("n_terms"))
-        .select(
-            "query_id",
-            "posting_id",
-            F.array_min("_seen")["pos"].alias("begin"),
-            F.col("pos").alias("end"),
-            "n_terms",
-            (
-                F.aggregate(F.col("_seen")["weight"], F.lit(0.0), lambda a, w: a + w)
-                / F.col("n_terms")
-            ).alias("mean_weight"),
-        )
+
+
+def _cover_rank(hits: Column, n: Column) -> Column:
+    """Sum over minimal covers of the mean weight by one plus the other words inside."""
+    def more(total: Column, begin: Column, end: Column, mean: Column) -> Column:
+        return total + mean / (1 + (end - begin + 1 - n))
+
+    one = F.aggregate(hits, F.lit(0.0), lambda total, hit: total + hit["weight"])
+    many = _covers(hits, n, more, F.lit(0.0))
+    return F.round(F.when(n == 1, one).otherwise(many), 9)
+
+
+def _query_hits(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """`(query_id, posting_id, n_terms, _hits)` of documents with every word of a query."""
+    row = F.struct("ordinal", "field", "positions")
+    grouped = (
+        index.join(terms, "term")
+        .groupBy("query_id", "posting_id", "n_terms")
+        .agg(F.collect_list(row).alias("_rows"))
+        .where(F.size(F.array_distinct(F.col("_rows")["ordinal"])) == F.col("n_terms"))
     )
-    by_end = Window.partitionBy("query_id", "posting_id").orderBy("end")
-    before = F.lag("begin").over(by_end)
-    return (
-        covers.withColumn("_before", before)
-        .where(F.col("_before").isNull() | (F.col("_before") != F.col("begin")))
-        .drop("_before")
+    hits = _hits(F.col("_rows"), lambda r: r["ordinal"])
+    # as a row of its own, the sorted array is made once, however often it is looked at
+    return grouped.select(
+        "query_id", "posting_id", "n_terms", F.explode_outer(F.array(hits)).alias("_hits")
     )
 
 
-def rank_terms(index: DataFrame, terms: DataFrame, most: int) -> DataFrame:
+def minimal_covers(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """Shortest stretches of a document that hold every word of a query.
+
+    `terms` comes from `query_terms` or has its columns.  Rows
+    `(query_id, posting_id, begin, end, n_terms, mean_weight)`.  The index rows of a document's
+    query words meet in one row; a single scan over their merged places finds the covers.
+    """
+    kind = "array<struct<begin:int,end:int,mean_weight:double>>"
+    found = _covers(
+        F.col("_hits"),
+        F.col("n_terms"),
+        lambda out, begin, end, mean: F.concat(
+            out,
+            F.array(F.struct(begin.alias("begin"), end.alias("end"), mean.alias("mean_weight"))),
+        ),
+        F.array().cast(kind),
+    )
+    rows = _query_hits(index, terms).select(
+        "query_id", "posting_id", "n_terms", F.explode_outer(found).alias("c")
+    )
+    return rows.select("query_id", "posting_id", "c.begin", "c.end", "n_terms", "c.mean_weight")
+
+
+def rank_terms(index: DataFrame, terms: DataFrame) -> DataFrame:
     """Cover-density rank `(query_id, posting_id, rank)` of documents with all query words.
 
     After Clarke, Cormack and Tudhope (2000): the sum over minimal covers of the mean word
     weight divided by one plus the number of other words inside the cover.  One word gives the
     sum of its weights.  Rounded, so that ranks tie whatever the order of summation.
     """
-    others = F.col("end") - F.col("begin") + 1 - F.col("n_terms")
-    covers = minimal_covers(index, terms, most)
-    return covers.groupBy("query_id", "posting_id").agg(
-        F.round(F.sum(F.col("mean_weight") / (1 + others)), 9).alias("rank")
+    return _query_hits(index, terms).select(
+        "query_id", "posting_id", _cover_rank(F.col("_hits"), F.col("n_terms")).alias("rank")
     )
 
 
 def text_rank(index: DataFrame, queries: Mapping[str, Sequence[str]]) -> DataFrame:
     """`rank_terms` for queries given as word lists; only their words are read."""
     listed = sorted({t for words_ in queries.values() for t in words_})
-    most = max((len(set(t)) for t in queries.values()), default=0)
     return rank_terms(
-        index.where(F.col("term").isin(*listed)), query_terms(index.sparkSession, queries), most
+        index.where(F.col("term").isin(*listed)), query_terms(index.sparkSession, queries)
     )
 
 
 def any_rank(index: DataFrame, any_of: Sequence[str]) -> DataFrame:
     """Rank of documents with any of the words: the sum of the weights of all their places."""
-    weight = F.when(F.col("field") == "A", FIELD_WEIGHT["A"]).otherwise(FIELD_WEIGHT["B"])
     hits = index.where(F.col("term").isin(*any_of))
-    return hits.groupBy("posting_id").agg(F.sum(weight * F.size("positions")).alias("rank"))
+    weighed = F.sum(_weight(F.col("field")) * F.size("positions"))
+    return hits.groupBy("posting_id").agg(weighed.alias("rank"))
 
 
 SUMMARY = (
@@ -288,8 +358,8 @@ def search_postings(
     """Filtered, ranked search.  Without a text the newest postings come first.
 
     Text hits meet only the keys and dates of the filtered postings; the wide columns are read
-    for the best rows alone.  Both lookups that follow the cut, of the wide columns and of the
-    employer names, broadcast at most `limit` keys.  With a `vocabulary` of `(term, stem)` all
+    for the best rows alone, and the employer names are joined to them.  How these joins are made
+    is left to adaptive execution, which knows the size of the cut result.  With a `vocabulary` of `(term, stem)` all
     words are searched by their stems.  `max_limit`, if given, holds `limit` down.  A text of
     stop words alone finds nothing.
     """
@@ -317,15 +387,12 @@ def search_postings(
     else:
         best = cut(found.select("posting_id", "published_at").join(hits, "posting_id"))
         best = best.select("posting_id", "rank")
-        top = postings.select(*wide).join(F.broadcast(best), "posting_id")  # at most `limit` rows
+        top = postings.select(*wide).join(best, "posting_id")
     if employers is None or "employer_id" not in wide:
         named = top.withColumn("employer_name", F.lit(None).cast("string"))
     else:
-        keys = top.select("employer_id").where(F.col("employer_id").isNotNull()).distinct()
-        names = employers.select("employer_id", "employer_name").join(
-            F.broadcast(keys), "employer_id", "left_semi"
-        )
-        named = top.join(F.broadcast(names), "employer_id", "left")
+        names = employers.select("employer_id", "employer_name")
+        named = top.join(names, "employer_id", "left")
     absent = [c for c in columns if c not in named.columns]
     for name in absent:
         named = named.withColumn(name, F.lit(None).cast("string"))
@@ -347,11 +414,20 @@ def _ranked_hits(
             return None
         absent = text_match(index, none_of=none_of, universe=universe)
         return absent.withColumn("rank", F.lit(None).cast("double"))
-    if needed:
-        ranks = text_rank(index, {"q": needed}).drop("query_id")
-    else:
+    if not needed:
         ranks = any_rank(index, any_of)
-    if none_of or phrases or (any_of and needed):
-        matched = text_match(index, terms, none_of, any_of, phrases)
-        ranks = ranks.join(matched, "posting_id", "left_semi")
-    return ranks
+        if none_of:
+            bad = index.where(F.col("term").isin(*none_of)).select("posting_id")
+            ranks = ranks.join(bad, "posting_id", "left_anti")
+        return ranks
+    # one grouping by document serves the match and the rank
+    ranked = list(dict.fromkeys(needed))
+    own = F.filter("_rows", lambda r: r["term"].isin(*ranked))
+    place = F.array(*map(F.lit, ranked))
+    hits = _hits(own, lambda r: F.array_position(place, r["term"]).cast("int") - 1)
+    matched = _matches(index, terms, none_of, any_of, phrases).select(
+        "posting_id", F.explode_outer(F.array(hits)).alias("_hits")
+    )
+    return matched.select(
+        "posting_id", _cover_rank(F.col("_hits"), F.lit(len(ranked))).alias("rank")
+    )

@@ -9,7 +9,13 @@ from pyspark.sql import functions as F
 
 
 def spread_rows(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows of an unsplittable file spread by key; adaptive execution sets the number of tasks."""
+    """Rows of a few unsplittable files dealt out by key to costly row-wise work.
+
+    Only a scan of fewer tasks than the session has slots is dealt out; a table of many files
+    is worked on where it is read, without a shuffle.
+    """
+    if df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism:
+        return df
     return df.repartition(*keys)
 
 

@@ -124,7 +124,7 @@ def rankings(spark: SparkSession, d: str) -> DataFrame:
     terms = chosen.select("term").distinct().select(
         F.col("term").alias("query_id"), "term", F.lit(0).alias("ordinal"), F.lit(1).alias("n_terms")
     )
-    ranked = ft.rank_terms(ft.build_index(s.document_texts(spark, d)), terms, most=1)
+    ranked = ft.rank_terms(ft.build_index(s.document_texts(spark, d)), terms)
     top = top_k_within(
         ranked.withColumnRenamed("rank", "score"), "query_id", [F.desc("score"), F.asc("posting_id")], max(KS)
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import words
 from tidemark.operators import fulltext as ft
+from tidemark.operators.blocks import build_blocks, read_blocks, search_topk, write_blocks
 from tidemark.operators.chunking import chunk_documents, sentences
 from tidemark.operators.embedding import hash_embed, mixed_models, refresh_chunks
 from tidemark.operators.html import extract_text
@@ -17,15 +18,19 @@ from tidemark.operators.stem import stem_index
 from tidemark.operators.ranking import spread_rows
 from tidemark.plans import standin as s
 from tidemark.schemas import CHUNKS
+from tidemark.sources.shared import shared_path
 
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as titled texts; one small file is one task, so they are spread for the parser."""
-    return spread_rows(s.document_texts(spark, d), "posting_id")
+    """Documents as titled texts."""
+    return s.document_texts(spark, d)
 
 
-def index(spark: SparkSession, d: str) -> DataFrame:
-    return ft.build_index(texts(spark, d))
+def index(spark: SparkSession, d: str, *terms: str) -> DataFrame:
+    """The index of all documents, or only its rows of some words."""
+    if terms:
+        return ft.build_index(texts(spark, d), terms=terms)
+    return ft.build_index(spread_rows(texts(spark, d), "posting_id"))
 
 
 #: Words of the documents with place and weight, in SQL.
@@ -65,29 +70,31 @@ def refreshed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_match_all(spark: SparkSession, d: str) -> DataFrame:
-    return ft.text_match(index(spark, d), all_of=["the", "of", "and"])
+    return ft.text_match(index(spark, d, "the", "of", "and"), all_of=["the", "of", "and"])
 
 
 def text_match_exclude(spark: SparkSession, d: str) -> DataFrame:
-    return ft.text_match(index(spark, d), all_of=["the"], none_of=["is", "for"])
+    return ft.text_match(index(spark, d, "the", "is", "for"), all_of=["the"], none_of=["is", "for"])
 
 
 def text_match_any(spark: SparkSession, d: str) -> DataFrame:
-    return ft.text_match(index(spark, d), any_of=["und", "des", "los"], none_of=["die"])
+    rows = index(spark, d, "und", "des", "los", "die")
+    return ft.text_match(rows, any_of=["und", "des", "los"], none_of=["die"])
 
 
 def text_match_absent(spark: SparkSession, d: str) -> DataFrame:
     docs = texts(spark, d)
-    return ft.text_match(ft.build_index(docs), none_of=["the", "de"], universe=docs)
+    rows = index(spark, d, "the", "de")
+    return ft.text_match(rows, none_of=["the", "de"], universe=docs)
 
 
 def text_match_phrase(spark: SparkSession, d: str) -> DataFrame:
-    return ft.text_match(index(spark, d), phrases=[["of", "the"], ["in", "the"]])
+    return ft.text_match(index(spark, d, "of", "the", "in"), phrases=[["of", "the"], ["in", "the"]])
 
 
 def text_rank(spark: SparkSession, d: str) -> DataFrame:
     queries = {"one": ["the"], "two": ["the", "of"], "three": ["and", "in", "is"], "de": ["la", "de"]}
-    return ft.text_rank(index(spark, d), queries)
+    return ft.text_rank(index(spark, d, *sorted({w for ws in queries.values() for w in ws})), queries)
 
 
 def search_text(spark: SparkSession, d: str) -> DataFrame:
@@ -103,7 +110,7 @@ def search_text(spark: SparkSession, d: str) -> DataFrame:
     return ft.search_postings(
         postings,
         s.employers(spark, d),
-        index(spark, d),
+        index(spark, d, "the", "of", "is"),
         "The, of!",
         none_of=["is"],
         stop_words=frozenset(),
@@ -114,6 +121,19 @@ def search_text(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+BLOCK_QUERIES = {"one": ["the"], "two": ["the", "of"], "three": ["and", "in", "is"], "de": ["la", "de"]}
+
+
+def search_topk_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Five best documents of each query from a stored block index."""
+    words_ = sorted({w for ws in BLOCK_QUERIES.values() for w in ws})
+    path = shared_path(spark, "blocks")
+    write_blocks(build_blocks(index(spark, d, *words_), block_docs=16), path)
+    blocks, bounds = read_blocks(spark, path)
+    best, _ = search_topk(blocks, bounds, ft.query_terms(spark, BLOCK_QUERIES), 5)
+    return best
+
+
 def stem_terms(spark: SparkSession, d: str) -> DataFrame:
     """A vocabulary with stems: here the first five letters of each word."""
     terms = index(spark, d).select("term").distinct()
@@ -415,6 +435,16 @@ FROM docs d JOIN ({rank_sql("q", ["the", "of"])}) r USING (posting_id)
 JOIN sets s USING (posting_id) LEFT JOIN customer ON c_custkey = n_chars
 WHERE NOT list_contains(ws, 'is') AND n_chars >= 200 AND lang = 'en'
 ORDER BY round(r.rank, 9) DESC, published_at DESC, d.posting_id LIMIT 40""",
+    ),
+    "search_topk_blocks": (
+        search_topk_blocks,
+        f"""
+WITH {HITS_SQL}
+SELECT * FROM (
+  SELECT query_id, posting_id, round(rank, 9) AS rank, CAST(row_number() OVER (
+    PARTITION BY query_id ORDER BY round(rank, 9) DESC, posting_id) AS INTEGER) AS place
+  FROM ({" UNION ALL ".join(rank_sql(q, ws) for q, ws in BLOCK_QUERIES.items())}))
+WHERE place <= 5""",
     ),
     "stem_vocabulary": (
         stem_terms,
