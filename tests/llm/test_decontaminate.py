@@ -39,6 +39,16 @@ def got(found):
     ), rows
 
 
+def test_an_id_of_several_texts_is_listed_once_however_items_are_cut(spark, make_docs):
+    items = [("a", "one two three"), ("a", "four five six"), ("b", "one two three"), ("c", "seven")]
+    texts = [(1, "one two three four five six"), (2, "four five six"), (3, "eight")]
+    table = spark.createDataFrame(items, "item_id string, text string")
+    want = [(1, 6, 6, ("a", "b")), (2, 3, 3, ("a",)), (3, 1, 0, ())]
+    assert brute(texts, items) == want
+    for limit in (8_000_000, 14, 1):
+        assert got(d.find_matches(make_docs(texts), table, block_bytes=limit))[0] == want
+
+
 def test_matches_equal_brute_force(spark, make_docs, monkeypatch):
     rng = random.Random(3)
     vocab = ["a", "B", "c", "é", "7", "it"]

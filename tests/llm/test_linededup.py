@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import duckdb
 from tidemark.llm import linededup
 
 
@@ -83,6 +84,64 @@ def test_every_family_of_a_leaf_is_found(make_docs):
     assert lost == {0: 0, 1: 0, 2: 1, 3: 1, 4: 1, 8: 0, 9: 0, 10: 1}
 
 
+def by_sql(docs):
+    con = duckdb.connect()
+    con.register("documents", docs.select("doc_id", "text").toArrow())
+    found = con.execute(linededup.OP5_SQL)
+    names = [c[0] for c in found.description]
+    rows = [dict(zip(names, r)) for r in found.fetchall()]
+    return sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in rows), key=repr)
+
+
+def by_operator(docs):
+    rows = linededup.mark_lines(docs).collect()
+    return sorted(((r.row.doc_id, r.kept_text, r.n_lines, r.n_dropped) for r in rows), key=repr)
+
+
+def test_operator_equals_its_sql_on_null_ids_families_and_short_lines(make_docs):
+    rng = random.Random(7)
+    own = [filler(rng) for _ in range(60)]
+    long = "the server named {} could not be reached from {} host at this time"
+    short = "please {} us now"
+    rows = [(0, own[0] + "\nthe server named in this contract will be moved to another city\n" + short.format("call"))]
+    rows += [(i, own[i] + "\n" + long.format(w, "the")) for i, w in enumerate(("ape", "bee", "cat", "dog"), 1)]
+    rows += [(i, own[i] + "\n" + long.format("eel", w)) for i, w in enumerate(("any", "one", "no"), 5)]
+    rows += [(i, own[i] + "\n" + short.format(w)) for i, w in enumerate(("write", "call", "phone", "call"), 10)]
+    rows += [(i, own[i] + "\nshared by three and one of them is without id") for i in (20, 21)]
+    rows += [(None, own[22] + "\nshared by three and one of them is without id"), (None, None), (None, "")]
+    rows += [(30, own[30] + "\nold 1 line of days"), (30, own[31] + "\nold 2 line of days"), (30, own[32])]
+    rows += [(i, own[40] + "\n" + own[41] + f"\nnumber {i}") for i in range(40, 45)]
+    got = by_operator(make_docs(rows))
+    assert got == by_sql(make_docs(rows))
+    dropped = {i: n for i, _, _, n in got if i is not None}
+    assert dropped[20] == dropped[21] == 1 and dropped[2] == dropped[7] == 1
+    assert dropped[44] == 0
+
+
+def test_random_templates_equal_sql(make_docs):
+    rng = random.Random(8)
+    words = ["alpha", "beta", "gamma", "delta"]
+    for _ in range(3):
+        rows = []
+        for i in range(60):
+            lines = [filler(rng, 12)] + [
+                " ".join(["start", "of", "line", *rng.choices(words[:2], k=rng.choice([1, 5, 6]))])
+                for _ in range(rng.randint(0, 4))
+            ]
+            rows.append((None if i == 9 else i, "\n".join(lines)))
+        assert by_operator(make_docs(rows)) == by_sql(make_docs(rows))
+
+
+def test_boilerplate_of_many_sources_goes_though_it_is_most_of_a_text(make_docs):
+    rng = random.Random(9)
+    kinds = [filler(rng, 10) for _ in range(4)]
+    rows = [(i, filler(rng) + "\n" + kinds[i % 4]) for i in range(16)]
+    rows += [(100, "own word\n" + "\n".join(kinds)), (101, rows[0][1])]
+    got, _ = run(make_docs(rows))
+    assert got[rows[16]][:1] == ("own word",) and got[rows[16]][2] == 4
+    assert got[rows[17]][2] == 1  # only the line that three documents have
+
+
 def test_no_python_in_the_plan(spark):
     plan = linededup.op5(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan

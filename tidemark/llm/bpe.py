@@ -6,6 +6,7 @@ import base64
 import re
 import struct
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import public_tokenizers
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import annotated, text_udf
 
-#: Encoded chunks that a task remembers before it starts anew.
-CACHE = 150_000
+#: Bytes of chunks and their ids that a task remembers before it starts anew.
+CACHE = 16_000_000
+#: What an entry takes beside its characters and ids, about.
+ENTRY = 200
 
 #: A single space between two visible characters always begins the next pre-token.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -104,6 +107,7 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.inverse = Inverse(ranks)
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def _learn(self, fresh: list[str]) -> None:
         """Encode new chunks: each pre-token by the model, unless it is a token itself."""
@@ -134,9 +138,12 @@ class Codec:
         cut = [_chunks(t or "") for t in texts]
         wanted = set().union(*cut)
         fresh = wanted.difference(self.known)
-        if len(self.known) + len(fresh) > CACHE:
+        more = sum(map(len, fresh)) * 5 + len(fresh) * ENTRY
+        if self.held + more > CACHE:
             self.known.clear()
-            fresh = wanted
+            self.held, fresh = 0, wanted
+            more = sum(map(len, fresh)) * 5 + len(fresh) * ENTRY
+        self.held += more
         self._learn(sorted(fresh))
         get = self.known.__getitem__
         return [b"".join(map(get, row)) for row in cut]
@@ -179,15 +186,32 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFram
     return coded.select("row", F.col("out").alias("ids"), decode(F.col("out"), path).alias("decoded"))
 
 
+_DIGESTS = "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>"
+
+
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256.  Texts are encoded and their ids
+    decoded in one pass by one worker a task, and only digests come back."""
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return encode_documents(docs.select("doc_id", "text"), path).select(
-        "row.doc_id",
-        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+
+    def work():
+        codec = Codec(path, public_tokenizers.PATTERN)
+
+        def step(texts: pa.Array) -> pa.Array:
+            coded = codec.encode(texts.to_pylist())
+            columns = [
+                pa.array([len(ids) // 4 for ids in coded], pa.int64()),
+                pa.array([sha256(ids).hexdigest() for ids in coded], pa.string()),
+                pa.array([sha256(codec.decode(ids)).hexdigest() for ids in coded], pa.string()),
+            ]
+            return pa.StructArray.from_arrays(
+                columns, names=["n_tokens", "ids_sha256", "decoded_sha256"]
+            )
+
+        return step
+
+    coded = annotated(docs.select("doc_id", "text"), text_udf(work, _DIGESTS)(F.col("text")))
+    return coded.select("row.doc_id", "out.n_tokens", "out.ids_sha256", "out.decoded_sha256")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from hashlib import sha256
 
+from itertools import chain, islice
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -164,7 +166,7 @@ def match_shard(texts: pa.Array, block: TestBlock) -> pa.Array:
     ids: list[list[str]] = [[] for _ in range(docs)]
     for d in np.flatnonzero(counts):
         seen = np.unique(item[offsets[d] : offsets[d + 1]])
-        ids[d] = sorted(x for i in seen for x in block.names[i])
+        ids[d] = sorted({x for i in seen for x in block.names[i]})
     matches = pa.ListArray.from_arrays(
         pa.array(offsets),
         pa.StructArray.from_arrays(
@@ -187,16 +189,18 @@ def match_shard(texts: pa.Array, block: TestBlock) -> pa.Array:
 def item_blocks(
     items: DataFrame, item_id: str, text: str, limit: int
 ) -> Iterator[list[tuple[list[str], str]]]:
-    """Distinct item texts with their ids, in blocks of about `limit` bytes, one at a time."""
-    grouped = (
-        items.where(F.col(item_id).isNotNull() & F.col(text).isNotNull())
-        .groupBy(F.col(text).alias("text"))
-        .agg(F.sort_array(F.collect_set(F.col(item_id).cast("string"))).alias("ids"))
-    )
-    block, size = [], 0
-    for row in grouped.orderBy("ids").toLocalIterator():
-        block.append((list(row["ids"]), row["text"]))
-        size += len(row["text"].encode())
+    """Distinct item texts with their ids, in blocks of about `limit` bytes, one at a time.  A text
+    of very many ids goes out in several blocks."""
+    known = items.where(F.col(item_id).isNotNull() & F.col(text).isNotNull())
+    pairs = known.select(F.col(text).alias("text"), F.col(item_id).cast("string").alias("id"))
+    block: list[tuple[list[str], str]] = []
+    size = 0
+    for row in pairs.distinct().orderBy("text", "id").toLocalIterator():
+        if not block or block[-1][1] != row["text"]:
+            block.append(([], row["text"]))
+            size += len(row["text"].encode())
+        block[-1][0].append(row["id"])
+        size += len(row["id"])
         if size >= limit:
             yield block
             block, size = [], 0
@@ -227,8 +231,10 @@ def find_matches(
     """
     spark = docs.sparkSession
     out = docs.select(F.struct("*").alias("row"), F.lit(None).cast(FOUND).alias("found"))
-    sources = [b for b in item_blocks(items, item_id, item_text, block_bytes)] or [[]]
-    for block in sources:
+    blocks = item_blocks(items, item_id, item_text, block_bytes)
+    ahead = list(islice(blocks, 2)) or [[]]  # a second one tells whether results are to be merged
+    several = len(ahead) > 1
+    for block in chain(ahead, blocks):
         sent = spark.sparkContext.broadcast(block)
 
         def work(sent=sent):
@@ -237,7 +243,7 @@ def find_matches(
 
         now = text_udf(work, FOUND)(F.col("row").getField(text))
         out = out.select("row", "found", now.alias("now"))
-        out = out.select("row", _merged(F.col("found"), F.col("now"), len(sources) > 1))
+        out = out.select("row", _merged(F.col("found"), F.col("now"), several))
     return out
 
 

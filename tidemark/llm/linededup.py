@@ -104,7 +104,7 @@ def recurring(lines: DataFrame, min_docs: int, groups: int, alike: int) -> DataF
     each other in the same `alike` runs.
     """
     seen = lines.groupBy("leaf", "template").agg(
-        F.count_distinct("doc_id", "version").alias("docs"),
+        F.count_distinct(F.struct("doc_id", "version")).alias("docs"),  # a null id counts
         F.min(F.struct("doc_id", "line")).alias("first"),
         F.first("parts").alias("parts"),
     )
@@ -148,7 +148,7 @@ def recurring(lines: DataFrame, min_docs: int, groups: int, alike: int) -> DataF
         .unionByName(alone)
         .unionByName(variants)
         .groupBy("template")
-        .agg(F.max("docs").alias("docs"), F.min("first.doc_id").alias("first_doc"))
+        .agg(F.max("docs").alias("docs"), F.min("first")["doc_id"].alias("first_doc"))
     )
 
 
@@ -168,8 +168,9 @@ def mark_lines(
     Lines are parsed into a tree of fixed depth by token count and leading tokens; words with
     digits and positions that vary within a leaf are variable fields.  A template found in
     `min_docs` documents is boilerplate: its lines are dropped, but for the document with the
-    smallest id that has it, so that no content is lost.  A document that would lose over
-    `copy_share` of its words is a copy as a whole: it is left to document dedup, unchanged.
+    smallest id that has it, so that no content is lost.  A document that has over `copy_share` of
+    its words in lines of one and the same earlier document is a copy of that one as a whole: it is
+    left to document dedup, unchanged.
 
     Lines of under `min_tokens` words, or of mostly variable fields, stay.  Equal rows are one
     document; a null id sorts first; a null text stays null, an empty one empty, both without
@@ -197,25 +198,30 @@ def mark_lines(
         common.select("template", F.col("docs").alias("n")),
     ).where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
     # equal rows have equal lines: each is counted once
-    lost = (
-        hits.select("doc_id", "version", "line", "n_tokens")
-        .groupBy("doc_id", "version")
-        .agg(F.collect_set(F.struct("line", "n_tokens")).alias("lost"))
+    by_first = (
+        hits.select("doc_id", "version", "first_doc", "line", "n_tokens")
+        .groupBy("doc_id", "version", "first_doc")
+        .agg(F.collect_set(F.struct("line", "n_tokens")).alias("part"))
+    )
+    shared = F.aggregate("part", F.lit(0), lambda s, x: s + x["n_tokens"])
+    lost = by_first.groupBy("doc_id", "version").agg(
+        F.flatten(F.collect_list("part.line")).alias("lost"), F.max(shared).alias("shared")
     )
     keyed = docs.select(
         F.struct("*").alias("row"), F.col(doc_id).alias("_id"), version.alias("_version")
     )
-    lost = lost.select(F.col("doc_id").alias("_lost_id"), F.col("version").alias("_lost_version"), "lost")
+    lost = lost.select(
+        F.col("doc_id").alias("_lost_id"), F.col("version").alias("_lost_version"), "lost", "shared"
+    )
     both = keyed.join(
         lost,
         F.col("_id").eqNullSafe(F.col("_lost_id")) & (F.col("_version") == F.col("_lost_version")),
         "left",
     )
     body = F.col("row").getField(text)
-    words = F.aggregate(F.col("lost"), F.lit(0), lambda s, x: s + x["n_tokens"])
     n_words = F.size(F.array_remove(F.split(body, r"[ \t\r\n]+"), ""))
     drop = F.coalesce(
-        F.when(words <= n_words * copy_share, F.col("lost.line")), F.array().cast("array<int>")
+        F.when(F.col("shared") <= n_words * copy_share, F.col("lost")), F.array().cast("array<int>")
     )
     pieces = F.split(body, "\n")
     kept = F.array_join(
@@ -266,7 +272,7 @@ lines AS (
   FROM cut WHERE len(t) >= 3 AND 2 * len(list_filter(t, lambda x: x <> '<*>')) >= len(t)),
 seen AS (
   SELECT n, lead, t, any_value(parts) AS parts, count(DISTINCT (doc_id, text)) AS docs,
-         min({'d': doc_id, 'l': line}) AS first
+         min({'known': doc_id IS NOT NULL, 'd': doc_id, 'l': line}) AS first
   FROM lines GROUP BY n, lead, t),
 heads AS (
   SELECT n, lead, parts AS head FROM seen
@@ -278,21 +284,43 @@ members AS (
 merged AS (
   SELECT n, lead, sum(docs) AS docs, min(first) AS first FROM members GROUP BY n, lead
   HAVING sum(docs) >= 3),
+mixed AS (
+  SELECT n, lead FROM seen WHERE n >= 8 GROUP BY n, lead HAVING count(*) > 1 AND sum(docs) >= 3),
+outs AS (SELECT a.g AS i, b.g AS j FROM range(1, 9) a(g), range(1, 9) b(g) WHERE a.g < b.g),
+kin AS (
+  SELECT s.n, s.lead, s.t, s.docs, s.first, i, j,
+         list_transform(list_filter(range(1, 9), lambda g: g <> i AND g <> j), lambda g: parts[g]) AS rest
+  FROM seen s JOIN mixed USING (n, lead), outs),
+kin_docs AS (
+  SELECT n, lead, i, j, rest, sum(docs) AS docs, min(first) AS first FROM (
+    SELECT k.n, k.lead, i, j, rest, count(DISTINCT (l.doc_id, l.text)) AS docs, min(k.first) AS first
+    FROM kin k JOIN lines l ON l.t = k.t WHERE k.docs < 3 GROUP BY ALL
+    UNION ALL
+    SELECT n, lead, i, j, rest, sum(docs), min(first) FROM kin WHERE docs >= 3 GROUP BY ALL)
+  GROUP BY ALL HAVING sum(docs) >= 3),
 common AS (
-  SELECT t, min(d) AS first_doc FROM (
-    SELECT m.t, g.first.d AS d FROM members m JOIN merged g ON m.n = g.n AND m.lead = g.lead
-    UNION ALL SELECT t, first.d FROM seen WHERE docs >= 3)
+  SELECT t, min(first).d AS first_doc FROM (
+    SELECT m.t, {'known': g.first.known, 'd': g.first.d} AS first
+    FROM members m JOIN merged g ON m.n = g.n AND m.lead = g.lead
+    UNION ALL
+    SELECT t, {'known': first.known, 'd': first.d} FROM seen WHERE docs >= 3
+    UNION ALL
+    SELECT k.t, {'known': d.first.known, 'd': d.first.d} FROM kin k JOIN kin_docs d
+      ON d.n = k.n AND d.lead = k.lead AND d.i = k.i AND d.j = k.j AND d.rest = k.rest
+    WHERE k.docs < 3)
   GROUP BY t),
+hits AS (
+  SELECT DISTINCT l.doc_id, l.text, l.line, l.n, c.first_doc
+  FROM lines l JOIN common c ON l.t = c.t AND l.doc_id IS DISTINCT FROM c.first_doc),
 lost AS (
-  SELECT l.doc_id, l.text, list(DISTINCT l.line) AS gone,
-         list_sum(list_transform(list(DISTINCT {'line': l.line, 'n': l.n}), lambda x: x.n)) AS words
-  FROM lines l JOIN common c ON l.t = c.t AND l.doc_id IS DISTINCT FROM c.first_doc
-  GROUP BY l.doc_id, l.text),
+  SELECT doc_id, text, list_distinct(flatten(list(gone))) AS gone, max(words) AS shared FROM (
+    SELECT doc_id, text, first_doc, list(line) AS gone, sum(n) AS words FROM hits GROUP BY ALL)
+  GROUP BY doc_id, text),
 final AS (
   SELECT d.doc_id, d.text, string_split(d.text, chr(10)) AS pieces,
-         CASE WHEN words <= 0.8 * len(list_filter(
+         CASE WHEN shared <= 0.8 * len(list_filter(
            string_split_regex(d.text, '[ \t\r\n]+'), lambda t: t <> '')) THEN gone END AS gone
-  FROM documents d LEFT JOIN lost o ON d.doc_id = o.doc_id AND d.text = o.text)
+  FROM documents d LEFT JOIN lost o ON d.doc_id IS NOT DISTINCT FROM o.doc_id AND d.text = o.text)
 SELECT doc_id, coalesce(len(pieces), 0) AS n_lines, coalesce(len(gone), 0) AS n_dropped,
        CASE WHEN gone IS NULL THEN text ELSE coalesce(array_to_string(list_transform(
          list_filter(range(1, len(pieces) + 1), lambda i: NOT list_contains(gone, i - 1)),
