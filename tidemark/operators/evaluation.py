@@ -2,62 +2,109 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.sources.parameters import BLOCK_ROWS, blocks
 
+#: Stands for the end of a literal run, and before a character that is meant as itself.
+_BREAK, _SELF = "\ue001", "\ue000"
+#: Characters of a gram of the second tier.
+GRAM = 4
 
-def ground_truth(
-    queries: DataFrame,
-    postings: DataFrame,
-    title: str = "title",
-    block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
+
+def java_pattern(pattern: Column) -> Column:
+    """A labelled pattern for Spark's regular expressions: classes and case by Unicode, as the labels
+    mean them, and named groups in Java's spelling."""
+    named = F.replace(F.replace(pattern, F.lit("(?P<"), F.lit("(?<")), F.lit("(?P="), F.lit("\\k<"))
+    return F.concat(F.lit("(?U)"), named)
+
+
+def literal_runs(pattern: Column) -> Column:
+    """Stretches of literal characters that every match of a pattern holds, folded by case.
+
+    What is optional or repeated, classes, dots and anchors end a run.  Alternatives, groups and
+    escapes by number give no run: such a pattern says too little by its letters alone.
+    """
+    own = rf"(?<!{_SELF})"
+    more = r"(?:[*+?]|\{[^}]*\})"
+    plain = F.regexp_replace(pattern, r"^\(\?[a-zA-Z]+\)", "")
+    plain = F.regexp_replace(plain, r"\\([^a-zA-Z0-9])", f"{_SELF}$1")
+    unclear = plain.rlike(rf"{own}[|(]|\\[xuUNQEcCk0-9]")
+    for ends in (
+        rf"{own}\[\^?\]?[^\]]*\]{more}*",
+        rf"\\(?:[pP]\{{[^}}]*\}}|[a-zA-Z]){more}*",
+        rf"{_SELF}?[\s\S]{own}{more}+",
+        rf"{own}[.^$]",
+    ):
+        plain = F.regexp_replace(plain, ends, _BREAK)
+    runs = F.split(F.lower(F.replace(plain, F.lit(_SELF), F.lit(""))), _BREAK)
+    return F.when(unclear, F.array().cast("array<string>")).otherwise(runs)
+
+
+def _longest(words: Column) -> Column:
+    """The longest of some words, of equally long ones the first by letters; null if none."""
+    keyed = F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))
+    return F.array_min(keyed)["w"]
+
+
+def required_grams(queries: DataFrame) -> DataFrame:
+    """`(query_id, pattern, word, gram)`: what a title must hold to match a pattern.
+
+    `word` is a whole word between two blanks of a literal run, `gram` a part of GRAM characters of
+    the longest run, for patterns without such a word.  The longest word stands for the
+    rarest.  With neither, the pattern needs a full pass over the titles.
+    """
+    rows = queries.select("query_id", F.explode("patterns").alias("pattern")).where(
+        F.col("pattern").isNotNull()
+    )
+    runs = literal_runs(F.col("pattern"))
+    inner = F.flatten(
+        F.transform(runs, lambda r: F.slice(F.split(r, " "), 2, F.greatest(F.size(F.split(r, " ")) - 2, F.lit(0))))
+    )
+    word = _longest(F.filter(inner, lambda w: w != ""))
+    run = _longest(F.filter(runs, lambda r: F.length(r) >= GRAM))
+    # the middle of a run: beginnings of words are shared by many more titles
+    part = F.substr(run, ((F.length(run) - GRAM) / 2).cast("int") + 1, F.lit(GRAM))
+    return rows.select("query_id", "pattern", word.alias("word"), F.when(word.isNull(), part).alias("gram"))
+
+
+def ground_truth(queries: DataFrame, postings: DataFrame, title: str = "title") -> DataFrame:
     """Relevant `(query_id, posting_id)` pairs.
 
-    Explicit ids count as they are.  A query without ids takes the postings whose title
-    one of its patterns is found in.  Patterns are a small parameter table, taken in blocks:
-    each block is one narrow pass over the titles that emits matches only.
+    Explicit ids count as they are.  A query without ids takes the postings whose title one of
+    its patterns is found in.  Titles are cut into words, or into grams of GRAM characters, and
+    joined with the word or gram that a pattern requires; the pattern is tried on these
+    candidates alone.  Patterns that require neither meet every title; this third part is
+    empty, and costs nothing, where there are none.  Null titles and patterns match nothing.
     """
     explicit = queries.where(F.size("relevant_ids") > 0).select(
         "query_id", F.explode("relevant_ids").alias("posting_id")
     )
-    searched = queries.where((F.size("relevant_ids") == 0) & (F.size("patterns") > 0)).select(
-        "query_id", "patterns"
+    searched = queries.where((F.size("relevant_ids") == 0) & (F.size("patterns") > 0))
+    needs = required_grams(searched)
+    titles = postings.where(F.col(title).isNotNull()).select(
+        F.col("posting_id").cast("bigint").alias("posting_id"), F.col(title).alias("_title")
     )
-    found = [explicit]
-    for block in blocks(searched, block_rows):
-        listed = [(row["query_id"], list(row["patterns"])) for row in block]
-
-        def run(batches: Iterator[pa.RecordBatch], listed=listed) -> Iterator[pa.RecordBatch]:
-            compiled = [(q, [re.compile(p) for p in patterns]) for q, patterns in listed]
-            for batch in batches:
-                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                pairs = [
-                    (query, posting)
-                    for posting, text in zip(ids, texts)
-                    for query, patterns in compiled
-                    if any(p.search(text) for p in patterns)
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([p[0] for p in pairs], pa.string()),
-                        pa.array([p[1] for p in pairs], pa.int64()),
-                    ],
-                    names=["query_id", "posting_id"],
-                )
-
-        titles = postings.where(F.col(title).isNotNull()).select(
-            F.col("posting_id").cast("bigint").alias("posting_id"), title
-        )
-        found.append(titles.mapInArrow(run, "query_id string, posting_id bigint"))
-    return reduce(DataFrame.unionByName, found).distinct()
+    folded = F.lower("_title")
+    by_word = titles.select("posting_id", "_title", F.explode_outer(F.split(folded, " ")).alias("word"))
+    grams = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(folded) - GRAM + 1, F.lit(1))),
+        lambda i: F.substr(folded, i, F.lit(GRAM)),
+    )
+    by_gram = titles.select("posting_id", "_title", F.explode_outer(grams).alias("gram"))
+    found = [
+        by_word.join(needs.where(F.col("word").isNotNull()).select("query_id", "pattern", "word"), "word"),
+        by_gram.join(needs.where(F.col("gram").isNotNull()).select("query_id", "pattern", "gram"), "gram"),
+        titles.join(needs.where(F.col("word").isNull() & F.col("gram").isNull()), how="inner"),
+    ]
+    matched = [
+        rows.where(F.rlike(F.col("_title"), java_pattern(F.col("pattern")))).select("query_id", "posting_id")
+        for rows in found
+    ]
+    return reduce(DataFrame.unionByName, [explicit, *matched]).distinct()
 
 
 def _per_query(

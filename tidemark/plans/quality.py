@@ -102,7 +102,7 @@ def _whole_texts(spark: SparkSession, d: str) -> DataFrame:
     docs = s.table(spark, d, "documents").select(
         F.col("doc_id").alias("posting_id"), F.col("text").alias("title")
     )
-    return spread_rows(docs, "posting_id")
+    return docs
 
 
 def truth(spark: SparkSession, d: str) -> DataFrame:
