@@ -18,6 +18,8 @@ from tidemark.functions.fields import clamp_limit
 from tidemark.functions.text import words
 from tidemark.operators.filters import search_filter
 from tidemark.operators.stem import STOP_WORDS, stem_forms, stem_index
+from tidemark.sources.clustered import Clustered
+from tidemark.sources.shared import stored
 
 #: Weight of a word in the title and in the body.
 FIELD_WEIGHT = {"A": 1.0, "B": 0.4}
@@ -353,13 +355,16 @@ def search_postings(
     stop_words: frozenset[str] = STOP_WORDS,
     vocabulary: DataFrame | None = None,
     now: datetime | Column | None = None,
+    store: Clustered | None = None,
     **filters,
 ) -> DataFrame:
     """Filtered, ranked search.  Without a text the newest postings come first.
 
     Text hits meet only the keys and dates of the filtered postings; the wide columns are read
     for the best rows alone, and the employer names are joined to them.  How these joins are made
-    is left to adaptive execution, which knows the size of the cut result.  With a `vocabulary` of `(term, stem)` all
+    is left to adaptive execution, which knows the size of the cut result.  With a `store` of the
+    postings by key ranges, only the files of the best rows are opened for their wide columns;
+    `postings` then need no more than the columns of the filters.  With a `vocabulary` of `(term, stem)` all
     words are searched by their stems.  `max_limit`, if given, holds `limit` down.  A text of
     stop words alone finds nothing.
     """
@@ -376,18 +381,26 @@ def search_postings(
     hits = _ranked_hits(index, terms, none_of, any_of, phrases, found)
     limit = clamp_limit(limit, max_limit)
     order = [F.desc_nulls_last("rank"), F.desc_nulls_last("published_at"), F.asc("posting_id")]
-    wide = [c for c in columns if c in postings.columns]
-    wide += [c for c in ("employer_id", "published_at", "posting_id") if c not in wide and c in postings.columns]
+    source = postings if store is None else store.rows()
+    wide = [c for c in columns if c in source.columns]
+    wide += [c for c in ("employer_id", "published_at", "posting_id") if c not in wide and c in source.columns]
 
     def cut(rows: DataFrame) -> DataFrame:
         return rows.orderBy(*order).offset(max(0, offset)).limit(limit)
 
-    if hits is None:
+    if hits is None and store is None:
         top = cut(found.select(*wide, F.lit(None).cast("double").alias("rank")))
     else:
-        best = cut(found.select("posting_id", "published_at").join(hits, "posting_id"))
+        narrow = found.select("posting_id", "published_at")
+        if hits is None:
+            best = cut(narrow.withColumn("rank", F.lit(None).cast("double")))
+        else:
+            best = cut(narrow.join(hits, "posting_id"))
         best = best.select("posting_id", "rank")
-        top = postings.select(*wide).join(best, "posting_id")
+        if store is not None:
+            best = stored(best, "best")
+            source = store.lookup(best, wide)
+        top = source.select(*wide).join(best, "posting_id")
     if employers is None or "employer_id" not in wide:
         named = top.withColumn("employer_name", F.lit(None).cast("string"))
     else:

@@ -18,6 +18,7 @@ from tidemark.operators.stem import stem_index
 from tidemark.operators.ranking import spread_rows
 from tidemark.plans import standin as s
 from tidemark.schemas import CHUNKS
+from tidemark.sources.clustered import write_clustered
 from tidemark.sources.shared import shared_path
 
 
@@ -97,16 +98,20 @@ def text_rank(spark: SparkSession, d: str) -> DataFrame:
     return ft.text_rank(index(spark, d, *sorted({w for ws in queries.values() for w in ws})), queries)
 
 
-def search_text(spark: SparkSession, d: str) -> DataFrame:
-    docs = s.document_texts(spark, d)
-    postings = docs.select(
+def _search_postings(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as postings, their length in the roles of employer, salary and date."""
+    return s.document_texts(spark, d).select(
         "posting_id",
         "title",
         F.col("n_chars").alias("employer_id"),
         F.col("n_chars").alias("salary_from_base"),
         (F.col("lang") == "en").alias("is_remote"),
         F.expr("timestampadd(MINUTE, n_chars, TIMESTAMP_NTZ '2024-01-01 00:00:00')").alias("published_at"),
+        F.col("body").alias("description"),
     )
+
+
+def _search(postings: DataFrame, spark: SparkSession, d: str, **more) -> DataFrame:
     return ft.search_postings(
         postings,
         s.employers(spark, d),
@@ -117,10 +122,23 @@ def search_text(spark: SparkSession, d: str) -> DataFrame:
         salary_min=200,
         remote_only=True,
         limit=40,
-        columns=["posting_id", "employer_name", "salary_from_base", "published_at", "rank"],
+        **more,
     )
 
 
+def search_text(spark: SparkSession, d: str) -> DataFrame:
+    columns = ["posting_id", "employer_name", "salary_from_base", "published_at", "rank"]
+    return _search(_search_postings(spark, d), spark, d, columns=columns)
+
+
+def search_clustered(spark: SparkSession, d: str) -> DataFrame:
+    """The same search; titles and descriptions come from a store by key ranges."""
+    postings = _search_postings(spark, d)
+    store = write_clustered(postings, shared_path(spark, "postings"), "posting_id", files=64)
+    columns = ["posting_id", "employer_name", "title", "description", "rank"]
+    return _search(postings.drop("title", "description"), spark, d, columns=columns, store=store)
+
+
 BLOCK_QUERIES = {"one": ["the"], "two": ["the", "of"], "three": ["and", "in", "is"], "de": ["la", "de"]}
 
 
@@ -381,6 +399,17 @@ SELECT doc_id AS {key}, CAST(n AS INTEGER) AS chunk_index, prefix || body AS con
 FROM bodies JOIN texts USING (doc_id)"""
 
 
+def _search_sql(columns: str) -> str:
+    return f"""
+WITH {HITS_SQL}, {_ALL_TERMS}
+SELECT d.posting_id, c_name AS employer_name, {columns}, round(r.rank, 9) AS rank
+FROM (SELECT *, TIMESTAMP '2024-01-01' + to_minutes(n_chars) AS published_at FROM docs) d
+JOIN ({rank_sql("q", ["the", "of"])}) r USING (posting_id)
+JOIN sets s USING (posting_id) LEFT JOIN customer ON c_custkey = n_chars
+WHERE NOT list_contains(ws, 'is') AND n_chars >= 200 AND lang = 'en'
+ORDER BY round(r.rank, 9) DESC, published_at DESC, d.posting_id LIMIT 40"""
+
+
 QUERIES = {
     "postings_df": (postings_df, _DF_SQL),
     "index_refresh": (refreshed, _DF_SQL),
@@ -427,15 +456,9 @@ UNION ALL {rank_sql("three", ["and", "in", "is"])} UNION ALL {rank_sql("de", ["l
     ),
     "search_text": (
         search_text,
-        f"""
-WITH {HITS_SQL}, {_ALL_TERMS}
-SELECT d.posting_id, c_name AS employer_name, n_chars AS salary_from_base,
-       TIMESTAMP '2024-01-01' + to_minutes(n_chars) AS published_at, round(r.rank, 9) AS rank
-FROM docs d JOIN ({rank_sql("q", ["the", "of"])}) r USING (posting_id)
-JOIN sets s USING (posting_id) LEFT JOIN customer ON c_custkey = n_chars
-WHERE NOT list_contains(ws, 'is') AND n_chars >= 200 AND lang = 'en'
-ORDER BY round(r.rank, 9) DESC, published_at DESC, d.posting_id LIMIT 40""",
+        _search_sql("n_chars AS salary_from_base, published_at"),
     ),
+    "search_clustered": (search_clustered, _search_sql("d.title, d.body AS description")),
     "search_topk_blocks": (
         search_topk_blocks,
         f"""
