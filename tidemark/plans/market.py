@@ -82,6 +82,14 @@ def by_experience(spark: SparkSession, d: str) -> DataFrame:
 PRIORITIES = ("5-LOW", "4-NOT SPECIFIED", "3-MEDIUM", "2-HIGH", "1-URGENT")
 
 
+def experience_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Orders per label of their priority: two are named, pending orders have none."""
+    names = {"1-URGENT": "at once", "5-LOW": "some day"}
+    known = F.when(F.col("o_orderstatus") == "P", "").otherwise(F.col("o_orderpriority"))
+    label = f.experience_label(known, names).alias("label")
+    return s.table(spark, d, "orders").groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+
+
 def top_employers(spark: SparkSession, d: str) -> DataFrame:
     return market.top_employers(s.postings(spark, d), s.employers(spark, d))
 
@@ -247,6 +255,16 @@ FROM postings"""),
 SELECT o_orderpriority AS experience_id, o_orderpriority AS label,
        5 - CAST(o_orderpriority[1] AS INTEGER) AS level, count(*) AS n
 FROM orders GROUP BY ALL""",
+    ),
+    "experience_labels": (
+        experience_labels,
+        """
+SELECT coalesce(CASE o_orderpriority WHEN '1-URGENT' THEN 'at once' WHEN '5-LOW' THEN 'some day' END,
+                nullif(CASE WHEN o_orderstatus = 'P' THEN '' ELSE o_orderpriority END, ''),
+                '%s') AS label, count(*) AS n
+FROM (SELECT CASE WHEN o_orderstatus = 'P' THEN '' ELSE o_orderpriority END AS o_orderpriority,
+             o_orderstatus FROM orders)
+GROUP BY 1""" % f.EXPERIENCE_UNKNOWN,
     ),
     "top_employers": (
         top_employers,

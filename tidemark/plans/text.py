@@ -12,7 +12,12 @@ from tidemark.functions.text import words
 from tidemark.operators import fulltext as ft
 from tidemark.operators.blocks import build_blocks, read_blocks, search_topk, write_blocks
 from tidemark.operators.chunking import chunk_documents, sentences
-from tidemark.operators.embedding import hash_embed, mixed_models, refresh_chunks
+from tidemark.operators.embedding import (
+    hash_embed,
+    hash_embedding,
+    mixed_models,
+    refresh_chunks,
+)
 from tidemark.operators.html import extract_text
 from tidemark.operators.stem import stem_index
 from tidemark.operators.ranking import spread_rows
@@ -193,7 +198,18 @@ def _indexed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def indexing_counts(spark: SparkSession, d: str) -> DataFrame:
     _, counts = _indexed(spark, d)
-    return counts.select("postings_processed", "postings_skipped")
+    return counts.select("postings_processed", "chunks_written", "postings_skipped")
+
+
+def indexed_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The chunk table after the run: whose chunks, with which text, by which model, and whether
+    the vector of each is the one that its text has by itself."""
+    table, _ = _indexed(spark, d)
+    own = F.transform(hash_embedding(F.col("content")), lambda x: x.cast("float"))
+    return table.select(
+        F.col("posting_id").alias("page_id"), "chunk_index", "content", "char_len", "model_name",
+        (F.col("embedding").cast("array<float>") == own).alias("own_vector"),
+    )
 
 
 def indexed_models(spark: SparkSession, d: str) -> DataFrame:
@@ -399,6 +415,15 @@ SELECT doc_id AS {key}, CAST(n AS INTEGER) AS chunk_index, prefix || body AS con
 FROM bodies JOIN texts USING (doc_id)"""
 
 
+_TITLED_CHUNKS_SQL = _chunks_sql(
+    f"""SELECT page_id AS doc_id, text, url || chr(10) AS prefix,
+        greatest(900 - length(url) - 1, 1) AS budget
+        FROM ({_PAGE_TEXT_SQL}) JOIN pages USING (page_id)""",
+    150,
+    "page_id",
+)
+
+
 def _search_sql(columns: str) -> str:
     return f"""
 WITH {HITS_SQL}, {_ALL_TERMS}
@@ -486,16 +511,7 @@ FROM hits GROUP BY 1""",
         document_chunks,
         _chunks_sql("SELECT doc_id, text, '' AS prefix, 300 AS budget FROM documents", 60, "doc_id"),
     ),
-    "chunk_titled_pages": (
-        titled_chunks,
-        _chunks_sql(
-            f"""SELECT page_id AS doc_id, text, url || chr(10) AS prefix,
-                greatest(900 - length(url) - 1, 1) AS budget
-                FROM ({_PAGE_TEXT_SQL}) JOIN pages USING (page_id)""",
-            150,
-            "page_id",
-        ),
-    ),
+    "chunk_titled_pages": (titled_chunks, _TITLED_CHUNKS_SQL),
     "chunk_invariants": (
         chunk_invariants,
         """
@@ -506,11 +522,17 @@ WHERE word <> '' GROUP BY doc_id""",
     ),
     "indexing_counts": (
         indexing_counts,
-        """
+        f"""
 SELECT count(*) FILTER (WHERE NOT contains(url, '/en/')) AS postings_processed,
+       (SELECT count(*) FROM ({_TITLED_CHUNKS_SQL}) JOIN pages p USING (page_id)
+        WHERE NOT contains(p.url, '/en/')) AS chunks_written,
        count(*) FILTER (WHERE contains(url, '/en/')) AS postings_skipped
 FROM pages""",
     ),
+    "indexed_chunks": (
+        indexed_chunks,
+        f"SELECT *, 'new' AS model_name, true AS own_vector FROM ({_TITLED_CHUNKS_SQL})",
+    ),
     "indexed_models": (
         indexed_models,
         "SELECT 'new' AS model_name, count(*) AS postings, CAST(0 AS BIGINT) AS mixed FROM pages",
