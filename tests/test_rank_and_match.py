@@ -129,6 +129,71 @@ def test_stored_lists_are_pruned(spark, space, tmp_path):
     assert sorted(map(tuple, near.collect())) == sorted(map(tuple, direct.collect()))
 
 
+def test_floors_and_early_output_change_nothing(spark, space, monkeypatch):
+    chunks, frame, rows, queries = space
+    want = sorted(map(tuple, v.nearest_chunks(chunks, frame, 7).collect()))
+    assert sorted(map(tuple, v.nearest_chunks(chunks, frame, 7, floor_one_in=3).collect())) == want
+    monkeypatch.setattr(v, "HELD_RECORDS", 1)
+    monkeypatch.setattr(v, "PACK_ROWS", 3)
+    assert sorted(map(tuple, v.nearest_chunks(chunks, frame, 7, block_rows=2).collect())) == want
+
+
+def test_floors_keep_rows_in_their_tasks(spark, space, request):
+    chunks, frame, rows, queries = space
+    # a chunk table this small would be broadcast, and one task would see all of it
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    request.addfinalizer(lambda: spark.conf.unset(threshold))
+    spark.conf.set(threshold, "-1")
+    asked = frame.withColumn("list_id", F.lit(0)).withColumn("floor", F.lit(None).cast("double"))
+    without = v._scored(chunks, asked, 20, False, 512).count()
+    near = v.nearest_chunks(chunks.where("chunk_index % 2 = 0"), frame, 20)
+    asked = asked.drop("floor").join(v._floors(near, 20), "query_id", "left")
+    assert v._scored(chunks, asked, 20, False, 512).count() < without
+
+
+def test_odd_vectors_and_empty_tables(spark, space):
+    chunks, frame, rows, queries = space
+    odd = spark.createDataFrame(
+        [(1, 1, [float("nan")] + [0.0] * 7), (1, 2, [None] + [0.0] * 7), (1, 3, [0.0] * 8), (None, 4, [1.0] * 8)],
+        chunks.schema,
+    )
+    near = v.nearest_chunks(odd, frame, 5)
+    assert {(r["chunk_index"], r["similarity"]) for r in near.collect()} == {(3, 0.0)}
+    assert v.nearest_chunks(chunks.limit(0), frame, 5).count() == 0
+    assert v.nearest_chunks(chunks, frame.limit(0), 5).count() == 0
+
+
+def test_planning_runs_no_job(spark, space):
+    chunks, frame, rows, queries = space
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plan", "plan")
+    v.semantic_search(chunks, frame, 6)
+    assert not tracker.getJobIdsForGroup("plan")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("collapse", [False, True])
+def test_stop_rule_is_exact_and_leaves_lists_unread(spark, collapse):
+    """Tight groups of chunks: far groups cannot hold a better chunk, so they are not read."""
+    rng = np.random.default_rng(3)
+    middles = rng.normal(size=(12, 16)) * 3
+    rows = [
+        (i % 50, i, [float(x) for x in middles[i % 12] + rng.normal(size=16) * 0.2]) for i in range(600)
+    ]
+    chunks = spark.createDataFrame(rows, "posting_id bigint, chunk_index bigint, embedding array<double>")
+    asked = [(i, [float(x) for x in middles[i] + 0.1]) for i in range(4)] + [(9, [float(x) for x in rng.normal(size=16)])]
+    frame = spark.createDataFrame(asked, "query_id int, embedding array<double>")
+    centroids = v.fit_centroids(chunks, 12)
+    listed = v.assign_lists(chunks, centroids)
+    got = v.stopped_search(
+        listed, centroids, v.list_radii(listed, centroids), frame, 5, one_per_posting=collapse
+    )
+    want = v.nearest_chunks(chunks, frame, 5, one_per_posting=collapse)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    read = {r["query_id"]: (r["lists_read"], r["lists"]) for r in got.collect()}
+    assert all(read[q][0] < read[q][1] for q in range(4))
+
+
 def test_hybrid(spark, space):
     chunks, frame, rows, queries = space
     text = spark.createDataFrame([("q0", 777, 1), ("q0", 0, 2)], "query_id string, posting_id bigint, rank int")

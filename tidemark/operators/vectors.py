@@ -1,9 +1,9 @@
 """Exact and list-based nearest-neighbour search, rank fusion and hybrid search.
 
-Queries are a small parameter table, taken in blocks.  For each block one narrow pass scores
-Arrow batches of chunk vectors against the block's query matrix, and every task keeps only
-its own best rows per query; no pair of query and chunk ever leaves the task.  Texts and
-names are looked up for the final rows only.
+Queries stay a table: queries and chunks are packed into blocks inside their tasks, blocks meet
+blocks, and each task multiplies the two matrices of a pair of blocks and keeps only its own
+best rows per query; no pair of query and chunk ever leaves the task, and nothing runs while a
+plan is made.  Texts and names are looked up for the final rows only.
 """
 
 from __future__ import annotations
@@ -13,19 +13,23 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.text import snippet
 from tidemark.operators.ranking import best_per_parent, top_k_within
-from tidemark.sources.parameters import blocks
+from tidemark.sources.shared import stored
 
-#: Query vectors per pass: an Arrow batch of some thousand rows then has a score block of
-#: a few tens of MB.
+#: Query vectors per block and chunk vectors per block: their scores take 4 MB.
 BLOCK_ROWS = 512
+PACK_ROWS = 1024
+
+#: Best rows a task holds at most, 24 bytes each.
+HELD_RECORDS = 2_000_000
 
 #: Similarities are rounded here, so equal vectors tie whatever block they fall in.
 DECIMALS = 12
@@ -68,67 +72,124 @@ def _best(parts: list[np.ndarray], k: int, one_per_posting: bool) -> np.ndarray:
 _RECORD = np.dtype([("s", "f8"), ("p", "i8"), ("c", "i8")])
 
 
-def _nearest_in_task(
-    ids: list,
-    queries: np.ndarray,
-    k: int,
-    probes: list[set[int]] | None,
-    one_per_posting: bool,
-    schema: pa.Schema,
-):
-    """Scorer of one task: its `k` best chunks (or postings by their best chunk) per query."""
-    dim = queries.shape[1]
+def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Parts of a batch with at most `rows` rows of one list each."""
+    lists = batch.column("list_id").to_numpy(zero_copy_only=False)
+    order = np.argsort(lists, kind="stable")
+    for group in np.split(order, np.flatnonzero(np.diff(lists[order])) + 1):
+        for start in range(0, len(group), rows):
+            yield int(lists[group[0]]), batch.take(pa.array(group[start : start + rows]))
+
+
+def _finite(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
+    """Rows whose vector has only finite components, and these vectors."""
+    column = batch.column("embedding")
+    sizes = pc.list_value_length(column)
+    dim = pc.max(sizes).as_py() or 0
+    vectors = _matrix(column, dim)
+    good = np.isfinite(vectors).all(axis=1)
+    return batch.filter(pa.array(good)), vectors[good]
+
+
+def _packed_queries(asked: DataFrame, rows: int) -> DataFrame:
+    """Queries of one list as one row per `rows` of them: ids, unit vectors and floors."""
+    kind, arrow_kind = _id_type(asked)
+    schema = pa.schema(
+        [
+            ("list_id", pa.int32()),
+            ("ids", pa.list_(arrow_kind)),
+            ("queries", pa.binary()),
+            ("floors", pa.list_(pa.float64())),
+        ]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[np.ndarray] = [np.empty(0, _RECORD) for _ in ids]
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            vectors = _unit_rows(_matrix(batch.column("embedding"), dim))
-            scores = np.round(vectors @ queries.T, DECIMALS)
-            posting = batch.column("posting_id").to_numpy(zero_copy_only=False)
-            chunk = batch.column("chunk_index").to_numpy(zero_copy_only=False)
-            lists = None
-            if probes is not None:
-                lists = batch.column("list_id").to_numpy(zero_copy_only=False)
-            for q in range(len(ids)):
-                keep = slice(None)
-                if lists is not None:
-                    keep = np.isin(lists, list(probes[q]))
-                column = scores[keep, q]
-                held = best[q]
-                if len(held) == k:
-                    worth = column >= held["s"][-1]
-                    if not worth.any():
-                        continue
-                else:
-                    worth = slice(None)
-                fresh = np.empty(len(column[worth]), _RECORD)
-                fresh["s"], fresh["p"], fresh["c"] = (
-                    column[worth],
-                    posting[keep][worth],
-                    chunk[keep][worth],
-                )
-                best[q] = _best([held, fresh], k, one_per_posting)
-        for q, rows in enumerate(best):
-            if len(rows):
+            for list_id, part in _slices(batch, rows) if batch.num_rows else ():
+                part, vectors = _finite(part)
+                values = [
+                    [list_id],
+                    [part.column("query_id").to_pylist()],
+                    [_unit_rows(vectors).tobytes()],
+                    [part.column("floor").to_pylist()],
+                ]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([ids[q]] * len(rows), schema.field("query_id").type),
-                        pa.array(rows["p"]),
-                        pa.array(rows["c"]),
-                        pa.array(rows["s"]),
-                    ],
-                    schema=schema,
+                    [pa.array(v, f.type) for v, f in zip(values, schema)], schema=schema
                 )
 
-    return run
+    spec = f"list_id int, ids array<{kind}>, queries binary, floors array<double>"
+    return asked.select("query_id", "embedding", "list_id", "floor").mapInArrow(run, spec)
 
 
-def _query_blocks(queries: DataFrame, rows: int) -> Iterator[tuple[list, np.ndarray]]:
-    for block in blocks(queries.select("query_id", "embedding"), rows):
-        matrix = np.array([r["embedding"] for r in block], dtype=np.float64)
-        yield [r["query_id"] for r in block], _unit_rows(matrix)
+def _packed_chunks(rows: DataFrame) -> DataFrame:
+    """Chunks of one list as one row per `PACK_ROWS` of them; no shuffle."""
+    item = rows.schema["embedding"].dataType.elementType
+    kind = np.float32 if isinstance(item, T.FloatType) else np.float64
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for list_id, part in _slices(batch, PACK_ROWS) if batch.num_rows else ():
+                part, vectors = _finite(part)
+                values = {
+                    "list_id": pa.array([list_id], pa.int32()),
+                    "postings": pa.array([part.column("posting_id").to_numpy().tobytes()], pa.binary()),
+                    "chunks": pa.array([part.column("chunk_index").to_numpy().tobytes()], pa.binary()),
+                    "vectors": pa.array([vectors.astype(kind).tobytes()], pa.binary()),
+                }
+                yield pa.RecordBatch.from_pydict(values)
+
+    keys = [F.col(c).cast("bigint").alias(c) for c in ("posting_id", "chunk_index")]
+    usable = rows.where(F.col("embedding").isNotNull() & keys[0].isNotNull() & keys[1].isNotNull())
+    return usable.select(*keys, "embedding", "list_id").mapInArrow(
+        run, "list_id int, postings binary, chunks binary, vectors binary"
+    ).withColumn("wide", F.lit(np.dtype(kind).itemsize == 8))
+
+
+def _nearest_in_task(k: int, one_per_posting: bool, kind: pa.DataType):
+    """Scorer of one task: its `k` best chunks (or postings by their best chunk) per query.
+
+    A task holds at most `HELD_RECORDS` of its best; beyond that they leave it early, which
+    costs rows but changes no result.
+    """
+    schema = pa.schema(
+        [("query_id", kind), ("posting_id", pa.int64()), ("chunk_index", pa.int64()), ("similarity", pa.float64())]
+    )
+
+    def out(best: dict) -> pa.RecordBatch:
+        ids = [q for q, rows in best.items() for _ in range(len(rows))]
+        rows = np.concatenate([*best.values(), np.empty(0, _RECORD)])
+        columns = [pa.array(ids, kind), *(pa.array(np.ascontiguousarray(rows[f])) for f in "pcs")]
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict = {}
+        for batch in batches:
+            for r in range(batch.num_rows):
+                row = {name: batch.column(name)[r] for name in batch.schema.names}
+                ids = row["ids"].as_py()
+                posting, chunk = (np.frombuffer(row[c].as_py(), np.int64) for c in ("postings", "chunks"))
+                if not ids or not len(posting):
+                    continue
+                queries = np.frombuffer(row["queries"].as_py(), np.float64).reshape(len(ids), -1)
+                flat = np.frombuffer(row["vectors"].as_py(), np.float64 if row["wide"].as_py() else np.float32)
+                vectors = flat.astype(np.float64).reshape(len(posting), -1)
+                scores = np.round(_unit_rows(vectors) @ queries.T, DECIMALS)
+                floors = np.array([-np.inf if f is None else f for f in row["floors"].as_py()])
+                for i, q in enumerate(ids):
+                    if q in best and len(best[q]) == k:
+                        floors[i] = max(floors[i], best[q]["s"][-1])
+                for i in np.flatnonzero((scores >= floors).any(axis=0)):
+                    worth = scores[:, i] >= floors[i]
+                    fresh = np.empty(int(worth.sum()), _RECORD)
+                    fresh["s"], fresh["p"], fresh["c"] = scores[worth, i], posting[worth], chunk[worth]
+                    parts = [best[ids[i]], fresh] if ids[i] in best else [fresh]
+                    best[ids[i]] = _best(parts, k, one_per_posting)
+                if len(best) * k > HELD_RECORDS:
+                    yield out(best)
+                    best = {}
+        yield out(best)
+
+    return run
 
 
 def _id_type(queries: DataFrame) -> tuple[str, pa.DataType]:
@@ -136,6 +197,34 @@ def _id_type(queries: DataFrame) -> tuple[str, pa.DataType]:
     return kind, {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}[kind]
 
 
+def _scored(chunks: DataFrame, asked: DataFrame, k: int, one_per_posting: bool, rows: int) -> DataFrame:
+    """Best rows of each task per query.  `asked` has query_id, embedding, floor and list_id;
+    chunks without a list meet every query."""
+    kind, arrow_kind = _id_type(asked)
+    listed = "list_id" in chunks.columns
+    packs = _packed_queries(asked.where(F.col("embedding").isNotNull()), rows)
+    if listed:
+        # the ids of the lists are bounded by the centroids the driver holds
+        wanted = F.broadcast(asked.select("list_id").distinct())
+        pairs = _packed_chunks(chunks.join(wanted, "list_id", "left_semi")).join(packs, "list_id")
+    else:
+        # blocks of queries against blocks of chunks: a stated query set meets every chunk
+        pairs = _packed_chunks(chunks.withColumn("list_id", F.lit(0))).drop("list_id").crossJoin(packs)
+    pairs = pairs.select("ids", "queries", "floors", "postings", "chunks", "vectors", "wide")
+    scorer = _nearest_in_task(k, one_per_posting, arrow_kind)
+    return pairs.mapInArrow(scorer, _NEAREST.format(kind=kind))
+
+
+def _ranked(rows: DataFrame, k: int, one_per_posting: bool) -> DataFrame:
+    rows = _one_per_posting(rows) if one_per_posting else rows
+    return top_k_within(rows, "query_id", nearest_order(), k)
+
+
+def _floors(found: DataFrame, k: int) -> DataFrame:
+    """The k-th best similarity of each query that has k rows: none below it can matter."""
+    return found.where(F.col("rank") == k).select("query_id", F.col("similarity").alias("floor"))
+
+
 def nearest_chunks(
     chunks: DataFrame,
     queries: DataFrame,
@@ -144,42 +233,32 @@ def nearest_chunks(
     nprobe: int | None = None,
     block_rows: int = BLOCK_ROWS,
     one_per_posting: bool = False,
+    floor_one_in: int | None = None,
 ) -> DataFrame:
     """The `k` most similar chunks of each query, ranked from 1.
 
     With `one_per_posting` only the best chunk of a posting counts: the `k` best postings of all
     are among the `k` best of the task that holds their best chunk, so tasks stay independent.
-    `queries` has `query_id` and `embedding`.  With `centroids`, the chunks carry a `list_id`
+    `queries` has unique `query_id` and `embedding`.  With `centroids`, the chunks carry a `list_id`
     (see `assign_lists`) and each query looks only into the `nprobe` lists nearest to it;
     a table partitioned by `list_id` is then read only in part.
+
+    With `floor_one_in` one chunk in so many, chosen by a hash of its keys, is searched first; the
+    k-th similarity found there travels with the query, so later tasks emit nothing below it.
+    Vectors that are null or hold null or non-finite components take no part.
     """
-    kind, arrow_kind = _id_type(queries)
-    schema = pa.schema(
-        [
-            ("query_id", arrow_kind),
-            ("posting_id", pa.int64()),
-            ("chunk_index", pa.int64()),
-            ("similarity", pa.float64()),
-        ]
-    )
-    keys = [F.col(c).cast("bigint").alias(c) for c in ("posting_id", "chunk_index")]
-    usable = chunks.where(F.col("embedding").isNotNull())
-    found = []
-    for ids, matrix in _query_blocks(queries, block_rows):
-        rows, probes = usable, None
-        if centroids is not None:
-            near = np.argsort(-(matrix @ centroids.T), axis=1, kind="stable")[:, :nprobe]
-            probes = [set(map(int, row)) for row in near]
-            rows = rows.where(F.col("list_id").isin(*sorted(set().union(*probes))))
-        columns = [*keys, "embedding", *(["list_id"] if centroids is not None else [])]
-        scorer = _nearest_in_task(ids, matrix, k, probes, one_per_posting, schema)
-        found.append(rows.select(*columns).mapInArrow(scorer, _NEAREST.format(kind=kind)))
-    if not found:
-        return chunks.sparkSession.createDataFrame([], _NEAREST.format(kind=kind) + ", rank int")
-    rows = reduce(DataFrame.unionByName, found)
-    if one_per_posting:
-        rows = _one_per_posting(rows)
-    return top_k_within(rows, "query_id", nearest_order(), k)
+    plain = queries.select("query_id", "embedding")
+    if centroids is None:
+        rows, asked = chunks.drop("list_id"), plain.withColumn("list_id", F.lit(0))
+    else:
+        near = list_angles(plain, centroids).where(F.col("place") < (nprobe or len(centroids)))
+        rows, asked = chunks, plain.join(near.select("query_id", "list_id"), "query_id")
+    asked = asked.withColumn("floor", F.lit(None).cast("double"))
+    if floor_one_in:
+        part = F.pmod(F.xxhash64("posting_id", "chunk_index"), F.lit(floor_one_in)) == 0
+        first = _ranked(_scored(rows.where(part), asked, k, one_per_posting, block_rows), k, one_per_posting)
+        asked = asked.drop("floor").join(_floors(first, k), "query_id", "left")
+    return _ranked(_scored(rows, asked, k, one_per_posting, block_rows), k, one_per_posting)
 
 
 def _one_per_posting(rows: DataFrame) -> DataFrame:
@@ -271,6 +350,98 @@ def assign_lists(chunks: DataFrame, centroids: np.ndarray) -> DataFrame:
     return chunks.mapInArrow(run, spec)
 
 
+def _angles(batch: pa.RecordBatch, centroids: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
+    """Rows with a usable vector, and the angle of each to each centroid."""
+    kept, vectors = _finite(batch.filter(batch.column("embedding").is_valid()))
+    if not len(vectors):
+        return kept, np.empty((0, len(centroids)))
+    return kept, np.arccos(np.clip(_unit_rows(vectors) @ _unit_rows(centroids).T, -1, 1))
+
+
+def list_angles(queries: DataFrame, centroids: np.ndarray) -> DataFrame:
+    """A row per query and list: its `place` from 0 for the nearest centroid, and the angle."""
+    kind, arrow_kind = _id_type(queries)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, angles = _angles(batch, centroids)
+            order = np.argsort(np.round(angles, DECIMALS), axis=1, kind="stable")
+            ids = kept.column("query_id").take(pa.array(np.repeat(np.arange(len(angles)), len(centroids))))
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "query_id": ids.cast(arrow_kind),
+                    "list_id": pa.array(order.ravel().astype(np.int32)),
+                    "place": pa.array(np.tile(np.arange(len(centroids), dtype=np.int32), len(angles))),
+                    "angle": pa.array(np.take_along_axis(angles, order, axis=1).ravel()),
+                }
+            )
+
+    spec = f"query_id {kind}, list_id int, place int, angle double"
+    return queries.select("query_id", "embedding").mapInArrow(run, spec)
+
+
+def list_radii(listed: DataFrame, centroids: np.ndarray) -> DataFrame:
+    """The largest angle between a list's centroid and one of its chunks: one row per used list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        widest: dict[int, float] = {}
+        for batch in batches:
+            kept, angles = _angles(batch, centroids)
+            lists = kept.column("list_id").to_numpy(zero_copy_only=False)
+            for one in np.unique(lists):
+                widest[int(one)] = max(widest.get(int(one), 0.0), float(angles[lists == one, one].max()))
+        yield pa.RecordBatch.from_pydict(
+            {"list_id": pa.array(widest.keys(), pa.int32()), "radius": pa.array(widest.values(), pa.float64())}
+        )
+
+    found = listed.select("list_id", "embedding").mapInArrow(run, "list_id int, radius double")
+    return found.groupBy("list_id").agg(F.max("radius").alias("radius"))
+
+
+def stopped_search(
+    listed: DataFrame,
+    centroids: np.ndarray,
+    radii: DataFrame,
+    queries: DataFrame,
+    k: int,
+    nprobe: int = 1,
+    one_per_posting: bool = False,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """The exact `k` best chunks of each query, reading only lists that can hold one of them.
+
+    The `nprobe` nearest lists give each query a floor, its k-th similarity so far.  By the triangle
+    inequality of angles no chunk of a list is nearer than the angle to its centroid less the
+    list's radius; lists that cannot reach the floor so are left unread.  A query with fewer than `k`
+    chunks so far reads every list.  `lists_read` and `lists` say how many of the used lists a
+    query read.  The first pass is stored in the shared folder.
+    """
+    plain = queries.select("query_id", "embedding")
+    # one row per list: bounded by the centroids the driver holds
+    reach = list_angles(plain, centroids).join(F.broadcast(radii), "list_id").withColumn(
+        "reach", F.cos(F.greatest(F.col("angle") - F.col("radius"), F.lit(0.0)))
+    )
+    nearest = Window.partitionBy("query_id").orderBy("place")
+    reach = reach.withColumn("place", F.row_number().over(nearest) - 1)
+    first_lists = reach.where(F.col("place") < nprobe).select("query_id", "list_id")
+    asked = plain.join(first_lists, "query_id").withColumn("floor", F.lit(None).cast("double"))
+    first = stored(
+        _ranked(_scored(listed, asked, k, one_per_posting, block_rows), k, one_per_posting), "probe"
+    )
+    more = reach.where(F.col("place") >= nprobe).join(_floors(first, k), "query_id", "left")
+    # similarities are rounded; the slack keeps a list whose bound is the floor itself
+    more = more.where(F.col("floor").isNull() | (F.col("reach") >= F.col("floor") - 1e-9))
+    rest = _scored(listed, plain.join(more.select("query_id", "list_id", "floor"), "query_id"), k, one_per_posting, block_rows)
+    both = first.drop("rank").unionByName(rest)
+    further = more.groupBy("query_id").agg(F.count(F.lit(1)).alias("further"))
+    read = reach.groupBy("query_id").agg(F.count(F.lit(1)).alias("lists")).join(further, "query_id", "left").select(
+        "query_id",
+        (F.least(F.lit(nprobe), F.col("lists")) + F.coalesce("further", F.lit(0))).alias("lists_read"),
+        "lists",
+    )
+    return _ranked(both, k, one_per_posting).join(read, "query_id")
+
+
 def write_lists(listed: DataFrame, path: str, splits: int = 8) -> None:
     """Store chunks by list, so that a probe reads only the folders of its lists.
 

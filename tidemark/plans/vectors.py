@@ -104,6 +104,17 @@ def approx_part(spark: SparkSession, d: str) -> DataFrame:
     return hits.withColumn("similarity", F.round("similarity", 6))
 
 
+def stopped(spark: SparkSession, d: str) -> DataFrame:
+    """Exact search that leaves lists unread which cannot hold one of the ten best; the lists
+    lie around the label means, which bound them by the labels."""
+    means = label_means(spark, d)
+    rows = [r["embedding"] for r in means.orderBy("query_id").collect()]
+    centroids = np.array(rows) / np.linalg.norm(rows, axis=1, keepdims=True)
+    listed = v.assign_lists(s.chunks(spark, d), centroids)
+    hits = v.stopped_search(listed, centroids, v.list_radii(listed, centroids), means, 10)
+    return hits.withColumn("similarity", F.round("similarity", 6))
+
+
 def text_ranks(spark: SparkSession, d: str) -> DataFrame:
     """Ranked text hits per label."""
     ranks = ft.text_rank(index(spark, d), {str(k): w for k, w in LABEL_WORDS.items()})
@@ -266,6 +277,26 @@ best AS (SELECT query_id, posting_id, max(s) AS s, arg_max(chunk_index, (s, -chu
 SELECT query_id, posting_id, chunk_index, round(s, 6) AS similarity,
        row_number() OVER (PARTITION BY query_id ORDER BY s DESC, posting_id, chunk_index) AS rank
 FROM best WHERE s >= 0 QUALIFY rank <= 5"""),
+    ),
+    "approx_stopped": (
+        stopped,
+        _whole_rank(f"""
+WITH {MEANS_SQL},
+far AS (SELECT vec_id, m.query_id AS list, list_cosine_similarity(embedding::DOUBLE[], m.q) AS c
+        FROM embeddings, means m),
+lists AS (SELECT vec_id, arg_max(list, c) AS list, acos(least(max(c), 1)) AS angle FROM far GROUP BY vec_id),
+radii AS (SELECT list, max(angle) AS radius FROM lists GROUP BY list),
+reach AS (SELECT a.query_id, list, acos(greatest(-1, least(1, list_cosine_similarity(a.q, b.q)))) AS angle, radius,
+            row_number() OVER (PARTITION BY a.query_id ORDER BY list_cosine_similarity(a.q, b.q) DESC, list) AS place
+          FROM means a, radii JOIN means b ON b.query_id = list),
+own AS (SELECT query_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC) AS r
+        FROM sims JOIN lists ON lists.vec_id = chunk_index JOIN reach USING (query_id, list) WHERE place = 1),
+floors AS (SELECT query_id, s AS floor FROM own WHERE r = 10),
+reads AS (SELECT query_id, count(*) AS lists,
+            count(*) FILTER (WHERE place = 1 OR floor IS NULL OR cos(greatest(angle - radius, 0)) >= floor - 1e-9) AS lists_read
+          FROM reach LEFT JOIN floors USING (query_id) GROUP BY query_id)
+SELECT query_id, posting_id, chunk_index, round(s, 6) AS similarity, rank, lists_read, lists
+FROM near JOIN reads USING (query_id) WHERE rank <= 10"""),
     ),
     "rrf": (
         fuse,

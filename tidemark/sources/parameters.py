@@ -1,12 +1,10 @@
-"""Small parameter tables: labelled queries and candidate profiles.
+"""Parameter tables: labelled queries and candidate profiles.
 
-They are written by hand, yet their size is never taken on trust: `blocks` hands them
-to the driver in blocks of a fixed size, and operators make one pass per block.
+They are written by hand, yet their size is never taken on trust: they stay tables.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -15,21 +13,6 @@ from pyspark.sql import functions as F
 from tidemark import schemas
 from tidemark.functions.text import norm_name
 
-#: Rows of a parameter table held by one pass over the data.
-BLOCK_ROWS = 2048
-
-
-def blocks(df: DataFrame, rows: int = BLOCK_ROWS) -> Iterator[list[Row]]:
-    """Rows of a parameter table in blocks of at most `rows`."""
-    held: list[Row] = []
-    for row in df.toLocalIterator():
-        held.append(row)
-        if len(held) == rows:
-            yield held
-            held = []
-    if held:
-        yield held
-
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
     """Labelled relevance queries from JSON."""
