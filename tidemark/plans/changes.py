@@ -14,8 +14,11 @@ from tidemark import schemas
 from tidemark.functions import fields as f
 from tidemark.functions.text import norm_name
 from tidemark.operators import lifecycle as lc
+from tidemark.operators import rollup as ru
 from tidemark.operators.windows import bisect_windows
 from tidemark.plans import standin as s
+from tidemark.sources.bucketed import BucketedTable
+from tidemark.sources.shared import shared_path
 
 #: Events before this moment are already in the target table.
 HALF = "2024-01-16 00:00:00"
@@ -59,6 +62,34 @@ def upsert_partial(spark: SparkSession, d: str) -> DataFrame:
     return lc.upsert_postings(target, batch, FEED, _at("2024-02-02 00:00:00"))
 
 
+def upsert_bucketed(spark: SparkSession, d: str) -> DataFrame:
+    """The same through a table in key buckets: only the buckets of the batch are rewritten."""
+    target, batch = _halves(spark, d)
+    table = BucketedTable(spark, shared_path(spark, "cards"), "posting_id", target.schema, buckets=32)
+    table.replace(target)
+    moment = _at("2024-02-02 00:00:00")
+    table.merge(batch, lambda old, new: lc.upsert_postings(old, new, FEED, moment))
+    return table.read()
+
+
+ROLLUP = ("title",)
+
+
+def rollup_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Salaries by title after the batch, from the stored roll-up and the touched postings."""
+    target, batch = _halves(spark, d)
+    after = lc.upsert_postings(target, batch, FEED, _at("2024-02-02 00:00:00"))
+    touched = batch.select("posting_id").distinct()
+    changes = ru.signed_changes(
+        target.join(touched, "posting_id", "left_semi"),
+        after.join(touched, "posting_id", "left_semi"),
+        ROLLUP,
+        "salary_from",
+    )
+    counts = ru.apply_changes(ru.rollup(target, ROLLUP, "salary_from"), changes, ROLLUP, "salary_from")
+    return ru.slice_statistics(counts, ROLLUP, "salary_from")
+
+
 def upsert_counts(spark: SparkSession, d: str) -> DataFrame:
     target, batch = _halves(spark, d)
     return lc.upsert_counts(target, batch)
@@ -181,10 +212,7 @@ _LATEST = """
     FROM events)
 """
 
-QUERIES = {
-    "upsert_partial": (
-        upsert_partial,
-        f"""
+UPSERT_SQL = f"""
 WITH {_LATEST},
 known AS (SELECT user_id, description,
     row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS age
@@ -195,7 +223,20 @@ SELECT f.user_id AS posting_id, f.event_type AS title, f.amount AS salary_from,
                     WHEN max(e.ts) IS NOT NULL THEN TIMESTAMP '2024-02-02' END
         FROM events e WHERE e.user_id = f.user_id AND e.event_type = 'purchase') AS detail_fetched_at
 FROM feed f LEFT JOIN known k ON k.user_id = f.user_id AND k.age = 1
-WHERE f.age = 1""",
+WHERE f.age = 1"""
+
+QUERIES = {
+    "upsert_partial": (upsert_partial, UPSERT_SQL),
+    "upsert_bucketed": (upsert_bucketed, UPSERT_SQL),
+    "rollup_upsert": (
+        rollup_upsert,
+        f"""
+WITH {_LATEST}
+SELECT event_type AS title, count(*) AS total, count(amount) AS with_amount,
+       CAST(trunc(quantile_cont(amount, 0.25)) AS BIGINT) AS p25,
+       CAST(trunc(quantile_cont(amount, 0.5)) AS BIGINT) AS p50,
+       CAST(trunc(quantile_cont(amount, 0.75)) AS BIGINT) AS p75
+FROM feed WHERE age = 1 GROUP BY event_type""",
     ),
     "upsert_counts": (
         upsert_counts,
