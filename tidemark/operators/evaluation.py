@@ -8,6 +8,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import words
+from tidemark.operators.fulltext import rank_terms
+from tidemark.operators.ranking import top_k_within
+from tidemark.operators.vectors import fuse_hits, semantic_search
+from tidemark.sources.shared import stored
+
+#: The searches that `method_rankings` judges.
+SEARCHES = ("text", "semantic", "hybrid")
 
 #: Stands for the end of a literal run, and before a character that is meant as itself.
 _BREAK, _SELF = "\ue001", "\ue000"
@@ -107,6 +115,48 @@ def ground_truth(queries: DataFrame, postings: DataFrame, title: str = "title")
     return reduce(DataFrame.unionByName, [explicit, *matched]).distinct()
 
 
+def whole_text_terms(queries: DataFrame) -> DataFrame:
+    """`(query_id, term, ordinal, n_terms)`: every distinct word of the text of a query.
+
+    A null text, or one without words, asks for nothing and has no row.
+    """
+    listed = F.array_distinct(words(F.col("query")))
+    rows = queries.where(F.col("query").isNotNull()).select(
+        "query_id", F.size(listed).alias("n_terms"), F.posexplode_outer(listed).alias("ordinal", "term")
+    )
+    return rows.where(F.col("term").isNotNull()).select("query_id", "term", "ordinal", "n_terms")
+
+
+def method_rankings(
+    index: DataFrame,
+    chunks: DataFrame,
+    queries: DataFrame,
+    vectors: DataFrame,
+    limit: int = 10,
+    semantic_weight: float = 0.5,
+    depth: int | None = None,
+) -> DataFrame:
+    """`(method, query_id, posting_id, rank)`: what the three searches return for whole query texts.
+
+    `queries` has `query_id` and `query`, `vectors` the `query_id` and `embedding` of its texts.
+    Text search asks for all words of the text in `index`, semantic search for the best chunk of
+    each posting, hybrid search fuses the first `depth` of both, four times `limit` unless given,
+    as `hybrid_search` does.  Both lists, at most `depth` rows a query, are stored in the shared
+    folder, so that texts and vectors are searched once.
+    """
+    depth = 4 * limit if depth is None else depth
+    ranked = rank_terms(index, whole_text_terms(queries)).withColumnRenamed("rank", "score")
+    best_first = [F.desc("score"), F.asc("posting_id")]
+    text = stored(top_k_within(ranked, "query_id", best_first, depth), "text-hits")
+    near = stored(semantic_search(chunks, vectors, limit=depth), "near-hits")
+    found = dict(zip(SEARCHES, (text, near, fuse_hits(text, near, limit, semantic_weight))))
+    parts = [
+        rows.where(F.col("rank") <= limit).select(F.lit(name).alias("method"), "query_id", "posting_id", "rank")
+        for name, rows in found.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _per_query(
     rankings: DataFrame, truth: DataFrame, methods: Sequence[str], ks: Sequence[int]
 ) -> DataFrame:

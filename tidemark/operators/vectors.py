@@ -498,15 +498,38 @@ def hybrid_search(
     """
     depth = 4 * limit if depth is None else depth
     near = semantic_search(chunks, queries, limit=depth)
-    text = text_ranks.where(F.col("rank") <= depth)
-    fused = rrf([near, text], [semantic_weight, 1 - semantic_weight], k)
-    joined = fused.join(
-        near.select("query_id", "posting_id", "similarity", "chunk_index", F.col("rank").alias("_near")),
-        ["query_id", "posting_id"],
-        "left",
+    return fuse_hits(text_ranks.where(F.col("rank") <= depth), near, limit, semantic_weight, k)
+
+
+def fuse_hits(
+    text_ranks: DataFrame, near: DataFrame, limit: int = 10, semantic_weight: float = 0.5, k: int = 60
+) -> DataFrame:
+    """Fusion by rank of a text list and hits of `semantic_search`, each read once: similarity and
+    chunk travel through the grouping that adds up the parts of `rrf`."""
+    weights = {"near": semantic_weight, "text": 1 - semantic_weight}
+
+    def part(rows: DataFrame, name: str) -> DataFrame:
+        own = (lambda c: F.col(c)) if name == "near" else (lambda c: F.lit(None))
+        return rows.select(
+            "query_id",
+            "posting_id",
+            (F.lit(float(weights[name])) / (k + F.col("rank"))).alias("part"),
+            own("similarity").cast("double").alias("similarity"),
+            own("chunk_index").cast("bigint").alias("chunk_index"),
+            own("rank").cast("int").alias("_near"),
+        )
+
+    fused = (
+        part(near, "near")
+        .unionByName(part(text_ranks, "text"))
+        .groupBy("query_id", "posting_id")
+        .agg(
+            F.round(F.sum("part"), DECIMALS).alias("score"),
+            *[F.max(c).alias(c) for c in ("similarity", "chunk_index", "_near")],
+        )
     )
     order = [F.desc("score"), F.asc_nulls_last("_near"), F.asc("posting_id")]
-    return top_k_within(joined, "query_id", order, limit).select(
+    return top_k_within(fused, "query_id", order, limit).select(
         "query_id",
         "rank",
         "posting_id",

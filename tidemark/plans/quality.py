@@ -1,7 +1,8 @@
 """Profile matching and retrieval evaluation.
 
 Benchmark texts act as labelled queries: the documents that contain one are relevant to
-it.  Two rankings are judged, by the longest and by the shortest word of the query.
+it.  Two rankings are judged by the longest and the shortest word of the query, and the text,
+semantic and hybrid searches by its whole text.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from tidemark.sources.parameters import Profile
 
 METHODS = ("longest", "shortest")
 KS = (1, 5, 10)
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
 def profile() -> Profile:
@@ -149,6 +151,10 @@ def retrieval_failures(spark: SparkSession, d: str) -> DataFrame:
         METHODS,
         KS,
     )
+    return _failure_rows(found)
+
+
+def _failure_rows(found: DataFrame) -> DataFrame:
     shown = F.transform(
         "returned", lambda r: F.concat_ws(":", r["rank"].cast("string"), r["posting_id"].cast("string"))
     )
@@ -160,6 +166,55 @@ def retrieval_failures(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _letter_counts(text):
+    """How often each letter a to z stands in a text, either case: vectors that SQL can make too.
+    A text without any has none."""
+    counts = F.array(
+        *[
+            (F.length(text) - F.length(F.regexp_replace(text, f"[{x}{x.upper()}]", ""))).cast("double")
+            for x in LETTERS
+        ]
+    )
+    return F.when(F.exists(counts, lambda n: n > 0), counts)
+
+
+def labelled_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark texts, every fourth labelled by an id instead of a pattern."""
+    by_id = F.col("query_id").cast("bigint") % 4 == 0
+    own = F.array(F.col("query_id").cast("bigint"))
+    return benchmark_queries(spark, d).withColumn(
+        "relevant_ids", F.when(by_id, own).otherwise(F.col("relevant_ids"))
+    )
+
+
+def search_rankings(spark: SparkSession, d: str) -> DataFrame:
+    """Ten best documents per whole benchmark text and search; lines are the chunks."""
+    queries = labelled_queries(spark, d)
+    lines = s.table(spark, d, "documents").select(
+        F.col("doc_id").alias("posting_id"), F.posexplode(F.split("text", "\n")).alias("chunk_index", "line")
+    )
+    chunks = lines.select("posting_id", "chunk_index", _letter_counts(F.col("line")).alias("embedding"))
+    vectors = queries.select("query_id", _letter_counts(F.col("query")).alias("embedding"))
+    return ev.method_rankings(ft.build_index(s.document_texts(spark, d)), chunks, queries, vectors, max(KS), 0.4)
+
+
+def search_metrics(spark: SparkSession, d: str) -> DataFrame:
+    queries = labelled_queries(spark, d)
+    found = ev.evaluate_rankings(
+        search_rankings(spark, d), ev.ground_truth(queries, _whole_texts(spark, d)), queries, ev.SEARCHES, KS
+    )
+    return found.withColumn("value", F.round("value", 6))
+
+
+def search_failures(spark: SparkSession, d: str) -> DataFrame:
+    queries = labelled_queries(spark, d)
+    truth_ = ev.ground_truth(queries, _whole_texts(spark, d))
+    found = ev.retrieval_failures(
+        search_rankings(spark, d), truth_, s.document_texts(spark, d), queries, ev.SEARCHES, KS
+    )
+    return _failure_rows(found)
+
+
 RANKINGS_SQL = f"""
   {HITS_SQL},
   bw AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS term
@@ -183,7 +238,7 @@ RANKINGS_SQL = f"""
 """
 
 
-def _metric_sql() -> str:
+def _metric_sql(rankings_sql: str) -> str:
     parts = []
     for k in KS:
         inner = f"""SELECT method, query_id, expected, count(*) FILTER (WHERE rank <= {k}) AS h
@@ -196,7 +251,77 @@ def _metric_sql() -> str:
     parts.append("""SELECT method, 'skipped', NULL,
         (SELECT count(*) FROM benchmark) - count(DISTINCT query_id) FROM judged GROUP BY 1""")
     body = " UNION ALL ".join(parts)
-    return f"WITH {RANKINGS_SQL} SELECT method, metric, k, round(value, 6) AS value FROM ({body})"
+    return f"WITH {rankings_sql} SELECT method, metric, k, round(value, 6) AS value FROM ({body})"
+
+
+def _failure_sql(rankings_sql: str) -> str:
+    return f"""
+WITH {rankings_sql}
+SELECT j.method, j.query_id, any_value(j.expected) AS expected,
+       coalesce((SELECT string_agg(r.rank || ':' || r.posting_id, '|' ORDER BY r.rank) FROM rankings r
+                 WHERE r.method = j.method AND r.query_id = j.query_id AND r.rank <= 5), '') AS returned
+FROM judged j GROUP BY j.method, j.query_id
+HAVING count(*) FILTER (WHERE j.rank <= 5) = 0"""
+
+
+def _letters_sql(text: str) -> str:
+    counts = ", ".join(
+        f"(length({text}) - length(regexp_replace({text}, '[{x}{x.upper()}]', '', 'g')))::DOUBLE" for x in LETTERS
+    )
+    return f"[{counts}]"
+
+
+SEARCHES_SQL = f"""
+  {HITS_SQL},
+  qt AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS term
+         FROM benchmark),
+  sizes AS (SELECT item_id, count(*) AS n FROM qt GROUP BY 1),
+  full_match AS (SELECT item_id, posting_id, n
+                 FROM qt JOIN (SELECT DISTINCT term, posting_id FROM hits) USING (term) JOIN sizes USING (item_id)
+                 GROUP BY ALL HAVING count(*) = n),
+  qh AS (SELECT item_id, posting_id, n, term, pos, w
+         FROM full_match JOIN qt USING (item_id) JOIN hits USING (term, posting_id)),
+  ahead AS (SELECT x.item_id, x.posting_id, x.n, x.pos AS b, y.term, min(y.pos) AS a
+            FROM qh x JOIN qh y ON x.item_id = y.item_id AND x.posting_id = y.posting_id AND y.pos >= x.pos
+            GROUP BY ALL),
+  ends AS (SELECT item_id, posting_id, n, b, max(a) AS e FROM ahead GROUP BY ALL HAVING count(*) = n),
+  covers AS (SELECT item_id, posting_id, n, e, max(b) AS b FROM ends GROUP BY ALL),
+  means AS (SELECT item_id, posting_id, n, b, e, avg(w) AS mean
+            FROM (SELECT c.item_id, c.posting_id, c.n, c.b, c.e, q.term, arg_max(q.w, q.pos) AS w
+                  FROM covers c JOIN qh q ON c.item_id = q.item_id AND c.posting_id = q.posting_id AND q.pos <= c.e
+                  GROUP BY ALL)
+            GROUP BY ALL),
+  txt AS (SELECT item_id, posting_id,
+            row_number() OVER (PARTITION BY item_id
+              ORDER BY round(sum(mean / (1 + (e - b + 1 - n))), 9) DESC, posting_id) AS r
+          FROM means GROUP BY item_id, posting_id QUALIFY r <= 40),
+  lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+  lv AS (SELECT doc_id, {_letters_sql("line")} AS v FROM lines),
+  qv AS (SELECT item_id, {_letters_sql("text")} AS q FROM benchmark),
+  best AS (SELECT item_id, doc_id AS posting_id, max(round(list_cosine_similarity(v, q), 12)) AS s
+           FROM lv, qv WHERE list_sum(v) > 0 AND list_sum(q) > 0 GROUP BY ALL),
+  vec AS (SELECT item_id, posting_id, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, posting_id) AS r
+          FROM best QUALIFY r <= 40),
+  fused AS (SELECT coalesce(v.item_id, t.item_id) AS item_id, coalesce(v.posting_id, t.posting_id) AS posting_id,
+              coalesce(0.4::DOUBLE / (60 + v.r), 0) + coalesce(0.6::DOUBLE / (60 + t.r), 0) AS score, v.r AS near
+            FROM vec v FULL JOIN txt t ON v.item_id = t.item_id AND v.posting_id = t.posting_id),
+  both_ AS (SELECT item_id, posting_id,
+              row_number() OVER (PARTITION BY item_id ORDER BY round(score, 12) DESC, near NULLS LAST, posting_id) AS r
+            FROM fused),
+  rankings AS (
+    SELECT method, CAST(item_id AS VARCHAR) AS query_id, posting_id, r AS rank
+    FROM (SELECT 'text' AS method, * FROM txt UNION ALL SELECT 'semantic', * FROM vec UNION ALL SELECT 'hybrid', * FROM both_)
+    WHERE r <= 10),
+  truth AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS query_id, doc_id AS posting_id
+            FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE item_id % 4 <> 0
+            UNION ALL SELECT CAST(item_id AS VARCHAR), item_id FROM benchmark WHERE item_id % 4 = 0),
+  expected AS (SELECT query_id, count(*) AS expected FROM truth GROUP BY 1),
+  methods AS (SELECT unnest(['text', 'semantic', 'hybrid']) AS method),
+  judged AS (SELECT m.method, e.query_id, e.expected, r.rank, r.posting_id
+             FROM methods m CROSS JOIN expected e
+             LEFT JOIN (SELECT r.* FROM rankings r JOIN truth USING (query_id, posting_id)) r
+               ON r.method = m.method AND r.query_id = e.query_id)
+"""
 
 
 QUERIES = {
@@ -264,15 +389,8 @@ FROM r""",
 SELECT DISTINCT CAST(item_id AS VARCHAR) AS query_id, doc_id AS posting_id
 FROM benchmark b JOIN documents d ON contains(d.text, b.text)""",
     ),
-    "retrieval_metrics": (retrieval_metrics, _metric_sql()),
-    "retrieval_failures": (
-        retrieval_failures,
-        f"""
-WITH {RANKINGS_SQL}
-SELECT j.method, j.query_id, any_value(j.expected) AS expected,
-       coalesce((SELECT string_agg(r.rank || ':' || r.posting_id, '|' ORDER BY r.rank) FROM rankings r
-                 WHERE r.method = j.method AND r.query_id = j.query_id AND r.rank <= 5), '') AS returned
-FROM judged j GROUP BY j.method, j.query_id
-HAVING count(*) FILTER (WHERE j.rank <= 5) = 0""",
-    ),
+    "retrieval_metrics": (retrieval_metrics, _metric_sql(RANKINGS_SQL)),
+    "retrieval_failures": (retrieval_failures, _failure_sql(RANKINGS_SQL)),
+    "search_metrics": (search_metrics, _metric_sql(SEARCHES_SQL)),
+    "search_failures": (search_failures, _failure_sql(SEARCHES_SQL)),
 }
