@@ -224,6 +224,19 @@ def _row_columns(p: Column, order: tuple[str, ...]) -> list[dict[str, Column]]:
     ]
 
 
+def match_rows(
+    pairs: DataFrame, order: tuple[str, ...], verdicts: Sequence[str]
+) -> DataFrame:
+    """Matches of posting rows (with `skills`) and their profile, a struct `_p`."""
+    out = pairs
+    for group in _row_columns(F.col("_p"), order):
+        out = out.select("*", *[c.alias(name) for name, c in group.items()])
+    return out.where(F.col("verdict").isin(*verdicts)).select(
+        F.col("_p.title").alias("profile"), "posting_id", "verdict", "score",
+        "matched_skills", "missing_skills", "blockers", "notes",
+    )
+
+
 def match_profiles(
     postings: DataFrame,
     profiles: Sequence[Profile],
@@ -242,15 +255,8 @@ def match_profiles(
     parts = []
     for begin in range(0, len(profiles), PROFILE_BLOCK):
         text = json.dumps([asdict(p) for p in profiles[begin : begin + PROFILE_BLOCK]])
-        out = postings.withColumn("_p", F.explode(F.from_json(F.lit(text), _PROFILE)))
-        for group in _row_columns(F.col("_p"), order):
-            out = out.select("*", *[c.alias(name) for name, c in group.items()])
-        parts.append(
-            out.where(F.col("verdict").isin(*verdicts)).select(
-                F.col("_p.title").alias("profile"), "posting_id", "verdict", "score",
-                "matched_skills", "missing_skills", "blockers", "notes",
-            )
-        )
+        met = postings.withColumn("_p", F.explode(F.from_json(F.lit(text), _PROFILE)))
+        parts.append(match_rows(met, order, verdicts))
     found = reduce(DataFrame.unionByName, parts)
     if top_n is None:
         return found

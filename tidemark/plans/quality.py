@@ -15,6 +15,7 @@ from tidemark.operators import evaluation as ev
 from tidemark.operators import fulltext as ft
 from tidemark.operators.matching import match_profile, match_profiles, with_skills
 from tidemark.operators.ranking import spread_rows, top_k_within
+from tidemark.operators.setjoin import good_matches
 from tidemark.plans import standin as s
 from tidemark.plans.market import LINKS_SQL, POSTINGS_SQL, PRIORITIES
 from tidemark.plans.text import HITS_SQL
@@ -88,6 +89,42 @@ def match_many(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def customer_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """A profile per customer: nation and key pick its skills, the balance its salary."""
+    key = F.col("c_custkey")
+    none = F.array().cast("array<string>")
+
+    def skill(name: str, number):
+        return F.concat(F.lit(f"{name} brand#"), number.cast("string"))
+
+    return s.table(spark, d, "customer").select(
+        F.col("c_name").alias("title"),
+        F.create_map(
+            skill("red widget", F.col("c_nationkey") + 1), F.lit("strong"),
+            skill("blue bolt", key % 25 + 1), F.lit("basic"),
+            skill("hot gear", key % 5 + 1), F.lit("working"),
+        ).alias("skills"),
+        none.alias("missing"),
+        (F.greatest(F.floor("c_acctbal"), F.lit(0)) * 20).cast("int").alias("salary_min_base"),
+        (key % 2 == 0).alias("remote_only"),
+        none.alias("employment"),
+        F.lit("2-HIGH").alias("max_experience"),
+        none.alias("red_flags"),
+        none.alias("green_flags"),
+    )
+
+
+def match_set_join(spark: SparkSession, d: str) -> DataFrame:
+    """Orders that suit each customer's profile; the profiles stay a table."""
+    found = good_matches(
+        s.postings(spark, d), s.links(spark, d), customer_profiles(spark, d), PRIORITIES
+    )
+    return found.select(
+        "profile", "posting_id", F.round("score", 6).alias("score"),
+        F.array_join("matched_skills", "|").alias("matched_skills"),
+    )
+
+
 def benchmark_queries(spark: SparkSession, d: str) -> DataFrame:
     """Labelled queries: the escaped text is the pattern."""
     escaped = F.regexp_replace("text", r"([\\.^$|?*+()\[\]{}])", r"\\$1")
@@ -342,6 +379,27 @@ SELECT profile, posting_id, matched_skills,
 FROM hits JOIN sizes USING (posting_id) JOIN postings p USING (posting_id)
 WHERE m / n::DOUBLE >= 0.6 AND (salary IS NULL OR salary >= 10000 * key)
   AND NOT (salary IS NULL AND coalesce(salary_to < 10000 * key, false))
+  AND (key % 2 = 1 OR employment_id = 'O') AND experience_id <> '1-URGENT'""",
+    ),
+    "match_set_join": (
+        match_set_join,
+        f"""
+WITH {POSTINGS_SQL}, {LINKS_SQL},
+sizes AS (SELECT posting_id, count(*) AS n FROM links GROUP BY 1),
+held AS (
+  SELECT c_custkey AS key, 'red widget brand#' || (c_nationkey + 1) AS skill_name, 1.0::DOUBLE AS w FROM customer
+  UNION ALL SELECT c_custkey, 'blue bolt brand#' || (c_custkey % 25 + 1), 0.4::DOUBLE FROM customer
+  UNION ALL SELECT c_custkey, 'hot gear brand#' || (c_custkey % 5 + 1), 0.7::DOUBLE FROM customer),
+hits AS (
+  SELECT key, posting_id, count(*) AS m, sum(w) AS lw,
+         string_agg(skill_name, '|' ORDER BY skill_name) AS matched_skills
+  FROM held JOIN links USING (skill_name) GROUP BY ALL)
+SELECT c_name AS profile, posting_id, matched_skills,
+       round(least(1, 0.7::DOUBLE * m / n + 0.3::DOUBLE * lw / m), 6) AS score
+FROM hits JOIN sizes USING (posting_id) JOIN postings p USING (posting_id)
+JOIN (SELECT *, 20 * greatest(floor(c_acctbal), 0) AS floor_ FROM customer) c ON c_custkey = key
+WHERE m / n::DOUBLE >= 0.6 AND (salary IS NULL OR salary >= floor_)
+  AND NOT (salary IS NULL AND coalesce(salary_to < floor_, false))
   AND (key % 2 = 1 OR employment_id = 'O') AND experience_id <> '1-URGENT'""",
     ),
     "match_profiles": (
