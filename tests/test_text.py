@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.operators import fulltext as ft
-from tidemark.operators.chunking import chunk_documents, sentences
+from tidemark.operators.chunking import _folded_pieces, _pieces, chunk_documents, sentences
 from tidemark.operators.embedding import hash_vector, mixed_models, refresh_chunks
 from tidemark.operators.html import extract_text
 from tidemark.operators.stem import stem_forms, stem_index
@@ -117,6 +117,24 @@ def test_chunk_random_texts(spark, rows, budget, overlap):
     check_chunks(spark, rows, budget, overlap)
 
 
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+@given(
+    rows=st.lists(st.text(alphabet="ab\U0001f600 \t\xa0\u2028", max_size=60), min_size=60, max_size=60),
+    budget=st.integers(1, 12),
+)
+def test_pieces_by_pattern_are_those_of_the_fold(spark, rows, budget):
+    df = texts(spark, [r.strip() or "a" for r in rows]).withColumn("budget", F.lit(budget))
+    c, b = F.col("text"), F.col("budget")
+    for r in df.select("text", _pieces(c, b).alias("got"), _folded_pieces(c, b).alias("want")).collect():
+        assert r["got"] == r["want"], (r["text"], budget)
+
+
+def test_chunks_of_texts_of_many_strides(spark):
+    """Texts of 80,000 words: sentences beyond a stride, and one sentence without an end."""
+    spoken = " ".join(f"Word {i} ends here." if i % 7 else "x" * 70 for i in range(20_000))
+    check_chunks(spark, [spoken, "ab cde " * 40_000, ". ".join("abcdefg"[: i % 7 + 1] for i in range(257))], 60, 20)
+
+
 def test_chunk_whole_documents(spark, sf):
     docs = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
     check_chunks(spark, docs, 900, 150)

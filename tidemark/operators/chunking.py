@@ -20,7 +20,24 @@ def sentences(text: Column) -> Column:
 
 
 def _pieces(sentence: Column, budget: Column) -> Column:
-    """A long sentence cut between words; a longer word stays whole."""
+    """A long sentence cut between words; a longer word stays whole.
+
+    One pattern takes as much as fits and ends before a space, so the time is linear.  Where other
+    white space touches a space, a fold over the words strips it as it joins them.
+    """
+    plain = F.regexp_replace(sentence, " +", " ")
+    fitting = F.concat(
+        F.lit(r"(?s)[^ ](?:.{0,"), (budget - 2).cast("string"), F.lit(r"}[^ ])?(?= |\z)|[^ ]+")
+    )
+    pattern = F.when(budget > 1, fitting).otherwise(F.lit("[^ ]+"))
+    odd = f"[{SPACE}&&[^ ]]"
+    return F.when(plain.rlike(f" {odd}|{odd} "), _folded_pieces(sentence, budget)).otherwise(
+        F.regexp_extract_all(plain, pattern, F.lit(0))
+    )
+
+
+def _folded_pieces(sentence: Column, budget: Column) -> Column:
+    """Pieces word by word, for sentences with odd white space."""
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
 
     def step(acc: Column, word: Column) -> Column:
@@ -55,14 +72,13 @@ def _tail(cur: Column, overlap: int) -> Column:
     return F.aggregate(F.reverse(cur), start, step)
 
 
-def chunk_bodies(text: Column, budget: Column, overlap: int) -> Column:
-    """Chunks of a text: a fold over its sentences.
+#: Units that are walked before their chunks are handed on.
+_STRIDE = 256
 
-    Sentences fill a chunk up to `budget` characters; the next chunk starts with the tail of
-    the last one, which is not held against the budget.  Pieces of a sentence longer than
-    the budget stand alone and carry no overlap on.
-    """
-    units = F.flatten(
+
+def chunk_units(text: Column, budget: Column) -> Column:
+    """Sentences `(text, alone)` of a text; those longer than the budget in pieces that stand alone."""
+    return F.flatten(
         F.transform(
             sentences(text),
             lambda s: F.when(
@@ -73,6 +89,16 @@ def chunk_bodies(text: Column, budget: Column, overlap: int) -> Column:
             ).otherwise(F.array(F.struct(s.alias("text"), F.lit(False).alias("alone")))),
         )
     )
+
+
+def chunk_bodies(units: Column, budget: Column, overlap: int) -> Column:
+    """Chunks of the units of a text: a fold over them.
+
+    Sentences fill a chunk up to `budget` characters; the next chunk starts with the tail of
+    the last one, which is not held against the budget.  Pieces of a sentence longer than
+    the budget stand alone and carry no overlap on.  The fold goes in strides with a short list of
+    finished chunks each, so no list is copied as often as a long text has chunks.
+    """
     none = F.array().cast("array<string>")
 
     def state(done: Column, cur: Column, used: Column) -> Column:
@@ -99,7 +125,32 @@ def chunk_bodies(text: Column, budget: Column, overlap: int) -> Column:
             .otherwise(state(acc["done"], one, size))
         )
 
-    return F.aggregate(units, state(none, none, F.lit(0)), step, closed)
+    def stride(acc: Column, begin: Column) -> Column:
+        walked = F.aggregate(
+            F.slice(units, begin, F.lit(_STRIDE)), state(none, acc["cur"], acc["used"]), step
+        )
+        # a link of its own, so that the inner fold runs once
+        joined = F.transform(
+            F.array(walked),
+            lambda w: state(F.concat(acc["done"], F.array(w["done"])), w["cur"], w["used"]),
+        )
+        return F.element_at(joined, 1)
+
+    begins = F.when(
+        F.size(units) > 0, F.sequence(F.lit(1), F.size(units), F.lit(_STRIDE))
+    ).otherwise(F.array().cast("array<int>"))
+    lists = F.array().cast("array<array<string>>")
+    return F.aggregate(
+        begins,
+        state(lists, none, F.lit(0)),
+        stride,
+        lambda acc: F.flatten(
+            F.concat(
+                acc["done"],
+                F.array(F.when(F.size(acc["cur"]) > 0, F.array(F.array_join(acc["cur"], " "))).otherwise(none)),
+            )
+        ),
+    )
 
 
 def chunk_documents(
@@ -122,10 +173,13 @@ def chunk_documents(
         if title_col is None
         else F.greatest(F.lit(chunk_chars) - F.length(prefix), F.lit(1))
     )
-    bodies = chunk_bodies(F.col(text_col), F.col("_budget"), overlap_chars)
+    units = chunk_units(F.col(text_col), F.col("_budget"))
+    bodies = chunk_bodies(F.col("_units"), F.col("_budget"), overlap_chars)
     return (
         df.select(id_col, text_col, prefix.alias("_prefix"), budget.alias("_budget"))
         .where(F.col(text_col).isNotNull())
+        # as rows of their own, the units are made once, however often they are looked at
+        .select(id_col, "_prefix", "_budget", F.explode_outer(F.array(units)).alias("_units"))
         # outer: the plain form would add a size filter that cuts every text a second time
         .select(id_col, "_prefix", F.posexplode_outer(bodies).alias("chunk_index", "_body"))
         .where(F.col("chunk_index").isNotNull())
