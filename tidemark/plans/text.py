@@ -19,6 +19,7 @@ from tidemark.operators.embedding import (
     refresh_chunks,
 )
 from tidemark.operators.html import extract_text
+from tidemark.operators.nextword import build_pairs, phrase_match, write_pairs
 from tidemark.operators.stem import stem_index
 from tidemark.operators.ranking import spread_rows
 from tidemark.plans import standin as s
@@ -98,6 +99,18 @@ def text_match_phrase(spark: SparkSession, d: str) -> DataFrame:
     return ft.text_match(index(spark, d, "of", "the", "in"), phrases=[["of", "the"], ["in", "the"]])
 
 
+#: Frequent English words of the documents.
+FREQUENT = ("the", "of", "and", "in", "to", "is", "for")
+
+
+def phrase_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The phrases of `text_match_phrase` from a stored pair index, without the places of a word."""
+    path = shared_path(spark, "pairs")
+    write_pairs(build_pairs(texts(spark, d), FREQUENT), path)
+    pairs = spark.read.parquet(path)
+    return phrase_match(pairs, None, [["of", "the"], ["in", "the"]], FREQUENT)
+
+
 def text_rank(spark: SparkSession, d: str) -> DataFrame:
     queries = {"one": ["the"], "two": ["the", "of"], "three": ["and", "in", "is"], "de": ["la", "de"]}
     return ft.text_rank(index(spark, d, *sorted({w for ws in queries.values() for w in ws})), queries)
@@ -462,6 +475,16 @@ FROM hits GROUP BY ALL""",
         text_match_absent,
         _set_sql("NOT list_has_any(ws, ['the', 'de'])"),
     ),
+    "phrase_pairs": (
+        phrase_pairs,
+        f"""
+WITH {HITS_SQL}
+SELECT DISTINCT a.posting_id
+FROM hits a JOIN hits b ON b.posting_id = a.posting_id AND b.pos = a.pos + 1 AND b.term = 'the'
+WHERE a.term = 'of' AND a.posting_id IN (
+  SELECT c.posting_id FROM hits c JOIN hits e ON e.posting_id = c.posting_id AND e.pos = c.pos + 1
+  WHERE c.term = 'in' AND e.term = 'the')""",
+    ),
     "text_match_phrase": (
         text_match_phrase,
         f"""
