@@ -109,3 +109,20 @@ def test_odd_and_empty_tables(spark):
     for empty in range(3):
         tables = [f.where("false") if i == empty else f for i, f in enumerate(frames)]
         assert setjoin.good_matches(*tables).count() == 0
+
+
+def test_profiles_of_one_map_of_skills_are_scored_once(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "CELL_HOLDERS", 4)
+    profiles = [
+        Profile(title=f"p{i}", skills={"a": "strong", "b": "basic"}, salary_min_base=10 * i) for i in range(30)
+    ]
+    postings = [(i, "t", None, 10 * i, None, True, "full", "noExperience", None) for i in range(30)]
+    links = [(i, s) for i in range(30) for s in "ab"]
+    tables = made(spark, profiles, postings, links)
+    maps = setjoin.skill_maps(tables[2])
+    assert [r["n_holders"] for r in maps.collect()] == [30]
+    assert setjoin.candidate_pairs(tables[1], maps, setjoin.skill_rarity(tables[1], maps)).count() == 30
+    got = setjoin.good_matches(*tables).collect()
+    want = match_profiles(with_skills(tables[0], tables[1]), profiles, verdicts=("good",)).collect()
+    assert len(want) == 30 * 31 // 2
+    assert sorted(map(repr, got)) == sorted(map(repr, want))

@@ -3,6 +3,8 @@
 A match is good when the profile holds at least GOOD_COVERAGE of a posting's skills.  Of n skills
 it then holds one of any n - need + 1, so a posting probes the profiles by its rarest ones alone
 (the prefix filter of set joins, on the posting's side only, as coverage counts its skills only).
+Coverage and score depend on the skills alone, so they are told once for each map of skills that
+profiles have, and the profiles of a map then meet its postings.
 """
 
 from __future__ import annotations
@@ -11,11 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.fields import EXPERIENCE_ORDER
-from tidemark.operators.matching import GOOD_COVERAGE, match_rows
+from tidemark.operators.matching import GOOD_COVERAGE, good_rows, with_scores
 from tidemark.operators.ranking import top_k_within
 
-#: Rows of one skill on either side of the join that may meet in one task.
+#: Rows of one skill, or one map of skills, that may meet in one task: postings, and what they meet.
 CELL_ROWS = 50_000
+CELL_HOLDERS = 2_000
 
 _WANTED = (
     "title skills missing salary_min_base remote_only employment max_experience red_flags green_flags"
@@ -62,45 +65,65 @@ def probes(links: DataFrame, rarity: DataFrame) -> DataFrame:
     )
 
 
-def _cells(count: str) -> Column:
-    return F.ceil(F.col(count) / CELL_ROWS).cast("int")
+def _cells(count: str, rows: int) -> Column:
+    return F.ceil(F.col(count) / rows).cast("int")
 
 
-def _cell(key: Column, count: str) -> Column:
-    return F.pmod(F.xxhash64(key), _cells(count)).cast("int")
+def _cell(key: Column, count: str, rows: int) -> Column:
+    return F.pmod(F.xxhash64(key), _cells(count, rows)).cast("int")
 
 
-def _copies(count: str) -> Column:
-    return F.explode(F.sequence(F.lit(0), _cells(count) - 1))
+def _copies(count: str, rows: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), _cells(count, rows) - 1))
 
 
-def candidate_pairs(links: DataFrame, profiles: DataFrame) -> DataFrame:
-    """`(posting_id, skills, _p)` of all pairs with enough coverage, each once.
+def _skill_map() -> Column:
+    """The map of skills as a value that can be grouped and joined by."""
+    return F.sort_array(F.map_entries("skills"))
 
-    A pair counts at the first skill of the prefix that the profile holds, so nothing is made
-    distinct afterwards.  The rows of a skill meet in a grid of cells of CELL_ROWS by CELL_ROWS:
-    a skill of a third of all rows is many tasks, a rare one is one cell without copies.
-    """
-    rarity = skill_rarity(links, profiles)
-    holders = profiles.select(F.struct(*_WANTED).alias("_p")).select(
-        "_p", F.explode(F.map_keys("_p.skills")).alias("skill_name")
+
+def skill_maps(profiles: DataFrame) -> DataFrame:
+    """`(_map, skills, n_holders)` of each map of skills that profiles have."""
+    held = profiles.where(F.size("skills") > 0).groupBy(_skill_map().alias("_map"))
+    return held.agg(F.count(F.lit(1)).alias("n_holders")).select(
+        "_map", F.map_from_entries("_map").alias("skills"), "n_holders"
     )
+
+
+def candidate_pairs(links: DataFrame, maps: DataFrame, rarity: DataFrame) -> DataFrame:
+    """`(posting_id, skills, _p, _map, n_holders)` of all postings and maps of skills with enough
+    coverage, each pair once; `_p` has the map as `skills`.
+
+    A pair counts at the first skill of the prefix that the map holds, so nothing is made
+    distinct afterwards.  The rows of a skill meet in a grid of cells of CELL_ROWS postings by
+    CELL_HOLDERS maps: a skill of a third of all rows is many tasks, a rare one is one cell
+    without copies.
+    """
     right = (
-        holders.join(rarity, "skill_name")
-        .withColumn("_b", _cell(F.col("_p.title"), "n_profiles"))
-        .select("*", _copies("n_postings").alias("_a"))
-        .select("skill_name", "_a", "_b", "_p")
+        maps.select("*", F.explode(F.map_keys("skills")).alias("skill_name"))
+        .join(rarity, "skill_name")
+        .withColumn("_b", _cell(F.col("_map"), "n_profiles", CELL_HOLDERS))
+        .select("*", _copies("n_postings", CELL_ROWS).alias("_a"))
+        .select("skill_name", "_a", "_b", F.struct("skills").alias("_p"), "_map", "n_holders")
     )
     left = (
         probes(links, rarity)
-        .withColumn("_a", _cell(F.col("posting_id"), "n_postings"))
-        .select("*", _copies("n_profiles").alias("_b"))
+        .withColumn("_a", _cell(F.col("posting_id"), "n_postings", CELL_ROWS))
+        .select("*", _copies("n_profiles", CELL_HOLDERS).alias("_b"))
         .select("posting_id", "skills", "skill_name", "earlier", "_a", "_b")
     )
     held = F.map_keys("_p.skills")
     enough = F.size(F.array_intersect("skills", held)) / F.size("skills") >= GOOD_COVERAGE
     met = left.join(right, ["skill_name", "_a", "_b"])
-    return met.where(~F.arrays_overlap("earlier", held) & enough).select("posting_id", "skills", "_p")
+    return met.where(~F.arrays_overlap("earlier", held) & enough).select(
+        "posting_id", "skills", "_p", "_map", "n_holders"
+    )
+
+
+def _reach(maps: DataFrame, rarity: DataFrame) -> DataFrame:
+    """`(_map, n_reach)`: no more postings than these can match a map."""
+    held = maps.select("_map", F.explode(F.map_keys("skills")).alias("skill_name"))
+    return held.join(rarity, "skill_name").groupBy("_map").agg(F.sum("n_postings").alias("n_reach"))
 
 
 def good_matches(
@@ -119,12 +142,30 @@ def good_matches(
     the best of each title, ties to the lower posting.
     """
     named = links.where(F.col("posting_id").isNotNull() & F.col("skill_name").isNotNull())
-    pairs = candidate_pairs(named.select("posting_id", "skill_name"), profiles)
+    named = named.select("posting_id", "skill_name")
+    maps = skill_maps(profiles)
+    rarity = skill_rarity(named, maps)
     needed = (
         "posting_id title description salary_from_base salary_to_base is_remote employment_id"
         " experience_id experience_name"
     ).split()
-    found = match_rows(postings.select(*needed).join(pairs, "posting_id"), order, ("good",))
+    scored = with_scores(candidate_pairs(named, maps, rarity)).drop("_p")
+    reach = _reach(maps, rarity)
+    left = (
+        postings.select(*needed)
+        .join(scored, "posting_id")
+        .join(reach, "_map")
+        .withColumn("_a", _cell(F.col("posting_id"), "n_reach", CELL_ROWS))
+        .select("*", _copies("n_holders", CELL_HOLDERS).alias("_b"))
+    )
+    right = (
+        profiles.select(F.struct(*_WANTED).alias("_p"), _skill_map().alias("_map"))
+        .join(maps.select("_map", "n_holders"), "_map")
+        .join(reach, "_map")
+        .withColumn("_b", _cell(F.col("_p").dropFields("skills"), "n_holders", CELL_HOLDERS))
+        .select("_map", "_b", "_p", _copies("n_reach", CELL_ROWS).alias("_a"))
+    )
+    found = good_rows(left.join(right, ["_map", "_a", "_b"]), order)
     if top_n is None:
         return found
     return top_k_within(found, "profile", [F.desc("score"), F.asc("posting_id")], top_n)
