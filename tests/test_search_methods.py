@@ -128,3 +128,16 @@ def test_metrics_of_the_searches(spark, corpus, found):
         ]
         assert got[method, "recall", 3] == pytest.approx(sum(shares) / 2)
         assert (got[method, "evaluated", None], got[method, "skipped", None]) == (2, len(queries) - 2)
+
+
+def test_long_queries_look_up_documents_with_their_rarest_word_only(spark):
+    docs = [(i, "the of and", "in a" + (" rare word" if i % 50 == 0 else "")) for i in range(200)]
+    index = ft.build_index(spark.createDataFrame(docs, "posting_id bigint, title string, body string"))
+    terms = ft.query_terms(
+        spark, {"q": ["the", "of", "rare", "in", "and"], "all": ["the", "a"], "none": ["the", "absent"]}
+    )
+    found = ft.candidate_documents(index, terms)
+    assert {(r[0], r[1]) for r in found.collect() if r[0] != "all"} == {("q", i) for i in range(0, 200, 50)}
+    want = sorted(map(tuple, ft.rank_terms(index, terms).collect()))
+    assert len(want) == 204
+    assert sorted(map(tuple, ft.rank_long_queries(index, terms).collect())) == want

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import words
-from tidemark.operators.fulltext import rank_terms
+from tidemark.operators.fulltext import rank_long_queries
 from tidemark.operators.ranking import top_k_within
 from tidemark.operators.vectors import fuse_hits, semantic_search
 from tidemark.sources.shared import stored
@@ -145,7 +145,7 @@ def method_rankings(
     folder, so that texts and vectors are searched once.
     """
     depth = 4 * limit if depth is None else depth
-    ranked = rank_terms(index, whole_text_terms(queries)).withColumnRenamed("rank", "score")
+    ranked = rank_long_queries(index, whole_text_terms(queries)).withColumnRenamed("rank", "score")
     best_first = [F.desc("score"), F.asc("posting_id")]
     text = stored(top_k_within(ranked, "query_id", best_first, depth), "text-hits")
     near = stored(semantic_search(chunks, vectors, limit=depth), "near-hits")

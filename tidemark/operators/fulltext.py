@@ -258,10 +258,13 @@ def _cover_rank(hits: Column, n: Column) -> Column:
 
 def _query_hits(index: DataFrame, terms: DataFrame) -> DataFrame:
     """`(query_id, posting_id, n_terms, _hits)` of documents with every word of a query."""
+    return _grouped_hits(index.join(terms, "term"))
+
+
+def _grouped_hits(rows: DataFrame) -> DataFrame:
     row = F.struct("ordinal", "field", "positions")
     grouped = (
-        index.join(terms, "term")
-        .groupBy("query_id", "posting_id", "n_terms")
+        rows.groupBy("query_id", "posting_id", "n_terms")
         .agg(F.collect_list(row).alias("_rows"))
         .where(F.size(F.array_distinct(F.col("_rows")["ordinal"])) == F.col("n_terms"))
     )
@@ -272,6 +275,23 @@ def _query_hits(index: DataFrame, terms: DataFrame) -> DataFrame:
     )
 
 
+def candidate_documents(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """`(query_id, posting_id)` of the documents with the rarest word of a query, if all occur at all.
+
+    A document with every word of a query has its rarest one, so only these need their other words
+    looked up: frequent words of a long query then meet the few documents it can match.
+    """
+    counted = index.groupBy("term").agg(F.count(F.lit(1)).alias("_rows"))
+    rarest = (
+        terms.join(counted, "term")
+        .groupBy("query_id", "n_terms")
+        .agg(F.min_by("term", F.struct("_rows", "term")).alias("term"), F.count(F.lit(1)).alias("_known"))
+        .where(F.col("_known") == F.col("n_terms"))
+        .select("query_id", "term")
+    )
+    return index.select("term", "posting_id").join(rarest, "term").select("query_id", "posting_id").distinct()
+
+
 def minimal_covers(index: DataFrame, terms: DataFrame) -> DataFrame:
     """Shortest stretches of a document that hold every word of a query.
 
@@ -295,6 +315,15 @@ def minimal_covers(index: DataFrame, terms: DataFrame) -> DataFrame:
     return rows.select("query_id", "posting_id", "c.begin", "c.end", "n_terms", "c.mean_weight")
 
 
+def rank_long_queries(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """`rank_terms` for queries of many words.  The index rows of their words are stored in the shared
+    folder, and read for the documents with the rarest word of each query alone."""
+    words_ = terms.select("term").distinct()
+    own = stored(index.join(words_, "term", "left_semi"), "query-words")
+    wanted = candidate_documents(own, terms).join(terms, "query_id")
+    return _ranked(_grouped_hits(own.join(wanted, ["term", "posting_id"])))
+
+
 def rank_terms(index: DataFrame, terms: DataFrame) -> DataFrame:
     """Cover-density rank `(query_id, posting_id, rank)` of documents with all query words.
 
@@ -302,7 +331,11 @@ def rank_terms(index: DataFrame, terms: DataFrame) -> DataFrame:
     weight divided by one plus the number of other words inside the cover.  One word gives the
     sum of its weights.  Rounded, so that ranks tie whatever the order of summation.
     """
-    return _query_hits(index, terms).select(
+    return _ranked(_query_hits(index, terms))
+
+
+def _ranked(hits: DataFrame) -> DataFrame:
+    return hits.select(
         "query_id", "posting_id", _cover_rank(F.col("_hits"), F.col("n_terms")).alias("rank")
     )
 
