@@ -374,3 +374,18 @@ def test_stored_index_prunes_by_term(spark, index, tmp_path):
     assert ids(ft.text_match(stored, ["fox", "dog"])) == [0, 1, 4]
     plan = ft.text_match(stored, ["fox"])._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(term), EqualTo(term,fox)]" in plan or "In(term" in plan or "term,fox" in plan
+
+
+def test_markup_is_read_in_parts_of_few_bytes(spark):
+    import pyarrow as pa
+
+    from tidemark.operators import html
+
+    rows = [None, "", "x" * (html.SLICE_BYTES + 1)] + ["<p>ä</p>"] * 1000 + ["y" * 300_000] * 20 + [None]
+    parts = list(html.slices(pa.array(rows, pa.string())))
+    assert [t for p in parts for t in p.to_pylist()] == rows
+    assert all(len(p) <= html.SLICE_ROWS and (len(p) == 1 or sum(len(t or "") for t in p.to_pylist()) <= html.SLICE_BYTES) for p in parts)
+    assert list(html.slices(pa.array([], pa.string()))) == []
+    table = spark.createDataFrame(list(enumerate(rows)), "i int, html string").coalesce(1)
+    got = [r["text"] for r in html.extract_text(table).orderBy("i").collect()]
+    assert got == ["" if t is None else t.replace("<p>", "").replace("</p>", "") for t in rows]

@@ -10,7 +10,9 @@ from collections.abc import Iterator
 from html import unescape
 from html.parser import HTMLParser
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,11 +57,29 @@ class _Reader(HTMLParser):
         self.pieces.append(data)
 
 
-@F.pandas_udf(T.StringType())
-def _plain(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+#: Bytes of markup, or rows, that are Python strings at a time, whatever the size of an Arrow batch.
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 256
+
+
+def slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Parts of an array of texts of SLICE_ROWS rows at most, and of SLICE_BYTES but for one text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        stop = int(np.searchsorted(ends, before + SLICE_BYTES, side="right"))
+        stop = min(max(stop, start + 1), start + SLICE_ROWS, len(texts))
+        yield texts.slice(start, stop - start)
+        start = stop
+
+
+@F.arrow_udf(T.StringType())
+def _plain(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     # the second unescape resolves entities that were escaped twice
     for markup in parts:
-        yield markup.map(lambda m: unescape("".join(_Reader(m).pieces)), na_action="ignore")
+        for some in slices(markup):
+            read = (None if m is None else unescape("".join(_Reader(m).pieces)) for m in some.to_pylist())
+            yield pa.array(list(read), pa.string())
 
 
 def tidy(text: Column) -> Column:
