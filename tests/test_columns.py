@@ -168,3 +168,12 @@ def test_cosine(spark):
     a, b, z = (F.array(*[F.lit(float(x)) for x in v]) for v in ([3, 4], [4, 3], [0, 0]))
     assert one(spark, cosine(a, b)) == pytest.approx(0.96)
     assert one(spark, cosine(a, z)) == 0.0
+
+
+def test_dedupe_works_each_name_out_once(spark):
+    # thousands of names: a pass over all names for each of them would not end here
+    names = ["  Ab", "aB ", None, "", "Ё", "е", "c"] + [f"w{i % 300}" for i in range(3000)]
+    table = spark.createDataFrame([(names,), (None,), ([],)], "names array<string>")
+    assert [r[0] for r in table.select(t.ordered_dedupe(F.col("names"))).collect()] == [
+        ["Ab", "Ё", "c"] + [f"w{i}" for i in range(300)], [], []
+    ]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,13 +41,22 @@ def norm_name(col: Column) -> Column:
     return strip(fold_yo(fold_case(F.regexp_replace(bare, f"{SPACE}+", " "))))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with `value` worked out once a row, however often `use` looks at it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def ordered_dedupe(names: Column) -> Column:
     """Trimmed names without blanks; of equal spellings (caseless, yo folded) the first stays."""
     clean = F.filter(F.transform(names, strip), lambda x: x.isNotNull() & (x != ""))
-    keyed = F.transform(clean, lambda x: F.struct(fold_yo(fold_case(x)).alias("key"), x.alias("name")))
-    keys = keyed["key"]
-    first = F.filter(keyed, lambda x, i: F.array_position(keys, x["key"]) == i + 1)
-    return F.coalesce(first["name"], F.array().cast("array<string>"))
+
+    def firsts(names: Column, keys: Column) -> Column:
+        return F.filter(names, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+
+    first = _once(
+        clean, lambda c: _once(F.transform(c, lambda x: fold_yo(fold_case(x))), lambda k: firsts(c, k))
+    )
+    return F.coalesce(first, F.array().cast("array<string>"))
 
 
 def snippet(col: Column, size: int = 400) -> Column:

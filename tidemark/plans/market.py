@@ -11,6 +11,7 @@ from tidemark.operators import market
 from tidemark.operators.detail import posting_detail
 from tidemark.operators.filters import market_filter
 from tidemark.operators.fulltext import search_postings
+from tidemark.operators.ranking import spread_rows
 from tidemark.plans import standin as s
 
 
@@ -185,7 +186,8 @@ def normalize_names(spark: SparkSession, d: str) -> DataFrame:
 def ordered_dedupe(spark: SparkSession, d: str) -> DataFrame:
     """Words of part names and brands with repeats in other spellings."""
     words = F.split(F.concat_ws(" ", "p_name", F.upper("p_name"), "p_brand", "p_type", "p_name"), " ")
-    return s.table(spark, d, "part").select(
+    # a small file of many rows is few tasks; the rules of a name cost more than its row
+    return spread_rows(s.table(spark, d, "part"), "p_partkey").select(
         "p_partkey", F.array_join(t.ordered_dedupe(words), "|").alias("names")
     )
 
