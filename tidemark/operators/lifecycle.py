@@ -160,15 +160,14 @@ def batch_report(target: DataFrame, batch: DataFrame) -> DataFrame:
     counts = upsert_counts(target, batch)
     named = F.transform(F.coalesce("skills", F.array().cast("array<string>")), norm_name)
     links = F.size(F.filter(named, lambda n: n != "")).cast("long")
+    # one value of both, so that the batch is worked out once for them
     touched = batch.agg(
-        F.count_if(F.col("employer").isNotNull()).alias("employers_touched"),
-        F.coalesce(F.sum(links), F.lit(0)).alias("skills_linked"),
-    )
-    return counts.select(
-        "*",
-        touched.select("employers_touched").scalar().alias("employers_touched"),
-        touched.select("skills_linked").scalar().alias("skills_linked"),
-    )
+        F.struct(
+            F.count_if(F.col("employer").isNotNull()).alias("employers_touched"),
+            F.coalesce(F.sum(links), F.lit(0)).alias("skills_linked"),
+        ).alias("touched")
+    ).scalar()
+    return counts.withColumn("_touched", touched).select("*", "_touched.*").drop("_touched")
 
 
 def pending_details(postings: DataFrame, limit: int | None = None) -> DataFrame:

@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.lifecycle import batch_report
+from tidemark.operators.ranking import spread_rows
 from tidemark.plans import standin as s
 from tidemark.sources.postings import expand_records, flatten_postings, split_rejects
 
 
 def raw_records(spark: SparkSession, d: str) -> DataFrame:
     """Loose values with a source position, as `read_records` reads them from files."""
-    orders = s.table(spark, d, "orders")
+    # a file of few row groups is few tasks; reading a record costs far more than its row
+    orders = spread_rows(s.table(spark, d, "orders"), "o_orderkey")
     customers = s.table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
     key = F.col("o_orderkey")
     amount = F.floor("o_totalprice") * F.when(key % 50 == 7, 1_000_000_000).otherwise(1)
