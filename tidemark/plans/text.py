@@ -25,7 +25,7 @@ from tidemark.operators.ranking import spread_rows
 from tidemark.plans import standin as s
 from tidemark.schemas import CHUNKS
 from tidemark.sources.clustered import write_clustered
-from tidemark.sources.shared import shared_path
+from tidemark.sources.shared import shared_path, stored
 
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
@@ -172,13 +172,19 @@ def search_topk_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 def stem_terms(spark: SparkSession, d: str) -> DataFrame:
     """A vocabulary with stems: here the first five letters of each word."""
-    terms = index(spark, d).select("term").distinct()
+    return _stems(index(spark, d))
+
+
+def _stems(rows: DataFrame) -> DataFrame:
+    terms = rows.select("term").distinct()
     return terms.withColumn("stem", F.substring("term", 1, 5))
 
 
 def stemmed_words(spark: SparkSession, d: str) -> DataFrame:
     """Documents and words per stem in the stemmed index."""
-    stemmed = stem_index(index(spark, d), stem_terms(spark, d))
+    # the index is made once, for its words and for their places
+    rows = stored(index(spark, d), "words")
+    stemmed = stem_index(rows, _stems(rows))
     return ft.document_frequency(stemmed).select(
         F.col("term").alias("stem"), "documents", F.col("occurrences").alias("n_words")
     )
