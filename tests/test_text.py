@@ -16,6 +16,7 @@ from tidemark.operators.chunking import _folded_pieces, _pieces, chunk_documents
 from tidemark.operators.embedding import hash_vector, mixed_models, refresh_chunks
 from tidemark.operators.html import extract_text
 from tidemark.operators.stem import stem_forms, stem_index
+from tidemark.plans import text as text_plans
 from tidemark.schemas import CHUNKS
 
 
@@ -389,3 +390,27 @@ def test_markup_is_read_in_parts_of_few_bytes(spark):
     table = spark.createDataFrame(list(enumerate(rows)), "i int, html string").coalesce(1)
     got = [r["text"] for r in html.extract_text(table).orderBy("i").collect()]
     assert got == ["" if t is None else t.replace("<p>", "").replace("</p>", "") for t in rows]
+
+
+# --------------------------------------------------------------- queries over documents --
+
+
+def documents(spark, folder, rows):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    full = [(i, t, lang, "s", len(t or "")) for i, t, lang in rows]
+    spark.createDataFrame(full, schema).write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chunk_invariants_chunk_once(spark, tmp_path):
+    long = " ".join(f"Word{i} goes on\there." for i in range(60))
+    rows = [(1, long, "en"), (2, "one  two one", "en"), (2, "two\n three.", "de"), (None, "no id", "en"),
+            (3, " \n ", "en"), (4, None, "en"), (5, long + " " + long, None)]
+    out = text_plans.chunk_invariants(spark, documents(spark, tmp_path, rows))
+    assert plan_of(out).count("FileScan") == 1
+    # two texts of one id number their chunks twice: 0 + 1 is not 2
+    assert {tuple(r) for r in out.collect()} == {(1, 63, True), (2, 3, False), (5, 63, True)}

@@ -261,15 +261,21 @@ def titled_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 def chunk_invariants(spark: SparkSession, d: str) -> DataFrame:
     """Per document: chunk numbers have no gaps and no distinct word is lost or invented."""
-    chunks = document_chunks(spark, d)
-    split = F.array_distinct(F.split(F.regexp_replace("content", r"\s+", " "), " "))
-    word = chunks.select("doc_id", "chunk_index", F.explode(split).alias("word"))
-    distinct = word.where(F.col("word") != "").select("doc_id", "word").distinct()
-    counted = distinct.groupBy("doc_id").agg(F.count(F.lit(1)).alias("distinct_words"))
-    numbers = chunks.groupBy("doc_id").agg(
-        (F.max("chunk_index") + 1 == F.count(F.lit(1))).alias("no_gaps")
+    # by document alone: chunks are made once and shuffled once, each with its words in one row
+    chunks = document_chunks(spark, d).where(F.col("doc_id").isNotNull()).repartition("doc_id")
+    split = F.split("content", r"\s+")
+    # the empty word stands for the chunk itself, so that one pass counts both
+    marked = F.array_distinct(F.concat(F.array(F.lit("")), split))
+    word = chunks.select("doc_id", "chunk_index", F.explode(marked).alias("word"))
+    once = word.groupBy("doc_id", "word").agg(
+        F.max("chunk_index").alias("last"), F.count(F.lit(1)).alias("chunks")
     )
-    return counted.join(numbers, "doc_id")
+    own = F.col("word") == ""
+    counted = once.groupBy("doc_id").agg(
+        F.count_if(~own).alias("distinct_words"),
+        (F.max(F.when(own, F.col("last"))) + 1 == F.sum(F.when(own, F.col("chunks")))).alias("no_gaps"),
+    )
+    return counted.where(F.col("distinct_words") > 0)
 
 
 def hash_vectors(spark: SparkSession, d: str) -> DataFrame:
