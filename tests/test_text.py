@@ -414,3 +414,23 @@ def test_chunk_invariants_chunk_once(spark, tmp_path):
     assert plan_of(out).count("FileScan") == 1
     # two texts of one id number their chunks twice: 0 + 1 is not 2
     assert {tuple(r) for r in out.collect()} == {(1, 63, True), (2, 3, False), (5, 63, True)}
+
+
+def test_refreshed_index_moves_no_words(spark, tmp_path):
+    rows = [(1, "the cat\nsat on the mat", "en"), (2, "der hund", "de"), (3, "the\nthe", "en"), (3, "la the", "fr"),
+            (4, None, "de"), (5, "", "en"), (6, "the end", None)]
+    folder = documents(spark, tmp_path, rows)
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    usual = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "-1")  # as for tables that are not small
+        out = text_plans.refreshed(spark, folder)
+        plan = plan_of(out)
+    finally:
+        spark.conf.set(name, usual)
+    want = {"the": (2, 5), "cat": (1, 1), "sat": (1, 1), "on": (1, 1), "mat": (1, 1), "der": (1, 1),
+            "hund": (1, 1), "la": (1, 1)}
+    assert {r["term"]: (r["documents"], r["occurrences"]) for r in out.collect()} == want
+    assert "SortMergeJoin" not in plan
+    above = plan[: plan.index("_r#")]  # nothing is moved between the words and the joins
+    assert above.count("Exchange") == 1

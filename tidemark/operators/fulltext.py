@@ -102,8 +102,10 @@ def write_index(index: DataFrame, path: str) -> None:
 
 def refresh_index(index: DataFrame, docs: DataFrame, changed: DataFrame) -> DataFrame:
     """Index with the documents named in `changed` built anew (or gone, if not in `docs`)."""
-    kept = index.join(changed.select("posting_id"), "posting_id", "left_anti")
-    redo = docs.join(changed.select("posting_id"), "posting_id", "left_semi")
+    # hashed: a task holds its part of the names, and sorts no rows of the index
+    named = changed.select("posting_id").distinct().hint("shuffle_hash")
+    kept = index.join(named, "posting_id", "left_anti")
+    redo = docs.join(named, "posting_id", "left_semi")
     return kept.unionByName(build_index(redo))
 
 

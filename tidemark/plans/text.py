@@ -69,7 +69,8 @@ def occurrence_positions(spark: SparkSession, d: str) -> DataFrame:
 
 def refreshed(spark: SparkSession, d: str) -> DataFrame:
     """Index over English documents after the others arrive: equal to a full build."""
-    docs = texts(spark, d)
+    # dealt out by document, so that neither build has to move its words to meet the changes
+    docs = texts(spark, d).repartition("posting_id")
     english = F.col("lang") == "en"
     partial = ft.build_index(docs.where(english))
     out = ft.refresh_index(partial, docs, docs.where(~english))
