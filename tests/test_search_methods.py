@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import evaluation as ev
 from tidemark.operators import fulltext as ft
 from tidemark.operators.embedding import hash_embedding, hash_vector
+from tidemark.plans import quality
 
 LIMIT, WEIGHT = 3, 0.4
 WORDS = "amber basin cedar delta ember fjord grove haven inlet jetty".split()
@@ -141,3 +142,54 @@ def test_long_queries_look_up_documents_with_their_rarest_word_only(spark):
     want = sorted(map(tuple, ft.rank_terms(index, terms).collect()))
     assert len(want) == 204
     assert sorted(map(tuple, ft.rank_long_queries(index, terms).collect())) == want
+
+
+def test_an_index_is_built_without_sorting_rows_one_by_one(spark, monkeypatch):
+    """Any number of documents a slice gives the same rows, whose order of places holds."""
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choice([*WORDS, "Ä_1", "Λόγος", "…"]) for _ in range(n))
+    docs = [(f"d{i}", text(rng.randint(0, 3)), text(rng.randint(0, 40))) for i in range(30)]
+    docs += [docs[0], (None, "amber", "amber delta"), ("none", None, None), ("title", "delta", None), ("body", None, "Delta, delta")]
+    rows = spark.createDataFrame(docs, "posting_id string, title string, body string").coalesce(2)
+    want = []
+    for key, *fields in docs:
+        found, at = defaultdict(list), 0
+        for name, field in zip("AB", fields):
+            for word in re.findall(r"\w+", (field or "").lower()):
+                found[word, name].append(at)
+                at += 1
+        want += [(w, key, name, places) for (w, name), places in found.items()]
+    plan = ft.build_index(rows, in_batches=True)._jdf.queryExecution().toString()
+    assert "sort_array" not in plan and "MapInArrow" in plan
+    for words_ in (ft.SLICE_WORDS, 1, 50):
+        monkeypatch.setattr(ft, "SLICE_WORDS", words_)
+        index = ft.build_index(rows, in_batches=True)
+        assert index.dtypes == ft.build_index(rows).dtypes
+        assert sorted(map(repr, map(tuple, index.collect()))) == sorted(map(repr, want))
+    assert sorted(map(repr, map(tuple, ft.build_index(rows).collect()))) == sorted(map(repr, want))
+    assert ft.build_index(rows.where("false"), in_batches=True).count() == 0
+
+
+def test_letters_are_counted_in_one_pass(spark):
+    texts = ["", None, "abc ABC z", "Łódź – ñandúK", "123", "x" * 5000, "\n", *(c * 3 for c in quality.LETTERS)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1)
+    made = rows.select("i", quality._letter_counts(F.col("text")).alias("v"))
+    plan = made.where(F.col("v").isNotNull())._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_replace" not in plan and plan.count("ArrowEvalPython") == 1
+    got = dict(map(tuple, made.collect()))
+    for i, text in enumerate(texts):
+        counts = [float(sum(text.count(x) for x in (c, c.upper()))) for c in quality.LETTERS] if text else [0.0]
+        assert got[i] == (counts if any(counts) else None), text
+
+
+def test_positions_are_looked_up_where_the_candidates_are(spark, monkeypatch):
+    """The few candidates and rarest words are stored, so that the words of all texts are not dealt out for them."""
+    labels, kept = [], ft.stored
+    monkeypatch.setattr(ft, "stored", lambda df, label: labels.append(label) or kept(df, label))
+    docs = [(i, "the", f"word{i} of") for i in range(50)] + [(None, "the", "word1")]
+    index = ft.build_index(spark.createDataFrame(docs, "posting_id bigint, title string, body string"))
+    terms = ft.query_terms(spark, {"q": ["the", "word1"], "none": ["the", "absent"]})
+    found = ft.rank_long_queries(index, terms)
+    assert labels == ["query-words", "rarest-words", "candidates"]
+    assert [tuple(r)[:2] for r in found.collect()] == [("q", 1)]
+    assert "LeftSemi" in found._jdf.queryExecution().toString()

@@ -8,11 +8,15 @@ the rows of its own words by document, so no group is larger than one document.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from datetime import datetime
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.fields import clamp_limit
 from tidemark.functions.text import words
@@ -24,6 +28,9 @@ from tidemark.sources.shared import stored
 #: Weight of a word in the title and in the body.
 FIELD_WEIGHT = {"A": 1.0, "B": 0.4}
 
+#: Words of documents that are sorted at once in batches: some 15 MB of a Python worker.
+SLICE_WORDS = 200_000
+
 
 def build_index(
     docs: DataFrame,
@@ -31,12 +38,16 @@ def build_index(
     title: str = "title",
     body: str = "body",
     terms: Sequence[str] | None = None,
+    in_batches: bool = False,
 ) -> DataFrame:
     """Occurrence rows `(term, posting_id, field, positions)`; body positions follow the title's.
 
     The words of a document are sorted and cut into runs of equal words inside its row, so no
     text and no word is shuffled.  With `terms`, only their places are kept, before anything is
     sorted, and grouped by document: what a search over texts without a stored index needs.
+
+    With `in_batches`, the words of many documents are sorted at once as numbers, in a third of the
+    time.  Spark then no longer knows how the documents were dealt out; without, it does.
     """
     empty = F.array().cast("array<string>")
     cut_words = F.struct(
@@ -45,6 +56,9 @@ def build_index(
     )
     # as rows of their own, arrays are made once, however often they are looked at
     texts = docs.select(F.col(id_col).alias("posting_id"), F.explode_outer(F.array(cut_words)).alias("_t"))
+    if in_batches and terms is None:
+        split = texts.select("posting_id", F.col("_t.title").alias("title"), F.col("_t.body").alias("body"))
+        return split.mapInArrow(_occurrences, _occurrence_type(docs.schema[id_col].dataType))
     counted = texts.select(
         "posting_id", F.size("_t.title").alias("_n"), F.concat("_t.title", "_t.body").alias("_w")
     )
@@ -90,6 +104,56 @@ def build_index(
     )
 
 
+def _occurrence_type(key: T.DataType) -> T.StructType:
+    row = T.StructType().add("term", "string").add("posting_id", key).add("field", "string")
+    return row.add("positions", T.ArrayType(T.IntegerType()))
+
+
+def _word_counts(part: pa.RecordBatch) -> list[np.ndarray]:
+    sizes = [pc.list_value_length(part.column(c)) for c in ("title", "body")]
+    return [n.to_numpy(zero_copy_only=False).astype(np.int64) for n in sizes]
+
+
+def _word_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of some SLICE_WORDS words each; a document stays whole."""
+    ends, start = np.cumsum(sum(_word_counts(batch))), 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(int(np.searchsorted(ends, before + SLICE_WORDS, side="right")), start + 1)
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Index rows of `(posting_id, title, body)` rows of words.
+
+    Words become numbers that are sorted stably by document, word and field, so the places of a
+    word stand in order.
+    """
+    for part in (some for batch in batches for some in _word_slices(batch)):
+        sizes = _word_counts(part)
+        coded = pa.concat_arrays([part.column(c).flatten() for c in ("title", "body")]).dictionary_encode()
+        docs, places = [], []
+        for n, before in zip(sizes, (np.zeros_like(sizes[0]), sizes[0])):
+            docs.append(np.repeat(np.arange(len(n)), n))
+            places.append(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - before, n))
+        doc, in_body = np.concatenate(docs), np.arange(len(coded)) >= len(docs[0])
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        key = (doc * len(coded.dictionary) + code) * 2 + in_body
+        order = np.argsort(key, kind="stable")
+        heads = np.flatnonzero(np.diff(key[order], prepend=-1))
+        first = order[heads]
+        ends = pa.array(np.append(heads, len(order)).astype(np.int32))
+        at = pa.array(np.concatenate(places)[order].astype(np.int32))
+        columns = {
+            "term": coded.dictionary.take(pa.array(code[first])),
+            "posting_id": part.column("posting_id").take(pa.array(doc[first])),
+            "field": pa.array(["A", "B"]).take(pa.array(in_body[first].astype(np.int8))),
+            "positions": pa.ListArray.from_arrays(ends, at),
+        }
+        yield pa.RecordBatch.from_pydict(columns)
+
+
 def write_index(index: DataFrame, path: str) -> None:
     """Store sorted by term; a word found in every document is spread over several files."""
     (
@@ -281,7 +345,8 @@ def candidate_documents(index: DataFrame, terms: DataFrame) -> DataFrame:
     """`(query_id, posting_id)` of the documents with the rarest word of a query, if all occur at all.
 
     A document with every word of a query has its rarest one, so only these need their other words
-    looked up: frequent words of a long query then meet the few documents it can match.
+    looked up: frequent words of a long query then meet the few documents it can match.  The rarest
+    words are stored in the shared folder, so that Spark knows how few they are.
     """
     counted = index.groupBy("term").agg(F.count(F.lit(1)).alias("_rows"))
     rarest = (
@@ -291,6 +356,7 @@ def candidate_documents(index: DataFrame, terms: DataFrame) -> DataFrame:
         .where(F.col("_known") == F.col("n_terms"))
         .select("query_id", "term")
     )
+    rarest = stored(rarest, "rarest-words")
     return index.select("term", "posting_id").join(rarest, "term").select("query_id", "posting_id").distinct()
 
 
@@ -319,11 +385,14 @@ def minimal_covers(index: DataFrame, terms: DataFrame) -> DataFrame:
 
 def rank_long_queries(index: DataFrame, terms: DataFrame) -> DataFrame:
     """`rank_terms` for queries of many words.  The index rows of their words are stored in the shared
-    folder, and read for the documents with the rarest word of each query alone."""
+    folder, and read for the documents with the rarest word of each query alone.  These candidates
+    are stored too: Spark then knows how few they are, and leaves the rows of other documents where
+    they lie."""
     words_ = terms.select("term").distinct()
     own = stored(index.join(words_, "term", "left_semi"), "query-words")
-    wanted = candidate_documents(own, terms).join(terms, "query_id")
-    return _ranked(_grouped_hits(own.join(wanted, ["term", "posting_id"])))
+    found = stored(candidate_documents(own, terms), "candidates")
+    near = own.join(found.select("posting_id"), "posting_id", "left_semi")
+    return _ranked(_grouped_hits(near.join(found.join(terms, "query_id"), ["term", "posting_id"])))
 
 
 def rank_terms(index: DataFrame, terms: DataFrame) -> DataFrame:
