@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import evaluation as ev
 from tidemark.operators import fulltext as ft
 from tidemark.operators.embedding import hash_embedding, hash_vector
-from tidemark.plans import quality
+from tidemark.operators.letters import LETTERS, letter_counts
 
 LIMIT, WEIGHT = 3, 0.4
 WORDS = "amber basin cedar delta ember fjord grove haven inlet jetty".split()
@@ -171,14 +171,14 @@ def test_an_index_is_built_without_sorting_rows_one_by_one(spark, monkeypatch):
 
 
 def test_letters_are_counted_in_one_pass(spark):
-    texts = ["", None, "abc ABC z", "Łódź – ñandúK", "123", "x" * 5000, "\n", *(c * 3 for c in quality.LETTERS)]
+    texts = ["", None, "abc ABC z", "Łódź – ñandúK", "123", "x" * 5000, "\n", *(c * 3 for c in LETTERS)]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1)
-    made = rows.select("i", quality._letter_counts(F.col("text")).alias("v"))
+    made = rows.select("i", letter_counts(F.col("text")).alias("v"))
     plan = made.where(F.col("v").isNotNull())._jdf.queryExecution().executedPlan().toString()
     assert "regexp_replace" not in plan and plan.count("ArrowEvalPython") == 1
     got = dict(map(tuple, made.collect()))
     for i, text in enumerate(texts):
-        counts = [float(sum(text.count(x) for x in (c, c.upper()))) for c in quality.LETTERS] if text else [0.0]
+        counts = [float(sum(text.count(x) for x in (c, c.upper()))) for c in LETTERS] if text else [0.0]
         assert got[i] == (counts if any(counts) else None), text
 
 

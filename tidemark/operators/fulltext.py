@@ -28,8 +28,8 @@ from tidemark.sources.shared import stored
 #: Weight of a word in the title and in the body.
 FIELD_WEIGHT = {"A": 1.0, "B": 0.4}
 
-#: Words of documents that are sorted at once in batches: some 15 MB of a Python worker.
-SLICE_WORDS = 200_000
+#: Words of documents that are sorted at once in batches: some 10 MB of a Python worker.
+SLICE_WORDS = 100_000
 
 
 def build_index(

@@ -14,8 +14,6 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -319,6 +317,10 @@ def with_postings(hits: DataFrame, postings: DataFrame, employers: DataFrame) ->
 
 def fit_centroids(chunks: DataFrame, k: int, max_iter: int = 10, seed: int = 42) -> np.ndarray:
     """Unit centroids of `k` lists over all chunk vectors.  `k` bounds what the driver holds."""
+    # here, so that workers that score do not hold pyspark.ml, some 30 MB each
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
     vectors = chunks.where(F.col("embedding").isNotNull()).select(
         array_to_vector("embedding").alias("features")
     )

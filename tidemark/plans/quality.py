@@ -7,19 +7,13 @@ semantic and hybrid searches by its whole text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.functions.text import words
 from tidemark.operators import evaluation as ev
 from tidemark.operators import fulltext as ft
-from tidemark.operators.html import slices
+from tidemark.operators.letters import LETTERS, letter_counts
 from tidemark.operators.matching import match_profile, match_profiles, with_skills
 from tidemark.operators.ranking import spread_rows, top_k_within
 from tidemark.operators.setjoin import good_matches
@@ -30,7 +24,6 @@ from tidemark.sources.parameters import Profile
 
 METHODS = ("longest", "shortest")
 KS = (1, 5, 10)
-LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
 def profile() -> Profile:
@@ -210,38 +203,6 @@ def _failure_rows(found: DataFrame) -> DataFrame:
     )
 
 
-#: The letter 1 to 26 of a byte, 0 for any other; no byte of a longer character is one of a letter.
-_LETTER_OF = np.zeros(256, np.uint8)
-for _i, _x in enumerate(LETTERS, 1):
-    _LETTER_OF[[ord(_x), ord(_x.upper())]] = _i
-
-
-def _letter_rows(texts: pa.Array) -> pa.Array:
-    raw = texts.cast(pa.large_binary())
-    size = pc.fill_null(pc.binary_length(raw), 0).to_numpy(zero_copy_only=False)
-    data = b"".join(raw.drop_null().to_pylist())
-    letter = _LETTER_OF[np.frombuffer(data, np.uint8)]
-    wide = len(LETTERS) + 1
-    row = np.repeat(np.arange(len(texts)) * wide, size)
-    counts = np.bincount(row + letter, minlength=len(texts) * wide).reshape(-1, wide)[:, 1:]
-    some = counts.any(axis=1)
-    starts = np.concatenate([[0], np.cumsum(some) * len(LETTERS)]).astype(np.int32)
-    flat = pa.array(counts[some].astype(np.float64).ravel())
-    return pa.ListArray.from_arrays(pa.array(starts), flat, mask=pa.array(~some))
-
-
-def _counted(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for texts in parts:
-        yield pa.concat_arrays([_letter_rows(some) for some in slices(texts)] or [_letter_rows(texts)])
-
-
-def _letter_counts(text: Column) -> Column:
-    """How often each letter a to z stands in a text, either case: vectors that SQL can make too.
-    A text without any has none."""
-    # as if by chance, so that a condition on the vector does not count the letters once more
-    return F.arrow_udf(_counted, T.ArrayType(T.DoubleType())).asNondeterministic()(text)
-
-
 def labelled_queries(spark: SparkSession, d: str) -> DataFrame:
     """Benchmark texts, every fourth labelled by an id instead of a pattern."""
     by_id = F.col("query_id").cast("bigint") % 4 == 0
@@ -257,8 +218,8 @@ def search_rankings(spark: SparkSession, d: str) -> DataFrame:
     lines = s.table(spark, d, "documents").select(
         F.col("doc_id").alias("posting_id"), F.posexplode(F.split("text", "\n")).alias("chunk_index", "line")
     )
-    chunks = lines.select("posting_id", "chunk_index", _letter_counts(F.col("line")).alias("embedding"))
-    vectors = queries.select("query_id", _letter_counts(F.col("query")).alias("embedding"))
+    chunks = lines.select("posting_id", "chunk_index", letter_counts(F.col("line")).alias("embedding"))
+    vectors = queries.select("query_id", letter_counts(F.col("query")).alias("embedding"))
     index = ft.build_index(s.document_texts(spark, d), in_batches=True)
     return ev.method_rankings(index, chunks, queries, vectors, max(KS), 0.4)
 
