@@ -126,3 +126,33 @@ def test_profiles_of_one_map_of_skills_are_scored_once(spark, monkeypatch):
     want = match_profiles(with_skills(tables[0], tables[1]), profiles, verdicts=("good",)).collect()
     assert len(want) == 30 * 31 // 2
     assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_only_postings_with_enough_held_skills_are_listed(spark):
+    profiles, postings, links = drawn(9)
+    _, linked, table = made(spark, profiles, postings, links)
+    linked = linked.distinct()
+    kept = setjoin.promising(linked, setjoin.skill_rarity(linked, table.limit(3)))
+    held = set().union(*(p.skills for p in profiles[:3]))
+    own = {i: {s for j, s in links if j == i} for i, _ in links}
+    want = {(i, s) for i, names in own.items() if len(names & held) / len(names) >= 0.6 for s in names}
+    assert {tuple(r) for r in kept.select("posting_id", "skill_name").collect()} == want
+    assert 0 < len(want) < len(set(links))
+
+
+def test_what_is_shown_is_worked_out_before_the_profiles_meet(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "CELL_HOLDERS", 3)
+    profiles, postings, links = drawn(10)
+    tables = made(spark, profiles, postings, links)
+    shown = {"score": F.round("score", 2), "matched_skills": F.array_join("matched_skills", "|")}
+    got = setjoin.good_matches(*tables, shown=shown)
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert min(i for i, x in enumerate(plan) if "Join Inner" in x) < min(i for i, x in enumerate(plan) if "array_join" in x)
+    want = setjoin.good_matches(*tables)
+    assert got.columns == want.columns
+    want = want.withColumns(shown)
+    assert want.count() > 20 and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    best = setjoin.good_matches(*tables, top_n=2, shown=shown)
+    assert sorted(map(repr, best.collect())) == sorted(
+        map(repr, setjoin.good_matches(*tables, top_n=2).withColumns(shown).collect())
+    )

@@ -116,13 +116,11 @@ def customer_profiles(spark: SparkSession, d: str) -> DataFrame:
 
 def match_set_join(spark: SparkSession, d: str) -> DataFrame:
     """Orders that suit each customer's profile; the profiles stay a table."""
+    shown = {"score": F.round("score", 6), "matched_skills": F.array_join("matched_skills", "|")}
     found = good_matches(
-        s.postings(spark, d), s.links(spark, d), customer_profiles(spark, d), PRIORITIES
+        s.postings(spark, d), s.links(spark, d), customer_profiles(spark, d), PRIORITIES, shown=shown
     )
-    return found.select(
-        "profile", "posting_id", F.round("score", 6).alias("score"),
-        F.array_join("matched_skills", "|").alias("matched_skills"),
-    )
+    return found.select("profile", "posting_id", "score", "matched_skills")
 
 
 def benchmark_queries(spark: SparkSession, d: str) -> DataFrame:
